@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from sparkcorpus.llm.bpe import op7_bpe
+from sparkcorpus.llm.jaccard_join import SQL_OP8, op8_jaccard_join
 from sparkcorpus.llm.mixing import op9_mixing
 from sparkcorpus.llm.quality_rules import op6_quality_rules
+from sparkcorpus.llm.substring_dedup import SQL_OP10, op10_substring_dedup
 from sparkcorpus.llm.url_filter import SQL_OP5, op5_url_filter
 from sparkcorpus.llm.warc import SQL_OP1, op1_warc
 
@@ -13,10 +15,14 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {
     "op1_warc": SQL_OP1,
     "op5_url_filter": SQL_OP5,
+    "op8_jaccard_join": SQL_OP8,
+    "op10_substring_dedup": SQL_OP10,
 }
