@@ -1,33 +1,63 @@
-"""The training-data pipeline: stages over documents, each written and reread by the next."""
+"""The training-data pipeline: stages over documents, each written and reread by the next.
+
+quality    documents that the ordinal model does not rate good go
+jaccard    of each group of near-duplicates the document with the smallest id stays
+substrings words of passages that repeat elsewhere go; a document that loses all keeps its row
+mixing     documents are drawn 0 to 3 times to bring their sources to target weights
+tokens     texts become subword ids
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkcorpus.llm.bpe import encode
+from sparkcorpus.llm.jaccard_join import classes
 from sparkcorpus.llm.mixing import materialise, mix
+from sparkcorpus.llm.quality_model import rate, train
 from sparkcorpus.llm.scratch import Scratch
+from sparkcorpus.llm.substring_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rate(docs, train(docs, labels), keep_text=True).filter("kept").select(*docs.columns)
+
+
+def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with one id are one document; rows without an id are in no group and stay."""
+    others = classes(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = remove_repeats(docs, output="__left")
+    new = {"text": F.col("__left"), "n_chars": F.length("__left").cast(docs.schema["n_chars"].dataType)}
+    return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return materialise(mix(docs)).select(*COLUMNS)
+    return materialise(mix(docs)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("mixing", mixing), ("tokens", tokens)]
+STAGES = [("quality", quality), ("jaccard", jaccard), ("substrings", substrings), ("mixing", mixing), ("tokens", tokens)]
 
-#: A trained classifier decides in the first stage, which SQL cannot express.
+#: A trained model decides in the first stage, which SQL cannot express; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from sparkcorpus.llm.bpe import op7_bpe
+from sparkcorpus.llm.hnsw import SQL_OP2, op2_embedding_dedup
 from sparkcorpus.llm.jaccard_join import SQL_OP8, op8_jaccard_join
+from sparkcorpus.llm.lm_score import op4_lm_score
 from sparkcorpus.llm.mixing import op9_mixing
+from sparkcorpus.llm.quality_model import op3_quality_model
 from sparkcorpus.llm.quality_rules import op6_quality_rules
 from sparkcorpus.llm.substring_dedup import SQL_OP10, op10_substring_dedup
 from sparkcorpus.llm.url_filter import SQL_OP5, op5_url_filter
@@ -12,6 +15,9 @@ from sparkcorpus.llm.warc import SQL_OP1, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_quality_model": op3_quality_model,
+    "op4_lm_score": op4_lm_score,
     "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
@@ -22,6 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": SQL_OP1,
+    "op2_embedding_dedup": SQL_OP2,
     "op5_url_filter": SQL_OP5,
     "op8_jaccard_join": SQL_OP8,
     "op10_substring_dedup": SQL_OP10,
