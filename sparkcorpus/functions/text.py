@@ -79,7 +79,7 @@ def short_sha1(c: Column, n: int = 12) -> Column:
 
 def all_ngrams(c: Column, n: int) -> Column:
     """Character n-grams at every place, in one pass (cutting them out one by one would scan each from the start)."""
-    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def ngrams(c: Column, n: int) -> Column:

@@ -43,7 +43,7 @@ def test_rrf_ties_thresholds_and_order(spark):
 def test_keyword_channel_needs_two_terms(spark):
     units = spark.createDataFrame([(1, "alpha beta"), (2, "ALPHA"), (3, "a_b axb beta alpha")], "id int, content string")
     ask_ = lambda t: [(r["unit"], r["hits"]) for r in R.keyword_channel(spark.createDataFrame([(1, t)], "query int, text string"), units, 5).orderBy("rank").collect()]
-    assert ask_("alpha") == [] and ask_("alpha beta") == [(1, 2), (3, 2)] and ask_("a_b beta") == [(3, 2)]
+    assert ask_("alpha") == [] and ask_("alpha beta") == [(1, 2), (3, 2)] and ask_("a_b beta") == [(1, 2), (3, 2)]  # the wildcard stands for the space
 
 
 def test_memory(spark):
@@ -51,7 +51,7 @@ def test_memory(spark):
     assert fold([], ["端口：— → 80", "noise"]) == [("端口", "端口：80", True)]
     assert fold([("端口", "端口：80")], ["端口：80 → 80"]) == [("端口", "端口：80", False)]
     assert fold([("端口", "端口：80")], ["端口：x → 81", "端口：81 → 82"]) == [("端口", "端口：81 → 82", True)]
-    assert fold([("服务端口", "服务端口：80")], ["端口：80 → 81"])[0][1] == "服务端口：80 → 81" or True
+    assert fold([("服务端口", "服务端口：80")], ["端口：80 → 81"]) == [("服务端口", "端口：80 → 81", True)]  # the line names the topic
     attempts = spark.createDataFrame([(1, 1, ["端口：— → 80", "库：— → pg"], ["端口：— → 81"]), (1, 2, ["端口：— → 80", "库：— → pg"], [])], "conv_id int, attempt int, old array<string>, items array<string>")
     r = C.merge_summary(attempts).first()
     assert r["items"] == ["端口：80 → 81", "库：— → pg"] and not r["frozen"]
@@ -97,7 +97,7 @@ def test_selection_frames(spark):
     rows = [(1, i, i, 10 * i, float(i), "s" if i % 2 else "t", [1.0, i / 10]) for i in range(1, 6)]
     df = spark.createDataFrame(rows, "query int, unit int, rank int, tokens int, value double, source string, embedding array<double>")
     ids = lambda x: sorted(r["unit"] for r in x.collect())
-    assert ids(S.skip_greedy(df, 40)) == [1, 2] and ids(S.knapsack(df, 60)) == [1, 5] or True
+    assert ids(S.skip_greedy(df, 40)) == [1, 2] and sum(10 * i for i in ids(S.knapsack(df, 60))) == 60
     assert ids(S.cap_per_source(df, 1)) == [1, 2] and len(ids(S.mmr(df, 2, 0.999))) <= 2
     tiers = spark.createDataFrame([(1, 10, 5, 20, 20)], "case int, fixed int, recent int, summary int, excerpt int")
     material = spark.createDataFrame([(1, i, 30) for i in range(1, 5)], "case int, rank int, tokens int")
@@ -164,5 +164,5 @@ def test_stateful_streams(spark, tmp_path):
 def test_token_stream(spark):
     df = spark.createDataFrame([("r", i, "x" * 25) for i in range(6)], "run string, seq int, text string")
     assert [len(r["text"]) for r in G.flushes(df).orderBy("piece").collect()] == [75, 75]
-    frames = spark.createDataFrame([("r", 0, 10), ("r", 10, 10), ("r", 20, 20)], "run string, t double, len int")
+    frames = spark.createDataFrame([("r", 0.0, 10), ("r", 10.0, 10), ("r", 20.0, 20)], "run string, t double, len int")
     assert G.time_at_share(frames, 0.75).first()["t"] == 15.0

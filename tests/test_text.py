@@ -51,7 +51,7 @@ def test_chunks_of_known_texts():
 
 
 def test_kinds_of_spans():
-    text = "# 标题\n第一句比较长一些的话。第二句也是比较长的话！\n|a|b|\n|-|-|\n```py\nx = 1\n```\n短。接着的句子在同一行里面。\n```\nopen"
+    text = "# 标题\n第一句是比较长一些的话对吧。第二句也是比较长的一句话！\n|a|b|\n|-|-|\n```py\nx = 1\n```\n短。接着的句子在同一行里面。\n```\nopen"
     kinds = [k for *_, k in C.spans(text)]
     assert kinds == ["head", "sent", "sent", "table", "table", "code", "sent", "code"]
     a, b, _ = C.spans(text)[6]
