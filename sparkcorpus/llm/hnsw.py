@@ -78,7 +78,7 @@ class Graph:
         rows, width = sims.shape
         out, many = np.full((rows, most), -1, dtype=np.int32), np.zeros(rows, dtype=np.int64)
         vectors = self.unit[np.maximum(ids, 0)]
-        between = np.einsum("rid,rjd->rij", vectors, vectors)
+        between = vectors @ vectors.transpose(0, 2, 1)
         taken = np.zeros((rows, width), dtype=bool)
         for j in range(width):
             blocked = (taken & (between[:, j, :] > sims[:, j : j + 1])).any(1)
@@ -101,17 +101,30 @@ class Graph:
         layer[nodes, M:] = -1
         a, b = np.repeat(nodes, M), picked.ravel()
         a, b = a[b >= 0], b[b >= 0]
-        for node in np.unique(b):
-            more = a[b == node]
-            have = layer[node][layer[node] >= 0]
-            more = more[~np.isin(more, have)]
-            if len(have) + len(more) <= layer.shape[1]:
-                layer[node, len(have) : len(have) + len(more)] = more
-            else:
-                both = np.concatenate([have, more])
-                s = self.unit[both] @ self.unit[node]
-                order = np.argsort(-s, kind="stable")
-                layer[node] = self.choose(s[order][None], both[order][None], layer.shape[1])[0]
+        known = (layer[b] == a[:, None]).any(1)
+        a, b = a[~known], b[~known]
+        # of the new links to a node, its nearest; no more than it can hold
+        s = np.einsum("ed,ed->e", self.unit[a], self.unit[b])
+        order = np.lexsort((-s, b))
+        a, b, s = a[order], b[order], s[order]
+        begin = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, int)
+        place = np.arange(len(b)) - np.repeat(begin, np.diff(np.append(begin, len(b))))
+        held = place < layer.shape[1]
+        row = np.cumsum(place == 0) - 1
+        to = b[begin]
+        more = np.full((len(to), layer.shape[1]), -1, dtype=np.int64)
+        more[row[held], place[held]] = a[held]
+        have = layer[to].astype(np.int64)
+        full = (have >= 0).sum(1) + (more >= 0).sum(1) > layer.shape[1]
+        room = np.concatenate([have[~full], more[~full]], 1)
+        left = np.argsort(room < 0, axis=1, kind="stable")[:, : layer.shape[1]]
+        layer[to[~full]] = np.take_along_axis(room, left, 1)
+        for i in range(0, int(full.sum()), 1024):
+            some = np.flatnonzero(full)[i : i + 1024]
+            both = np.concatenate([have[some], more[some]], 1)
+            sims = np.where(both >= 0, (self.unit[np.maximum(both, 0)] @ self.unit[to[some]][:, :, None])[:, :, 0], -2)
+            width = int((both >= 0).sum(1).max())
+            layer[to[some]] = self.choose(*top(sims, both, width), layer.shape[1])
 
     def search(self, queries: np.ndarray, start: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The best nodes found from `start` in layer k for each query: similarities and ids."""
