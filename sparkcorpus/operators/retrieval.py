@@ -31,7 +31,7 @@ def min_hits(terms: Column, conf: Retrieval = Retrieval()) -> Column:
 
 def vector_channel(queries: DataFrame, units: DataFrame, k: int, unit: str = "id", vector: str = "embedding", on: list[str] = ()) -> DataFrame:
     """(query, unit, distance, rank) of the k nearest units of each query; null vectors never rank."""
-    q = queries.select("query", *on, F.col("vector").alias("__q"))
+    q = queries.filter(F.col("vector").isNotNull()).select("query", *on, F.col("vector").alias("__q"))
     u = units.filter(F.col(vector).isNotNull()).select(F.col(unit).alias("unit"), *on, F.col(vector).alias("__v"))
     both = u.join(q, list(on)) if on else u.join(q)
     near = both.select("query", "unit", V.cosine_distance(F.col("__v"), F.col("__q")).alias("distance"))
