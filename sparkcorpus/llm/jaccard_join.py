@@ -6,12 +6,17 @@ any l the first n - t + l shingles of each hold at least l common ones.  Every s
 l: where the estimated cost of its candidates is high, it takes a longer prefix and asks for
 more common shingles.  A pair is verified only if its prefixes share min(l, l') shingles.
 
+Which shingles are common is found in two ways: those that several texts of one group of rows share,
+and, by exact counts over all documents, those that many prefixes in order of hash have.
+
 Nothing emits all pairs of a group that shares a shingle:
-  1. shingles with many owners have one leader each, known to all tasks; owners are paired with it;
-  2. other shingles meet in sorted runs, each owner being paired with the run's first;
-  3. verified links form components, and only where owners of a shingle lie in different ones
-     are further pairs looked at, again leader by leader until no link is found, and what
-     remains between different components pair by pair, so that no link is lost.
+  1. of the owners of a shingle each is paired with the most central one, and with the one before it in
+     that order; of these pairs every set keeps the two with most common shingles;
+  2. verified links form components, and only owners of a shingle that lie in different ones
+     are paired further, so that no link is lost.
+Pairs first meet with sketches of their sets, two to four parity bits a shingle: no two sets differ in
+fewer shingles than their sketches in bits, so a pair whose sketches differ too much is no link.
+The sets of the few others are made from the texts again and compared in full.
 """
 
 from __future__ import annotations
@@ -31,6 +36,12 @@ SHINGLE, PERCENT = 5, 80
 #: A shingle is heavy if it makes up this share of all (so at most 1 / SHARE are, which bounds what is
 #: broadcast), and has so many owners at least.
 SHARE, LEAST_HEAVY, LOCAL = 2e-6, 32, 3
+#: Or if so many prefixes have it; prefixes are counted somewhat longer than they will be.
+LEAST_COMMON, LONGER = 6, 1.5
+#: Texts that are looked through together for heavy shingles, in bytes; the fewest bits of a sketch.
+SCAN_BYTES, SKETCH = 2 << 20, 256
+#: Groups of owners up to FEW are paired as rows, larger ones in blocks.
+FEW, BLOCK = 6, 512
 #: The longest prefixes ask for so many common shingles.
 MOST_SHARED = 8
 
@@ -58,6 +69,21 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tupl
     return hashes, cut, mix(sums[cut[1:]] - sums[cut[:-1]] + np.diff(cut).astype(U) * U(0x9E3779B97F4A7C15))
 
 
+def sketches(hashes: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Of each set, which of so many buckets get an odd number of its shingles, as 64-bit words.
+
+    The number of buckets is a power of two; both halves of a sketch together (by exclusive or) are
+    the sketch of half the size.
+    """
+    sizes = np.diff(cut)
+    bits = SKETCH << np.ceil(np.log2(np.maximum(2 * sizes / SKETCH, 1))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    bucket = hashes & (np.repeat(bits, sizes).astype(U) - U(1))
+    odd = np.bincount(np.repeat(begin[:-1], sizes) + bucket.astype(np.int64), minlength=int(begin[-1])) & 1
+    words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array((begin // 64).astype(np.int32)), pa.array(words))
+
+
 def least_overlap(n, percent: int = PERCENT):
     """Shingles that a set of n must share with any set it is linked with."""
     return (percent * n + 99) // 100
@@ -66,9 +92,11 @@ def least_overlap(n, percent: int = PERCENT):
 class Order:
     """The global order of shingles: those not known as heavy by hash, then heavy ones by owners."""
 
-    def __init__(self, tokens: np.ndarray, owners: np.ndarray, leaders: np.ndarray):
-        order = np.argsort(tokens)
-        self.tokens, self.owners, self.leaders = tokens[order], owners[order], leaders[order]
+    def __init__(self, tokens: np.ndarray, owners: np.ndarray):
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
+        self.tokens, self.owners = tokens[first], np.maximum.reduceat(owners, first) if len(first) else owners
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places in the table of heavy shingles; -1 for others."""
@@ -95,65 +123,76 @@ class Order:
 
 
 def scan(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """kind 0: (key, set size, vertex) of each row; kind 1: (shingle, owners, a vertex) of shingles
+    """kind 0: (key, set size, vertex, sketch) of each row; kind 1: (shingle, owners) of shingles
     that several texts of a group of rows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, off in chunks(batches, "text"):
+        for batch, raw, off in chunks(batches, "text", SCAN_BYTES):
             hashes, cut, vertex = shingle_sets(raw, off)
             sizes = np.diff(cut)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int8)), batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(i64(vertex), mask=sizes == 0)], ["kind", "a", "b", "c"])
-            order = np.argsort(hashes)
-            sorted_ = hashes[order]
+            names = ["kind", "a", "b", "c", "sketch"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int8)), batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(i64(vertex), mask=sizes == 0), sketches(hashes, cut)], names)
+            sorted_ = np.sort(hashes)
             first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, int)
             many = np.diff(np.append(first, len(sorted_)))
-            least = np.minimum.reduceat(i64(vertex)[np.repeat(np.arange(len(sizes)), sizes)][order], first) if len(first) else np.zeros(0, np.int64)
             hot = many >= LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(hot.sum()), np.int8)), pa.array(i64(sorted_[first[hot]])), pa.array(many[hot].astype(np.int64)), pa.array(least[hot])], ["kind", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(hot.sum()), np.int8)), pa.array(i64(sorted_[first[hot]])), pa.array(many[hot].astype(np.int64)), pa.nulls(int(hot.sum()), pa.int64()), pa.nulls(int(hot.sum()), pa.list_(pa.int64()))], names)
 
-    return documents.select(documents[key].cast("long").alias("key"), documents[text].alias("text")).mapInArrow(run, "kind byte, a long, b long, c long")
+    return documents.select(documents[key].cast("long").alias("key"), documents[text].alias("text")).mapInArrow(run, "kind byte, a long, b long, c long, sketch array<long>")
 
 
-def heavy_order(spark: SparkSession, scanned: DataFrame):
-    """The broadcast table of heavy shingles: at most 1 / SHARE rows of 24 bytes."""
+def common_order(documents: DataFrame, text: str, scanned: DataFrame, percent: int):
+    """The broadcast order: at most 2 / SHARE common shingles of 16 bytes, those with most owners."""
+    sc = documents.sparkSession.sparkContext
+    most = int(1 / SHARE)
     total = scanned.filter("kind = 0").agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
-    least = max(LEAST_HEAVY, int(total * SHARE) + 1)
-    found = scanned.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("owners"), F.min("c").alias("leader")).filter(F.col("owners") >= least).toPandas()
-    order = Order(found["a"].to_numpy(np.int64).view(np.uint64), found["owners"].to_numpy(np.int64), found["leader"].to_numpy(np.int64))
-    return spark.sparkContext.broadcast(order)
+    least = max(LEAST_HEAVY, int(total * SHARE) + 1)  # so many owners have at most `most` shingles
+    arrays = lambda df: [df.toArrow()[c].to_numpy() for c in ("shingle", "owners")]
+    heavy = arrays(scanned.filter("kind = 1").groupBy(F.col("a").alias("shingle")).agg(F.sum("b").alias("owners")).filter(F.col("owners") >= least))
+    first = sc.broadcast(Order(heavy[0].view(np.uint64), heavy[1]))
+    counted = emitted(documents, text, first, percent, LONGER).groupBy("shingle").agg(F.count("*").alias("owners")).filter(F.col("owners") >= LEAST_COMMON)
+    common = arrays(counted.orderBy(F.desc("owners"), "shingle").limit(most))
+    return sc.broadcast(Order(np.concatenate([heavy[0], common[0]]).view(np.uint64), np.concatenate([heavy[1], common[1]])))
 
 
-def prefixes(documents: DataFrame, key: str, text: str, order, percent: int) -> DataFrame:
-    """(shingle, vertex, n, l, leader) for every prefix shingle; leader is null for those not heavy."""
+def emitted(documents: DataFrame, text: str, order, percent: int, longer: float | None = None) -> DataFrame:
+    """(shingle, vertex, n, l, q, heavy) for every prefix shingle; with `longer`, the light shingles alone, of
+    prefixes so many times as long.  q is the share of common shingles in the set: in a family of near
+    copies it is largest for those with fewest changes of their own, which so become the leaders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = order.value
+        known = order.value
         for _, raw, off in chunks(batches, "text"):
             hashes, cut, vertex = shingle_sets(raw, off)
-            at = heavy.find(hashes)
+            at = known.find(hashes)
             sizes = np.diff(cut)
             lengths, ells = sizes - least_overlap(sizes, percent) + 1, np.ones(len(sizes), np.int64)
             lengths[sizes == 0] = 0
-            touched = np.flatnonzero(np.add.reduceat(np.append(at >= 0, False), cut[:-1])[: len(sizes)] * (sizes > 0)) if len(sizes) else []
-            for i in touched:
+            sums = np.concatenate([[0], np.cumsum(at >= 0)])
+            for i in np.flatnonzero(sums[cut[1:]] > sums[cut[:-1]]):
                 part = slice(cut[i], cut[i + 1])
-                hashes[part], at[part], lengths[i], ells[i] = heavy.prefix(hashes[part], at[part], percent)
-            take, _ = window_starts(np.concatenate([[0], np.cumsum(lengths)]), 1)
-            take = take + np.repeat(cut[:-1] - (np.cumsum(lengths) - lengths), lengths)
+                hashes[part], at[part], lengths[i], ells[i] = known.prefix(hashes[part], at[part], percent)
+            if longer:
+                lengths = np.minimum((lengths * longer).astype(np.int64), sizes)
+            begin = np.cumsum(lengths) - lengths
+            take = np.arange(int(lengths.sum())) + np.repeat(cut[:-1] - begin, lengths)
+            if longer:
+                yield pa.RecordBatch.from_arrays([pa.array(i64(hashes[take][at[take] < 0]))], ["shingle"])
+                continue
             owner = np.repeat(np.arange(len(sizes)), lengths)
-            where = at[take]
-            leader = heavy.leaders[where] if len(heavy.leaders) else np.zeros(len(where), np.int64)
+            central = (1000 * (sums[cut[1:]] - sums[cut[:-1]]) // np.maximum(sizes, 1)).astype(np.int16)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i64(hashes[take])), pa.array(i64(vertex)[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(ells[owner].astype(np.int8)), pa.array(leader, mask=where < 0)],
-                ["shingle", "v", "n", "l", "leader"],
+                [pa.array(i64(hashes[take])), pa.array(i64(vertex)[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(ells[owner].astype(np.int8)), pa.array(central[owner]), pa.array(at[take] >= 0)],
+                ["shingle", "v", "n", "l", "q", "heavy"],
             )
 
-    return documents.select(documents[text].alias("text"), documents[key].alias("key")).filter("key is not null").select("text").mapInArrow(run, "shingle long, v long, n int, l byte, leader long")
+    rows = documents.select(documents[text].alias("text"))
+    return rows.mapInArrow(run, "shingle long" if longer else "shingle long, v long, n int, l byte, q short, heavy boolean")
 
 
 def runs_to_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """From sorted runs: kind 0, pairs (first of the run, other); kind 1, owners of shingles with
-    three or more.  A pair or owner may come more than once."""
+    """From sorted runs: kinds 0 and 2, pairs (first of the run, or the one before; other); kind 1, owners of
+    shingles with two or more.  A pair or owner may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int8)]
@@ -168,12 +207,15 @@ def runs_to_pairs(rows: DataFrame, percent: int) -> DataFrame:
             begin = np.flatnonzero(first)
             many = np.diff(np.append(begin, len(t)))
             lead = np.repeat(begin, many)
-            fits = ~first & (100 * np.minimum(n, n[lead]).astype(np.int64) >= percent * np.maximum(n, n[lead]).astype(np.int64))
-            big = np.repeat(many >= 3, many)
-            pairs, owners = np.flatnonzero(fits), np.flatnonzero(big)
-            kind = np.concatenate([np.zeros(len(pairs), np.int8), np.ones(len(owners), np.int8)])
+            ok = lambda x, y: 100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64)
+            big = np.repeat(many >= 2, many)
+            owners, later = np.flatnonzero(big), np.flatnonzero(~first)
+            x, y = np.concatenate([lead[later], later - 1]), np.concatenate([later, later])
+            pair = np.repeat(np.array([0, 2], np.int8), len(later))
+            x, y, pair = x[ok(x, y)], y[ok(x, y)], pair[ok(x, y)]
+            kind = np.concatenate([pair, np.ones(len(owners), np.int8)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind), pa.array(np.concatenate([v[lead[pairs]], t[owners]])), pa.array(np.concatenate([v[pairs], v[owners]])), pa.array(np.concatenate([n[pairs], n[owners]])), pa.array(np.concatenate([l[pairs], l[owners]]))],
+                [pa.array(kind), pa.array(np.concatenate([v[x], t[owners]])), pa.array(np.concatenate([v[y], v[owners]])), pa.array(np.concatenate([n[y] * 0, n[owners]])), pa.array(np.concatenate([l[y] * 0, l[owners]]))],
                 ["kind", "a", "b", "n", "l"],
             )
             held = [x[begin[-1] : begin[-1] + 3] for x in (t, v, n, l)]
@@ -226,6 +268,71 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def alike(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b), those whose sketches allow a link."""
+    side = lambda x: vertices.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    size = F.least(F.size("s_a"), F.size("s_b"))
+    xor = lambda x, y: F.zip_with(x, y, lambda i, j: i.bitwiseXOR(j))
+    # sizes of possible links differ by less than two, so a sketch is at most twice the other
+    fold = lambda s: F.when(F.size(s) > size, xor(F.slice(s, 1, size), F.slice(s, size + 1, size))).otherwise(F.col(s))
+    apart = F.aggregate(xor(fold("s_a"), fold("s_b")), F.lit(0), lambda x, y: x + F.bit_count(y))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return both.filter(fits & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+
+
+def blockwise(rows: DataFrame, vertices: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b): owners of a common shingle in different components whose sketches allow a link.
+
+    rows: (shingle, v, n, g, k).  The k owners of a shingle are dealt into blocks of about BLOCK; blocks meet in
+    pairs, and a pair of blocks is compared as matrices of sketches, so only what may be a link leaves the task.
+    """
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("v"), F.ceil(F.col("k") / BLOCK)).cast("int"))
+    drawn = dealt.join(vertices.select("v", "sketch"), "v")
+    blocks = drawn.groupBy("shingle", "block").agg(F.collect_list(F.struct("v", "n", "g", "sketch")).alias("x"))  # about BLOCK rows
+    blocks = scratch.keep(blocks, "blocks")
+    both = blocks.join(blocks.select("shingle", F.col("block").alias("other"), F.col("x").alias("y")), "shingle").filter("block <= other").select("x", "y")
+
+    def read(column: pa.ListArray) -> tuple[np.ndarray, list]:
+        flat = column.flatten()
+        words = flat.field(3)
+        return column.offsets.to_numpy(), [flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)] + [words.flatten().to_numpy(zero_copy_only=False).view(np.uint64), words.offsets.to_numpy()]
+
+    def part(side: list, a: int, b: int) -> dict[int, tuple]:
+        """Members a .. b by the length of their sketches."""
+        v, n, g, words, off = side
+        size = off[a + 1 : b + 1] - off[a:b]
+        out = {}
+        for s in np.unique(size):
+            at = a + np.flatnonzero(size == s)
+            out[int(s)] = v[at], n[at].astype(np.int64), g[at], np.stack([words[off[i] : off[i + 1]] for i in at])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (ox, x), (oy, y) = read(batch.column(0)), read(batch.column(1))
+            for i in range(batch.num_rows):
+                left, right, out = part(x, ox[i], ox[i + 1]), part(y, oy[i], oy[i + 1]), []
+                for s, (v, n, g, w) in left.items():
+                    for t, (v2, n2, g2, w2) in right.items():
+                        if max(s, t) > 2 * min(s, t):
+                            continue
+                        size = min(s, t)
+                        fold = lambda z, size=size: z if z.shape[1] == size else z[:, :size] ^ z[:, size:]
+                        apart = np.zeros((len(v), len(v2)), dtype=np.int64)
+                        for p, q in zip(fold(w).T, fold(w2).T, strict=True):
+                            apart += np.bitwise_count(p[:, None] ^ q[None, :])
+                        total = n[:, None] + n2[None, :]
+                        ok = (g[:, None] != g2[None, :]) & (100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :])) & ((100 + percent) * apart <= (100 - percent) * total)
+                        a, b = np.nonzero(ok)
+                        out.append((np.minimum(v[a], v2[b]), np.maximum(v[a], v2[b])))
+                if out:
+                    pairs = np.unique(np.stack([np.concatenate([o[k] for o in out]) for k in range(2)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of each row.
 
@@ -236,52 +343,52 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", perce
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
     scanned = scratch.keep(scan(documents, key, text), "scanned")
-    order = heavy_order(spark, scanned)
-    rows = scanned.filter("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("n"), F.col("c").alias("v"))
-
-    emitted = prefixes(documents, key, text, order, percent)
-    light = emitted.filter("leader is null").drop("leader").repartition("shingle").sortWithinPartitions("shingle", "v")
-    runs = scratch.keep(runs_to_pairs(light, percent).distinct(), "runs")
-    heavy = scratch.keep(emitted.filter("leader is not null").distinct(), "heavy")
-    owners = runs.filter("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("v"), "n", "l").unionByName(heavy.drop("leader"))
-    pairs = runs.filter("kind = 0").select("a", "b").unionByName(heavy.select(F.col("leader").alias("a"), F.col("v").alias("b")).filter("a <> b"))
-    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    linked_docs = documents.filter(documents[key].isNotNull())
+    order = common_order(linked_docs, text, scanned, percent)
     scratch.release()
-
-    names = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).unionByName(owners.select("v")).distinct()
-    keys = rows.filter("v is not null and key is not null").groupBy("v").agg(F.min("key").alias("key"))
-    wanted = scratch.keep(keys.join(names, "v"), "wanted")
-    sets = scratch.keep(sets_of(documents, key, text, wanted, order, percent), "sets")
+    rows = scanned.filter("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("n"), F.col("c").alias("v"), "sketch")
+    linkable = rows.filter("v is not null and key is not null")
+    vertices = scratch.keep(linkable.groupBy("v").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "vertices")
+
+    rows_of = emitted(linked_docs, text, order, percent)
+    light = rows_of.filter("not heavy").drop("heavy").repartition("shingle").sortWithinPartitions("shingle", F.desc("q"), "v")
+    counts = runs_to_pairs(light, percent).groupBy("kind", "a", "b").agg(F.count("*").alias("c"), F.any_value("n").alias("n"), F.any_value("l").alias("l"))
+    runs = scratch.keep(counts, "runs")
+    heavy = scratch.keep(rows_of.filter("heavy").drop("heavy").distinct(), "heavy")
+    first = scratch.keep(heavy.groupBy("shingle").agg(F.max_by("v", F.struct("q", "v")).alias("lead")), "leads")
+    led = heavy.join(first, "shingle").filter("lead <> v").groupBy(F.col("lead").alias("a"), F.col("v").alias("b")).agg(F.count("*").alias("c")).withColumn("kind", F.lit(0))
+    owners = runs.filter("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("v"), "n", "l").unionByName(heavy.drop("q"))
+    best = runs.filter("kind <> 1").select("kind", "a", "b", "c").unionByName(led).groupBy("kind", "b").agg(F.max(F.struct("c", -F.col("a"), "a")).alias("x"))
+    pairs = best.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct()
+    pairs = scratch.keep(pairs, "pairs")
     scratch.release()
 
-    links = scratch.keep(verify(pairs, sets, percent), "links-0")
-    done, round_ = pairs, 0
-    while True:
-        groups = scratch.keep(connected_components(links, scratch, f"components-{round_}"), f"groups-{round_}")
-        # owners of a shingle that lie in different components
-        placed = owners.join(groups, owners["v"] == groups["node"], "left").select("shingle", "v", "n", "l", F.coalesce("component", "v").alias("g"))
-        placed = scratch.keep(placed, f"placed-{round_}")
-        mixed = placed.groupBy("shingle").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min_by("v", F.xxhash64("v", F.lit(round_))).alias("lead")).filter("g0 <> g1")
-        mixed = scratch.keep(mixed.select("shingle", "lead"), f"mixed-{round_}")
-        leads = mixed.join(placed.select(F.col("shingle").alias("s"), F.col("v").alias("lead_v"), F.col("n").alias("lead_n"), F.col("g").alias("lead_g")), (F.col("shingle") == F.col("s")) & (F.col("lead") == F.col("lead_v"))).drop("s", "lead_v")
-        left = placed.join(mixed.select("shingle"), "shingle", "left_semi")
-        fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-        if round_ < 2:
-            more = left.join(leads, "shingle").filter((F.col("g") != F.col("lead_g")) & fits(F.col("n"), F.col("lead_n"))).select(F.least("v", "lead").alias("a"), F.greatest("v", "lead").alias("b")).distinct()
+    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    links, groups = None, None
+    for round_ in range(2):
+        if round_:
+            # owners of a shingle that lie in different components
+            placed = owners.join(groups, owners["v"] == groups["node"], "left").select("shingle", "v", "n", "l", F.coalesce("component", "v").alias("g"))
+            placed = scratch.keep(placed, "placed")
+            mixed = scratch.keep(placed.groupBy("shingle").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("k")).filter("g0 <> g1").select("shingle", "k"), "mixed")
+            left = placed.join(mixed, "shingle")
+            few = left.filter(F.col("k") <= FEW)
+            other = few.select("shingle", F.col("v").alias("w"), F.col("n").alias("m"), F.col("g").alias("h"))
+            more = few.join(other, "shingle").filter((F.col("v") < F.col("w")) & (F.col("g") != F.col("h")) & fits(F.col("n"), F.col("m"))).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+            pairs, done = scratch.keep(more.join(pairs, ["a", "b"], "left_anti"), "more"), pairs
+            found = blockwise(left.filter(F.col("k") > FEW).drop("l"), vertices, scratch, percent)
+            close = scratch.keep(alike(pairs, vertices, percent).unionByName(found.join(done, ["a", "b"], "left_anti")).distinct(), "close-1")
         else:
-            other = left.select("shingle", F.col("v").alias("w"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("g").alias("h"))
-            more = left.join(other, "shingle").filter((F.col("v") < F.col("w")) & (F.col("g") != F.col("h")) & fits(F.col("n"), F.col("m")))
-            more = more.groupBy(F.col("v").alias("a"), F.col("w").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("l", "k")).alias("asked")).filter("shared >= asked").select("a", "b")
-        more = scratch.keep(more.join(done, ["a", "b"], "left_anti"), f"pairs-{round_ + 1}")
-        if round_ == 2 and more.isEmpty():
-            break
-        found = scratch.keep(verify(more, sets, percent), f"links-{round_ + 1}")
-        links, done = links.unionByName(found), done.unionByName(more)
-        if round_ == 2:
-            groups = scratch.keep(connected_components(links, scratch, "components-last"), "groups-last")
-            break
-        round_ += 1
-    scratch.drop("runs", "heavy", "sets")
+            close = scratch.keep(alike(pairs, vertices, percent), "close-0")
+        names = close.select(F.col("a").alias("v")).unionByName(close.select(F.col("b").alias("v"))).distinct()
+        wanted = scratch.keep(vertices.select("v", "key").join(names, "v"), f"wanted-{round_}")
+        sets = scratch.keep(sets_of(documents, key, text, scratch.narrow(wanted), order, percent), f"sets-{round_}")
+        found = scratch.keep(verify(close, sets, percent), f"links-{round_}")
+        links = found if links is None else links.unionByName(found)
+        groups = scratch.keep(connected_components(links, scratch, f"components-{round_}"), f"groups-{round_}")
+        scratch.drop(f"sets-{round_}")
+        scratch.release()
+    scratch.drop("runs", "heavy", "placed", "blocks")
 
     labelled = scratch.keep(rows.join(groups, rows["v"] == groups["node"], "left").select("key", "n", "v", F.coalesce("component", "v").alias("g")), "labelled")
     least = scratch.keep(labelled.filter("g is not null").groupBy(F.col("g").alias("h")).agg(F.min("key").alias("least")), "least")

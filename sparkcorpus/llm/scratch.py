@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Only for sessions that name no shared folder (tests on one machine).
 LOCAL_DEFAULT = "/tmp/checkpoints"
@@ -37,6 +38,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def narrow(self, kept: DataFrame, most: int = 1_000_000) -> DataFrame:
+        """A written table of a few numbers a row, to be broadcast if its rows are counted to be few; beyond
+        that the join shuffles."""
+        return broadcast(kept) if kept.count() <= most else kept
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names or ("",):

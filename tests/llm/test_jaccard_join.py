@@ -31,6 +31,7 @@ def check(spark, rows):
 def test_random_families(spark, monkeypatch, heavy):
     rng = random.Random(heavy)
     monkeypatch.setattr(j, "LEAST_HEAVY", heavy)
+    monkeypatch.setattr(j, "BLOCK", heavy)
     texts = [None, "", " \n", "one", "One", "a b c d", "A B C D", "a b c d e", "x y " * 300]
     texts += family(rng, 60, 120, 9) + family(rng, 40, 60, 4) + family(rng, 12, 30, 2) + family(rng, 5, 900, 40)
     passage = " ".join(f"p{i}" for i in range(60))
@@ -58,7 +59,7 @@ def test_repeated_rows_and_null_keys(spark):
 def test_prefixes_of_linked_sets_share_enough():
     rng = np.random.default_rng(0)
     heavy = np.arange(0, 4000, 7, dtype=np.uint64)
-    order = j.Order(heavy, rng.integers(32, 5000, len(heavy)), heavy.astype(np.int64))
+    order = j.Order(heavy, rng.integers(32, 5000, len(heavy)))
     for _ in range(300):
         base = rng.choice(4000, int(rng.integers(5, 200)), replace=False).astype(np.uint64)
         a, b = np.unique(base), np.unique(np.concatenate([base[int(rng.integers(0, 1 + len(base) // 5)) :], rng.choice(4000, int(rng.integers(0, 1 + len(base) // 6))).astype(np.uint64)]))
