@@ -87,9 +87,10 @@ def fit(index: np.ndarray, values: np.ndarray, bounds: np.ndarray, grades: np.nd
     common = np.bincount(index, minlength=1 << bits)[index] >= LEAST_ROWS
     n_values = np.zeros(len(index) + 1, dtype=np.int64)
     np.cumsum(common, out=n_values[1:])
-    index, values, bounds = index[common], values[common], n_values[bounds]
-    used, local = np.unique(index, return_inverse=True)
-    n, rows = len(grades), np.repeat(np.arange(len(grades)), np.diff(bounds))
+    index, values, bounds = index[common], values[common].astype(np.float32), n_values[bounds]
+    used = np.unique(index)
+    local = np.searchsorted(used, index).astype(np.int32)
+    n, rows = len(grades), np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(bounds))
     share = np.array([max(1e-3, (grades <= k).mean()) if n else 0.5 for k in range(GRADES - 1)])
     share = np.minimum(share, 1 - 1e-3)
     base = np.log(share / (1 - share))
@@ -98,7 +99,7 @@ def fit(index: np.ndarray, values: np.ndarray, bounds: np.ndarray, grades: np.nd
     state = [np.zeros(len(used) + len(theta)) for _ in range(2)]
     for step in range(1, steps + 1 if n else 1):
         cuts = theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:]))])
-        s = row_sums(values * w[local], bounds)
+        s = row_sums(values * w.astype(np.float32)[local], bounds)
         below = 1 / (1 + np.exp(np.clip(s[:, None] - cuts[None, :], -60, 60)))
         full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
         p = np.maximum(full[np.arange(n), grades + 1] - full[np.arange(n), grades], 1e-12)
@@ -107,7 +108,7 @@ def fit(index: np.ndarray, values: np.ndarray, bounds: np.ndarray, grades: np.nd
         by_score = (hi - lo) / p / n  # of the loss
         by_cut = np.array([(np.where(grades == k, -hi / p, 0) + np.where(grades == k + 1, lo / p, 0)).sum() / n for k in range(GRADES - 1)])
         grad_theta = np.array([by_cut.sum(), *[by_cut[k + 1 :].sum() * np.exp(theta[k + 1]) for k in range(GRADES - 2)]])
-        grad = np.concatenate([np.bincount(local, weights=values * by_score[rows], minlength=len(used)) + DECAY * w, grad_theta])
+        grad = np.concatenate([np.bincount(local, weights=values * by_score.astype(np.float32)[rows], minlength=len(used)) + DECAY * w, grad_theta])
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.999 * state[1] + 0.001 * grad * grad
         move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not got.num_rows:
         return fit(np.zeros(0, np.int32), np.zeros(0), np.zeros(1, int), np.zeros(0, int), bits)
     index, values = (got[c].combine_chunks() for c in ("index", "values"))
-    return fit(index.flatten().to_numpy(), values.flatten().to_numpy().astype(np.float64), index.offsets.to_numpy() - index.offsets[0].as_py(), got["grade"].to_numpy().astype(int), bits)
+    return fit(index.flatten().to_numpy(), values.flatten().to_numpy(), index.offsets.to_numpy() - index.offsets[0].as_py(), got["grade"].to_numpy().astype(int), bits)
 
 
 MADE = "expected_grade double, tail_probability double, kept boolean"
