@@ -125,3 +125,27 @@ def test_base_scores_match_brute_force(spark, sf):
     mean = lambda name: sum(r[name] for r in got if r["held_out"]) / sum(r["n_tokens"] for r in got if r["held_out"])
     assert mean("score") > -7
     assert lm_score.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_attention_model_learns_from_all_subwords(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + j * j) % 30}" for j in range(n)) for i, n in enumerate([1, 0, 200, 3000, 25, 24, 60])]
+    keys = [k for k in range(100) if crc32(str(k).encode()) % 5 != 1][: len(texts)]
+    seen = {}
+
+    def spy(name, f):
+        def run(*args):
+            seen[name] = f(*args)
+            return seen[name]
+
+        return run
+
+    for name in ("neighbours", "averaged"):
+        monkeypatch.setattr(lm_score, name, spy(name, getattr(lm_score, name)))
+    monkeypatch.setattr(lm_score, "GROUP_IDS", 500, raising=False)
+    lm_score.score(spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string").repartition(2)).collect()
+    enc = lm_score.encoder(lm_score.public_tokenizers.path(lm_score.VOCABULARY), lm_score.public_tokenizers.PATTERN)
+    ids = [enc.encode_ordinary(t) for t in texts]
+    counted = Counter(y for x in texts for w in x.split() for y in enc.encode_ordinary(" " + w))
+    pairs = Counter(p for x in ids for p in zip(x, x[1:]) if p[0] in counted and p[1] in counted)
+    assert seen["neighbours"].sum() == sum(pairs.values())
+    assert seen["averaged"][1] == sum(len(x) + 1 for x in ids)
