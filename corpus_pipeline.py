@@ -1,7 +1,7 @@
 """The training-data pipeline: stages over documents, each written and reread by the next.
 
 quality    documents that the ordinal model does not rate good go
-jaccard    of each group of near-duplicates the document with the smallest id stays
+jaccard    of each group of near-duplicates the first row by document id stays
 substrings words of passages that repeat elsewhere go; a document that loses all keeps its row
 mixing     documents are drawn 0 to 3 times to bring their sources to target weights
 tokens     texts become subword ids
@@ -26,9 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with one id are one document; rows without an id are in no group and stay."""
-    others = classes(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Rows are told apart by a written number, whatever their ids: of each component of their own shingle sets
+    the first by (doc_id, number) stays, null ids last.  A row without words is in no group and stays."""
+    scratch = Scratch(spark, "pipeline-jaccard")
+    rows = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    placed = classes(rows, key="__row").join(rows.select("__row", "doc_id"), "__row")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x"))
+    first = scratch.keep(first.select(F.col("x.__row").alias("__row")), "first")
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,15 @@ def test_stages_match_brute_force(spark, sf, tmp_path):
 def test_run_gives_the_last_stage(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and got.count() > 0
+
+
+def test_near_duplicates_are_decided_by_row(spark, sf):
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("a")), (None, text("a") + " more"), (None, text("b")), (7, text("c")), (7, text("c"))]
+    rows += [(1, text("d")), (9, text("d")), (9, text("e")), (9, text("f")), (None, text("f")), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard(spark, docs, sf).collect()]
+    a = [x for x in got if x[1] and x[1].startswith("a0 ")]
+    assert len(a) == 1 and a[0][0] is None
+    want = [(None, text("b")), (7, text("c")), (1, text("d")), (9, text("e")), (9, text("f")), (9, ""), (9, ""), (None, None)]
+    assert sorted(map(str, got)) == sorted(map(str, [*a, *want]))
