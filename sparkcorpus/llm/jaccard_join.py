@@ -13,7 +13,8 @@ Nothing emits all pairs of a group that shares a shingle:
   1. of the owners of a shingle each is paired with the most central one, and with the one before it in
      that order; of these pairs every set keeps the two with most common shingles;
   2. verified links form components, and only owners of a shingle that lie in different ones
-     are paired further, so that no link is lost.
+     are paired further, so that no component is split.
+The result is components only: links inside a component beyond those that made it are not verified or counted.
 Pairs first meet with sketches of their sets, two to four parity bits a shingle: no two sets differ in
 fewer shingles than their sketches in bits, so a pair whose sketches differ too much is no link.
 The sets of the few others are made from the texts again and compared in full.
