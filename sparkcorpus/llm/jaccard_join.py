@@ -4,7 +4,8 @@ Texts become sets of word-shingle hashes; equal sets are one vertex.  Shingles h
 order, rare ones first.  If two sets of Jaccard similarity s share at least t shingles, then for
 any l the first n - t + l shingles of each hold at least l common ones.  Every set picks its own
 l: where the estimated cost of its candidates is high, it takes a longer prefix and asks for
-more common shingles.  A pair is verified only if its prefixes share min(l, l') shingles.
+more common shingles.  A pair is a candidate only if its prefixes share min(l, l') shingles, which is counted
+before sketches and sets are compared.
 
 Which shingles are common is found in two ways: those that several texts of one group of rows share,
 and, by exact counts over all documents, those that many prefixes in order of hash have.
@@ -45,6 +46,8 @@ SCAN_BYTES, SKETCH = 2 << 20, 256
 FEW, BLOCK = 6, 512
 #: The longest prefixes ask for so many common shingles.
 MOST_SHARED = 8
+#: Shingles of pairs that are verified together.
+VERIFIED = 1 << 18
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,15 +154,16 @@ def common_order(documents: DataFrame, text: str, scanned: DataFrame, percent: i
     arrays = lambda df: [df.toArrow()[c].to_numpy() for c in ("shingle", "owners")]
     heavy = arrays(scanned.filter("kind = 1").groupBy(F.col("a").alias("shingle")).agg(F.sum("b").alias("owners")).filter(F.col("owners") >= least))
     first = sc.broadcast(Order(heavy[0].view(np.uint64), heavy[1]))
-    counted = emitted(documents, text, first, percent, LONGER).groupBy("shingle").agg(F.count("*").alias("owners")).filter(F.col("owners") >= LEAST_COMMON)
+    counted = prefixes(documents, text, first, percent, LONGER).groupBy("shingle").agg(F.count("*").alias("owners")).filter(F.col("owners") >= LEAST_COMMON)
     common = arrays(counted.orderBy(F.desc("owners"), "shingle").limit(most))
     return sc.broadcast(Order(np.concatenate([heavy[0], common[0]]).view(np.uint64), np.concatenate([heavy[1], common[1]])))
 
 
-def emitted(documents: DataFrame, text: str, order, percent: int, longer: float | None = None) -> DataFrame:
-    """(shingle, vertex, n, l, q, heavy) for every prefix shingle; with `longer`, the light shingles alone, of
-    prefixes so many times as long.  q is the share of common shingles in the set: in a family of near
-    copies it is largest for those with fewest changes of their own, which so become the leaders."""
+def prefixes(documents: DataFrame, text: str, order, percent: int, longer: float | None = None) -> DataFrame:
+    """(v, n, l, q, light, heavy) for every text with words: the shingles of its prefix, those known as common apart.
+    With `longer`, the light shingles alone, a row each, of prefixes so many times as long.  q is the share of
+    common shingles in the set: in a family of near copies it is largest for those with fewest changes of
+    their own, which so become the leaders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = order.value
@@ -177,18 +181,23 @@ def emitted(documents: DataFrame, text: str, order, percent: int, longer: float
                 lengths = np.minimum((lengths * longer).astype(np.int64), sizes)
             begin = np.cumsum(lengths) - lengths
             take = np.arange(int(lengths.sum())) + np.repeat(cut[:-1] - begin, lengths)
+            light = at[take] < 0
             if longer:
-                yield pa.RecordBatch.from_arrays([pa.array(i64(hashes[take][at[take] < 0]))], ["shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(i64(hashes[take][light]))], ["shingle"])
                 continue
-            owner = np.repeat(np.arange(len(sizes)), lengths)
+            owner, some = np.repeat(np.arange(len(sizes)), lengths), np.flatnonzero(sizes)
+
+            def lists(which: np.ndarray) -> pa.Array:
+                bounds = np.searchsorted(owner[which], np.append(some, len(sizes))).astype(np.int32)  # noqa: B023
+                return pa.ListArray.from_arrays(pa.array(bounds), pa.array(i64(hashes[take][which])))  # noqa: B023
+
             central = (1000 * (sums[cut[1:]] - sums[cut[:-1]]) // np.maximum(sizes, 1)).astype(np.int16)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i64(hashes[take])), pa.array(i64(vertex)[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(ells[owner].astype(np.int8)), pa.array(central[owner]), pa.array(at[take] >= 0)],
-                ["shingle", "v", "n", "l", "q", "heavy"],
+                [pa.array(i64(vertex)[some]), pa.array(sizes[some].astype(np.int32)), pa.array(ells[some].astype(np.int8)), pa.array(central[some]), lists(light), lists(~light)], ["v", "n", "l", "q", "light", "heavy"]
             )
 
     rows = documents.select(documents[text].alias("text"))
-    return rows.mapInArrow(run, "shingle long" if longer else "shingle long, v long, n int, l byte, q short, heavy boolean")
+    return rows.mapInArrow(run, "shingle long" if longer else "v long, n int, l byte, q short, light array<long>, heavy array<long>")
 
 
 def runs_to_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -224,47 +233,53 @@ def runs_to_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "kind byte, a long, b long, n int, l byte")
 
 
-def sets_of(documents: DataFrame, key: str, text: str, wanted: DataFrame, order, percent: int) -> DataFrame:
-    """(v, p, l, items): the sets of wanted vertices in global order, from one document each."""
+def sets_of(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(v, items): the sets of wanted vertices, from one document each."""
     texts = documents.select(documents[key].cast("long").alias("key"), documents[text].alias("text")).join(wanted, "key").select("v", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = order.value
         for batch, raw, off in chunks(batches, "text"):
             hashes, cut, vertex = shingle_sets(raw, off)
-            at = heavy.find(hashes)
-            right = np.flatnonzero(i64(vertex) == batch.column(0).to_numpy())
-            out = [heavy.prefix(hashes[cut[i] : cut[i + 1]], at[cut[i] : cut[i + 1]], percent) for i in right]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i64(vertex)[right]), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.int32()), pa.array([x[0].tobytes() for x in out], pa.binary())],
-                ["v", "p", "l", "items"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(i64(hashes)))
+            right = pa.array(i64(vertex) == batch.column(0).to_numpy())  # a key may have several rows
+            yield pa.RecordBatch.from_arrays([pa.array(i64(vertex)), lists], ["v", "items"]).filter(right)
 
-    return texts.mapInArrow(run, "v long, p int, l int, items binary")
+    return texts.mapInArrow(run, "v long, items array<long>")
+
+
+def shared(pairs: DataFrame, owned: DataFrame) -> DataFrame:
+    """Of (a, b), those whose prefixes have min(l, l') shingles in common at least, as links do."""
+    side = lambda x: owned.select(F.col("v").alias(x), F.col("l").alias(f"l_{x}"), F.concat("light", "heavy").alias(f"p_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.filter(F.size(F.array_intersect("p_a", "p_b")) >= F.least("l_a", "l_b")).select("a", "b")
 
 
-def linked(x: bytes, px: int, lx: int, y: bytes, py: int, ly: int, percent: int) -> bool:
-    """Enough shingles in common among the prefixes, and then among the sets."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if len(np.intersect1d(a[:px], b[:py], assume_unique=True)) < min(lx, ly):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def common_items(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """Of each row, how many items two lists without repetitions share."""
+    flat = np.concatenate([x.flatten().to_numpy(), y.flatten().to_numpy()])
+    row = np.concatenate([np.repeat(np.arange(len(x)), z.value_lengths().to_numpy()) for z in (x, y)])
+    order = np.lexsort((flat, row))
+    flat, row = flat[order], row[order]
+    return np.bincount(row[1:][(flat[1:] == flat[:-1]) & (row[1:] == row[:-1])], minlength=len(x))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b), those that are linked."""
-    left = sets.select(F.col("v").alias("a"), F.col("p").alias("pa"), F.col("l").alias("la"), F.col("items").alias("xa"))
-    right = sets.select(F.col("v").alias("b"), F.col("p").alias("pb"), F.col("l").alias("lb"), F.col("items").alias("xb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "pa", "la", "xa", "pb", "lb", "xb")
+    side = lambda x: sets.select(F.col("v").alias(x), F.col("items").alias(f"x_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "x_a", "x_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                columns = [c.to_pylist() for c in batch.columns]
-                good = pa.array([linked(xa, pa_, la, xb, pb, lb, percent) for _, _, pa_, la, xa, pb, lb, xb in zip(*columns, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
+            upto = np.cumsum(sum(whole.column(c).value_lengths().to_numpy().astype(np.int64) for c in (2, 3)))
+            begin = 0
+            while begin < whole.num_rows:
+                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + VERIFIED, side="right")))
+                batch = whole.slice(begin, end - begin)
+                x, y = batch.column(2), batch.column(3)
+                common = common_items(x, y)
+                union = x.value_lengths().to_numpy() + y.value_lengths().to_numpy() - common
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(100 * common >= percent * union))
+                begin = end
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -346,23 +361,22 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", perce
     scanned = scratch.keep(scan(documents, key, text), "scanned")
     linked_docs = documents.filter(documents[key].isNotNull())
     order = common_order(linked_docs, text, scanned, percent)
-    scratch.release()
     rows = scanned.filter("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("n"), F.col("c").alias("v"), "sketch")
     linkable = rows.filter("v is not null and key is not null")
     vertices = scratch.keep(linkable.groupBy("v").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "vertices")
 
-    rows_of = emitted(linked_docs, text, order, percent)
-    light = rows_of.filter("not heavy").drop("heavy").repartition("shingle").sortWithinPartitions("shingle", F.desc("q"), "v")
+    # equal sets have equal prefixes: one row a vertex
+    owned = scratch.keep(prefixes(linked_docs, text, order, percent).dropDuplicates(["v"]), "prefixes")
+    light = owned.select(F.explode("light").alias("shingle"), "v", "n", "l", "q").repartition("shingle").sortWithinPartitions("shingle", F.desc("q"), "v")
     counts = runs_to_pairs(light, percent).groupBy("kind", "a", "b").agg(F.count("*").alias("c"), F.any_value("n").alias("n"), F.any_value("l").alias("l"))
     runs = scratch.keep(counts, "runs")
-    heavy = scratch.keep(rows_of.filter("heavy").drop("heavy").distinct(), "heavy")
+    heavy = owned.select(F.explode("heavy").alias("shingle"), "v", "n", "l", "q")
     first = scratch.keep(heavy.groupBy("shingle").agg(F.max_by("v", F.struct("q", "v")).alias("lead")), "leads")
     led = heavy.join(first, "shingle").filter("lead <> v").groupBy(F.col("lead").alias("a"), F.col("v").alias("b")).agg(F.count("*").alias("c")).withColumn("kind", F.lit(0))
     owners = runs.filter("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("v"), "n", "l").unionByName(heavy.drop("q"))
     best = runs.filter("kind <> 1").select("kind", "a", "b", "c").unionByName(led).groupBy("kind", "b").agg(F.max(F.struct("c", -F.col("a"), "a")).alias("x"))
     pairs = best.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct()
     pairs = scratch.keep(pairs, "pairs")
-    scratch.release()
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     links, groups = None, None
@@ -378,18 +392,17 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", perce
             more = few.join(other, "shingle").filter((F.col("v") < F.col("w")) & (F.col("g") != F.col("h")) & fits(F.col("n"), F.col("m"))).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
             pairs, done = scratch.keep(more.join(pairs, ["a", "b"], "left_anti"), "more"), pairs
             found = blockwise(left.filter(F.col("k") > FEW).drop("l"), vertices, scratch, percent)
-            close = scratch.keep(alike(pairs, vertices, percent).unionByName(found.join(done, ["a", "b"], "left_anti")).distinct(), "close-1")
+            close = scratch.keep(alike(shared(pairs, owned), vertices, percent).unionByName(shared(found.join(done, ["a", "b"], "left_anti"), owned)).distinct(), "close-1")
         else:
-            close = scratch.keep(alike(pairs, vertices, percent), "close-0")
+            close = scratch.keep(alike(shared(pairs, owned), vertices, percent), "close-0")
         names = close.select(F.col("a").alias("v")).unionByName(close.select(F.col("b").alias("v"))).distinct()
         wanted = scratch.keep(vertices.select("v", "key").join(names, "v"), f"wanted-{round_}")
-        sets = scratch.keep(sets_of(documents, key, text, scratch.narrow(wanted), order, percent), f"sets-{round_}")
+        sets = scratch.keep(sets_of(documents, key, text, scratch.narrow(wanted)), f"sets-{round_}")
         found = scratch.keep(verify(close, sets, percent), f"links-{round_}")
         links = found if links is None else links.unionByName(found)
         groups = scratch.keep(connected_components(links, scratch, f"components-{round_}"), f"groups-{round_}")
         scratch.drop(f"sets-{round_}")
-        scratch.release()
-    scratch.drop("runs", "heavy", "placed", "blocks")
+    scratch.drop("runs", "prefixes", "placed", "blocks")
 
     labelled = scratch.keep(rows.join(groups, rows["v"] == groups["node"], "left").select("key", "n", "v", F.coalesce("component", "v").alias("g")), "labelled")
     least = scratch.keep(labelled.filter("g is not null").groupBy(F.col("g").alias("h")).agg(F.min("key").alias("least")), "least")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcorpus.llm.kernels import LOWER, U, Words, chunks, mix
+from sparkcorpus.llm.scratch import small_batches
 
 GRADES = 3
 #: Labelled rows that the model is fitted on, at most; bits of the feature hashes.
@@ -159,6 +160,7 @@ def rate(df: DataFrame, model: Model, text: str = "text", least: float = 0.5, ke
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema] + [MADE])
     bits = int(len(model.weights)).bit_length() - 1
     shared = df.sparkSession.sparkContext.broadcast(model)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

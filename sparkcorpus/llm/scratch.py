@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
-#: Only for sessions that name no shared folder (tests on one machine).
+#: Only for sessions on one machine (tests) that name no shared folder.
 LOCAL_DEFAULT = "/tmp/checkpoints"
+#: Rows are whole texts, so fewer of them than Spark's default go to Python at once.
+BATCH, RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a local one is set."""
+    """The folder in spark.checkpoint.dir; where it is unset, a local one is set if Spark runs in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = LOCAL_DEFAULT
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch to RECORDS, unless the session has less."""
+    if int(spark.conf.get(BATCH)) > RECORDS:
+        spark.conf.set(BATCH, str(RECORDS))
+
+
 class Scratch:
     """Named Parquet tables of one run of an operator.
 
@@ -28,6 +39,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, operator: str):
+        small_batches(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
 
@@ -48,10 +60,3 @@ class Scratch:
         for name in names or ("",):
             path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def release(self) -> None:
-        """Ask the JVM to collect finished plans, so that their shuffle files go before the next step."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()

@@ -113,23 +113,19 @@ def repeats(df: DataFrame, text: str, scratch: Scratch, width: int = WIDTH, anch
     rows = seed_rows(df, text, width, anchor)
     found = rows.groupBy("anchor").agg(F.count("*").alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1")).filter("c > 1")
     found = scratch.keep(found.select("anchor", (F.col("s0") == F.col("s1")).alias("alike")), "anchors")
-    scratch.release()
     met = scratch.keep(rows.drop("span").join(found, "anchor"), "met")
     scratch.drop("anchors")
-    scratch.release()
     alike = met.filter("alike").select("t", "n", "first", "many")
 
     differ = met.filter("not alike").groupBy("t", "n").agg(F.collect_set(F.struct("anchor", "first", "many")).alias("seeds"))
     differ = scratch.keep(differ, "differ")
     located = texts(df, text).join(differ, "t").select("t", "n", "text", "seeds")
     windows = scratch.keep(window_rows(located, width), "windows")
-    scratch.release()
     twice = scratch.keep(windows.groupBy("anchor", "window").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "twice")
     extended = windows.join(twice, ["anchor", "window"]).select("t", "n", "first", F.lit(1).alias("many"))
     spans = alike.unionByName(extended).distinct().groupBy("t", "n").agg(F.collect_list(F.struct("first", "many")).alias("spans"))
     spans = scratch.keep(spans, "spans")
     scratch.drop("met", "differ", "windows", "twice")
-    scratch.release()
     return spans
 
 

@@ -21,12 +21,43 @@ def test_graph_finds_what_brute_force_finds():
     rng = np.random.default_rng(0)
     x = clusters(rng, 900)
     x[100:400] = x[100] + rng.normal(scale=0.01, size=(300, 16))
-    g = hnsw.Graph(hnsw.unit(x))
+    g = hnsw.Graph(hnsw.unit64(x).astype(np.float32))
     assert len(g.layers) > 1
-    ids = np.arange(len(x))
-    q, y = hnsw.links_between(g, x, ids, x, ids, 0.98)
+    ids, ones = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
     want = exact(x)
-    assert want[q, y].all() and len(q) >= 0.995 * want.sum() and len(set(zip(q, y, strict=True))) == len(q)
+    found = hnsw.Searched(g, x, ones, x, True, 0.98, ids, ids)
+    assert found.brute == 0 and found.true_links == found.found_links > 0
+    assert found.links.tolist() == want.sum(1).tolist()
+    roots = [hnsw.forest(*pairs, len(x)) for pairs in (np.nonzero(want), found.meets.T)]
+    assert (roots[0] == roots[1]).all()
+    y = x[:300] + rng.normal(scale=0.01, size=(300, 16)).astype(np.float32)
+    across = hnsw.Searched(g, x, ones, y, False, 0.98, ids, ids[:300])
+    u, w = hnsw.unit64(x), hnsw.unit64(y)
+    assert across.links.tolist() == (w @ u.T >= 0.98).sum(1).tolist()
+
+
+def test_audit_notices_a_crippled_graph():
+    """Few links between two shards, and a graph whose nodes lead nowhere: beams widen, then brute force finds them."""
+    rng = np.random.default_rng(2)
+    x, y = (rng.normal(size=(600, 32)).astype(np.float32) for _ in range(2))
+    y[:5] = x[100:105] + rng.normal(scale=0.005, size=(5, 32))
+    g = hnsw.Graph(hnsw.unit64(x).astype(np.float32))
+    g.layers = [np.full_like(g.layers[0], -1)]
+    ids, ones = np.arange(600), np.ones(600, dtype=np.int64)
+    found = hnsw.Searched(g, x, ones, y, False, 0.98, ids, ids + 600)
+    assert found.brute == 600 and found.rounds > 1
+    assert found.links.nonzero()[0].tolist() == [0, 1, 2, 3, 4]
+
+
+def test_audit_is_returned(spark):
+    rng = np.random.default_rng(3)
+    x = clusters(rng, 300)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 1) for i in range(300)] * 2, "vec_id long, embedding array<float>, label int")
+    out, audit = hnsw.near_duplicates(df, shard=100, with_audit=True)
+    seen = audit.first()
+    assert seen["audited"] > 0 and seen["found_links"] == seen["true_links"] > 0
+    want = exact(x)
+    assert {(r["vec_id"], r["n_links"]) for r in out.collect()} == {(i, 2 * int(want[i].sum()) + 1) for i in range(300)}
 
 
 def test_near_duplicates_over_shards(spark):

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkcorpus.llm import jaccard_join as j
@@ -65,8 +66,32 @@ def test_prefixes_of_linked_sets_share_enough():
         a, b = np.unique(base), np.unique(np.concatenate([base[int(rng.integers(0, 1 + len(base) // 5)) :], rng.choice(4000, int(rng.integers(0, 1 + len(base) // 6))).astype(np.uint64)]))
         common = len(np.intersect1d(a, b))
         x, y = (order.prefix(s, order.find(s), 80) for s in (a, b))
-        want = 100 * common >= 80 * (len(a) + len(b) - common)
-        assert j.linked(x[0].tobytes(), x[2], x[3], y[0].tobytes(), y[2], y[3], 80) == want
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            assert len(np.intersect1d(x[0][: x[2]], y[0][: y[2]])) >= min(x[3], y[3])
+
+
+def test_common_items():
+    rng = np.random.default_rng(1)
+    x, y = ([rng.choice(50, int(rng.integers(0, 30)), replace=False) - 25 for _ in range(200)] for _ in range(2))
+    lists = [pa.array([list(map(int, z)) for z in side], pa.list_(pa.int64())) for side in (x, y)]
+    assert j.common_items(*lists).tolist() == [len(set(a) & set(b)) for a, b in zip(x, y, strict=True)]
+
+
+def test_longer_prefixes_leave_fewer_candidates(spark, monkeypatch):
+    """Texts of three words, whose shingles are all common: with l = 1 each that two prefixes share makes a candidate."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(60))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(j, "LEAST_HEAVY", 4)
+    left, kept = {}, j.shared
+    for most in (1, 8):
+        monkeypatch.setattr(j, "MOST_SHARED", most)
+        seen = []
+        monkeypatch.setattr(j, "shared", lambda pairs, owned: (out := kept(pairs, owned), seen.append(out.count()))[0])  # noqa: B023
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in j.classes(df).collect())
+        assert got == sorted(brute.jaccard_groups(rows))
+        left[most] = sum(seen)
+    assert left[8] < left[1]
 
 
 def test_components(spark):
