@@ -83,6 +83,7 @@ def test_longer_prefixes_leave_fewer_candidates(spark, monkeypatch):
     rows = [(i, " ".join(rng.choice("abc") for _ in range(60))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(j, "LEAST_HEAVY", 4)
+    monkeypatch.setattr(j, "FEW", 1000)  # all candidates as rows, none in blocks that sketches thin out
     left, kept = {}, j.shared
     for most in (1, 8):
         monkeypatch.setattr(j, "MOST_SHARED", most)
