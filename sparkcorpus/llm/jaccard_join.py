@@ -100,6 +100,7 @@ class Order:
         order = np.argsort(tokens, kind="stable")
         tokens, owners = tokens[order], owners[order]
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
+        self.most_shared = MOST_SHARED
         self.tokens, self.owners = tokens[first], np.maximum.reduceat(owners, first) if len(first) else owners
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -119,7 +120,7 @@ class Order:
         rank = np.where(heavy, self.owners[at], 0)
         order = np.argsort(rank, kind="stable")  # hashes come sorted, so ties stay in order of hash
         hashes, at, rank = hashes[order], at[order], rank[order]
-        ells = np.arange(1, min(MOST_SHARED, max(least, 1)) + 1)
+        ells = np.arange(1, min(self.most_shared, max(least, 1)) + 1)
         upto = np.cumsum(rank)[np.minimum(n - least + ells, n) - 1]
         # owners to go through, and candidates to verify, of which l common shingles are asked
         ell = int(ells[np.argmin(ells + upto + n * (upto / ells))])
