@@ -204,16 +204,30 @@ class Graph:
         out.unit, out.layers, out.first = self.unit[order], [place[x[order]] for x in self.layers], int(place[self.first])
         return out
 
+    def backward(self) -> tuple[np.ndarray, np.ndarray]:
+        """The lowest layer's links read backwards: of node i, begin[i] .. begin[i + 1] of the second array."""
+        if not hasattr(self, "_backward"):
+            layer = self.layers[0]
+            a, b = np.nonzero(layer >= 0)
+            to = layer[a, b]
+            order = np.argsort(to, kind="stable")
+            self._backward = np.searchsorted(to[order], np.arange(len(layer) + 1)), a[order].astype(np.int32)
+        return self._backward
+
     def around(self, queries: np.ndarray, start: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For a block of queries: the nodes found with at least this similarity to any of them, and the ids
-        and similarities that the beams ended with."""
+        and similarities that the beams ended with.  What the beams found spreads along links in both directions, since
+        of a dense cluster some nodes are named by none of their neighbours."""
         sims, ids = self.search(queries, start, 0, min(beam, len(self.unit)))
         seen = np.zeros(len(self.unit), dtype=bool)
         front = np.unique(ids[(sims >= least) & (ids >= 0)])
         seen[front] = True
         kept = [front]
+        begin, back = self.backward()
         while len(front):
-            near = self.layers[0][front].ravel()
+            many = begin[front + 1] - begin[front]
+            place = np.arange(int(many.sum())) + np.repeat(begin[front] - (np.cumsum(many) - many), many)
+            near = np.concatenate([self.layers[0][front].ravel(), back[place]])
             near = np.unique(near[near >= 0])
             near = near[~seen[near]]
             seen[near] = True
@@ -403,6 +417,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         return pa.Table.from_arrays([*head, *packed, layers, *[pa.array([x], pa.int64()) for x in s.audit()]], names)
 
     # a group is one shard, of about so many rows
+    n_shards = counts.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
+    dealt = dealt.repartition(2 * n_shards + 1, "label", "d", "shard")  # as many tasks as the work asks for, however few its bytes
     index = scratch.keep(dealt.groupBy("label", "d", "shard").applyInArrow(build, INDEX), "index")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,7 +464,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     # each part meets every other shard; a shard's graph goes to as many tasks as its label has shards
     targets = parts.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).filter("shard <> own").withColumn("salt", F.pmod(F.xxhash64("own", "part"), "shards").cast("int"))
     graphs = many.select("label", "d", "shard", "ids", "vectors", "weights", "groups", "layers", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("salt"))
-    across = graphs.groupBy(*keys).cogroup(targets.drop("own", "part", "shards").groupBy(*keys)).applyInArrow(query, FOUND)
+    n_tasks = index.filter("shards > 1").count() * 4 + 1
+    graphs, targets = graphs.repartition(n_tasks, *keys), targets.drop("own", "part", "shards").repartition(n_tasks, *keys)
+    across = graphs.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(query, FOUND)
     within = index.select("ids", "links", "groups", *AUDITED).mapInArrow(unpack, FOUND)
     found = scratch.keep(within.unionByName(across), "found")
     links = found.filter("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
