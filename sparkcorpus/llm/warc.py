@@ -28,6 +28,8 @@ DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Neighbouring records are read at once if no more than GAP bytes lie between them, up to READ bytes.
 GAP, READ = 1 << 16, 8 << 20
+#: Bytes of archives that a task reads, about.
+TASK = 32 << 20
 INDEX = "archive string, offset long, length long, url string, digest string, record_key long, record_type string"
 RECORD = "record_key long, url string, record_type string, refers_to long, digest string, payload_bytes long, payload binary"
 
@@ -101,15 +103,19 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
 
     Each task writes one archive under a name of its own attempt and renames it when it is
     whole; index rows name the file of the attempt that Spark took.  Records are gzip members.
+
+    Every row is a record.  A null payload is empty and a null URL left out; rows with a null key are responses.
+    Repeated rows with one key and payload are all responses, and copies refer to the key.  A payload of any length is
+    one record, held in memory by its task.  No rows give no archive; other columns are ignored.  Keys are cast to long.
     """
     rows = deduplicated(df, key, url, payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, at = TaskContext.get(), None, 0
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
-        index: list[tuple] = []
         fs = path = None
         for batch in batches:
+            index: list[tuple] = []
             for k, u, data, sha1, size, refers in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 if out is None:
                     fs, path = store(name)
@@ -121,10 +127,11 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
                 out.write(packed)
                 index.append((name, at, len(packed), u, digest, k, "response" if refers is None else "revisit"))
                 at += len(packed)
+            if index:  # if the task fails later, its rows go with it
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*index, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["archive", "offset", "length", "url", "digest", "record_key", "record_type"])
         if out is not None:
             out.close()
             fs.move(f"{path}.part", path)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*index, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["archive", "offset", "length", "url", "digest", "record_key", "record_type"])
 
     return rows.mapInArrow(run, INDEX)
 
@@ -143,8 +150,10 @@ def ranges(offsets: list[int], lengths: list[int], gap: int = GAP, most: int = R
 
 def read(index: DataFrame, keep_payload: bool = True) -> DataFrame:
     """The records that the index rows name.  Rows are sorted by archive and offset, so that a task
-    reads few archives, forwards, in ranges; an empty index gives no rows."""
-    wanted = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    reads few archives, forwards, in ranges; there are as many tasks as the records' bytes ask for.  Repeated index
+    rows give repeated records; an empty index gives no rows."""
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    wanted = index.select("archive", "offset", "length").repartitionByRange(size // TASK + 1, "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def fetch(name: str, offsets: list[int], lengths: list[int]) -> Iterator[dict]:
         fs, path = store(name)
