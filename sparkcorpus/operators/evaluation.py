@@ -134,3 +134,14 @@ def sentence_recall(targets: DataFrame, chosen: DataFrame) -> DataFrame:
     size = chosen.groupBy("case").agg(F.sum(F.col("char_end") - F.col("char_start")).alias("chars"))
     out = per.groupBy("case").agg(F.bool_and(F.col("kept") > 0).alias("all_hit"), (F.sum("kept") / F.sum(F.col("th") - F.col("tl"))).alias("retention"), F.sum("kept").alias("kept"))
     return out.join(size, "case", "left").withColumn("precision", F.when(F.col("chars") > 0, F.col("kept") / F.col("chars")))
+
+
+def distinct_outputs(runs: DataFrame, case: str = "case", output: str = "output") -> DataFrame:
+    """How many different outputs the runs of each case gave, and their share of the runs."""
+    n = runs.groupBy(case).agg(F.count("*").alias("runs"), F.countDistinct(output).alias("outputs"))
+    return n.withColumn("share", F.col("outputs") / F.col("runs"))
+
+
+def run_listing(rows: DataFrame, keys: list[str] = ("run", "arm"), at: str = "at", failed: str = "failed") -> DataFrame:
+    """Recorded runs: cases, errors, and when they began and ended."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("cases"), F.count_if(failed).alias("errors"), F.min(at).alias("started"), F.max(at).alias("ended"))

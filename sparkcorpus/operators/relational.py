@@ -36,6 +36,12 @@ def top_per_group(df: DataFrame, group: list[str], k: int, *order: Column, name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= k)
 
 
+def mode(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, n): the most frequent value of each group, ties to the smallest; null is no value."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    return top_per_group(n, group, 1, F.desc("n"), F.asc(value), name="__rn").drop("__rn")
+
+
 def first_wins(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return top_per_group(df, key, 1, *order, name="__rn").drop("__rn")
 
