@@ -63,7 +63,7 @@ def digests(ids: np.ndarray, enc: tiktoken.Encoding) -> tuple[str, str]:
 def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP, digest_only: bool = False) -> DataFrame:
     """`df` without its text column, with n_tokens, ids (or not), ids_sha256 and decoded_sha256.
 
-    A null text is encoded as an empty one.  Repeated rows stay repeated.  Columns of `df` with the
+    A null text is encoded as an empty one.  Other columns may be of any type.  Repeated rows stay repeated.  Columns of `df` with the
     names of results are replaced; no rows give no rows.  Special tokens are ordinary text.
     """
     path = path or public_tokenizers.path(VOCABULARY)
@@ -118,7 +118,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern:
     begin = F.coalesce("cut", F.lit(overlap))
     end = F.when(F.col("last") | F.col("next_cut").isNull(), F.length("text")).otherwise(F.length("text") - overlap + F.col("next_cut"))
     cuts = cuts.select("id", "no", "row", "piece", F.substring("text", begin + 1, end - begin).alias("text"))
-    pieces = cuts.groupBy("id", "piece").agg(F.max("row").alias("row"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "").alias("text"))
+    pieces = cuts.groupBy("id", "piece").agg(F.any_value("row", True).alias("row"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "").alias("text"))
 
     def piecewise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
@@ -127,7 +127,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], ["id", "piece", "row", "ids"])
 
     encoded = pieces.mapInArrow(piecewise, f"id long, piece long, row {kind}, ids array<int>")
-    joined = encoded.groupBy("id").agg(F.max("row").alias("row"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids")).select("row", "ids")
+    joined = encoded.groupBy("id").agg(F.any_value("row", True).alias("row"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids")).select("row", "ids")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

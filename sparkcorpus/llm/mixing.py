@@ -1,19 +1,22 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Every source is dealt into at most BLOCKS blocks by a hash of the document.  A source whose
+Every source is dealt into blocks by a hash of the document.  A source whose
 target is r times its size gives floor(r) whole passes over its blocks and a partial pass:
 the first blocks of a seeded permutation, with a cut inside the last one.  The draws of all
 sources are exact block quotas; a binary tree splits them among the output shards, each node
 drawing the left half's quotas from a multivariate hypergeometric distribution.  A shard owns
 a disjoint stretch of each source's permuted draws and is shuffled locally.
 
-Only per-source totals reach the driver.  Block tables hold at most BLOCKS rows a source.
+The number of shards follows the size of the corpus, and that of blocks the number of shards.  Only per-source
+totals reach the driver, and the shards' quotas are made there: some bytes for each source and shard.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +25,10 @@ from sparkcorpus.llm.scratch import Scratch
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
-BLOCKS = 1024
-SHARDS = 8
+#: Blocks of a source: so many, and so many more for each shard.
+BLOCKS, MORE = 1024, 16
+#: Words of an output shard, about.
+SHARD_WORDS = 16_000_000
 SEED = 20260916
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
@@ -67,18 +72,26 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, key: str, source: str, text: str, seed: int) -> DataFrame:
-    """Columns the plan needs, beside the others: size, rank within a block, and block."""
+    """Columns the plan needs, beside the others: size, rank within a block, hash that gives the block, and source."""
     return docs.withColumns(
         {
             "__size": word_count(docs[text]),
             "__rank": F.xxhash64(F.lit(seed), docs[key].cast("string"), F.col(text)),
-            "__block": F.pmod(F.xxhash64(F.lit(seed + 1), docs[key].cast("string"), F.col(text)), F.lit(BLOCKS)).cast("int"),
+            "__hash": F.xxhash64(F.lit(seed + 1), docs[key].cast("string"), F.col(text)),
             "__source": docs[source].cast("string"),
         }
     )
 
 
-def plan(rows: DataFrame, scratch: Scratch, weights=WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    return rows.withColumn("__block", F.pmod("__hash", F.lit(blocks)).cast("int"))
+
+
+def shard_count(rows: DataFrame) -> int:
+    return int(rows.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]) // SHARD_WORDS + 1
+
+
+def plan(rows: DataFrame, scratch: Scratch, weights, shards: int, seed: int) -> DataFrame:
     """One row a block: source, source_size, target, the shards of its draws, and the highest
     rank of its documents that the last draw takes (`cut`; of the whole passes, all)."""
     spark = rows.sparkSession
@@ -94,7 +107,7 @@ def plan(rows: DataFrame, scratch: Scratch, weights=WEIGHTS, shards: int = SHARD
         "__source string, source_size long, target double, passes int, rest double, n_blocks int",
     )
     same = lambda a, b: a["__source"].eqNullSafe(b["__source"])
-    order = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 2), "__block"), "__block")  # at most BLOCKS rows
+    order = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 2), "__block"), "__block")  # a source's blocks
     dealt = blocks.join(sources, same(blocks, sources)).drop(sources["__source"])
     dealt = dealt.withColumns({"place": F.row_number().over(order) - 1, "before": F.sum("words").over(order) - F.col("words")})
     dealt = dealt.withColumn("part", F.when(F.col("before") + F.col("words") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0))
@@ -113,46 +126,57 @@ def plan(rows: DataFrame, scratch: Scratch, weights=WEIGHTS, shards: int = SHARD
     drawn = {r["__source"]: r["n"] for r in dealt.filter("part > 0").groupBy("__source").agg(F.count("*").alias("n")).collect()}
     quotas = np.array([p * int(r["blocks"]) + drawn.get(r[0], 0) for r, p in zip(totals, passes, strict=True)], dtype=np.int64)
     share = split_quotas(quotas, shards, seed)
-    ends = {r[0]: np.cumsum(share[:, i]).tolist() for i, r in enumerate(totals)}
-
-    def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        upto = np.asarray(ends[None if key[0] is None or key[0] != key[0] else key[0]])
-        frame = frame.sort_values("place")
-        n = len(frame)
-        draws = [np.searchsorted(upto, k * n + frame["place"].to_numpy(), side="right") for k in range(int(frame["passes"].iloc[0]) + 1)]
-        frame["shards"] = [[int(d[i]) for d in (draws if part else draws[:-1])] for i, part in enumerate(frame["part"])]
-        return frame[["__source", "__block", "source_size", "target", "passes", "cut", "shards"]]
-
-    placed = dealt.select("__source", "__block", "source_size", "target", "passes", "cut", "place", "part").groupBy("__source").applyInPandas(
+    ends = spark.sparkContext.broadcast({r[0]: np.cumsum(share[:, i]) for i, r in enumerate(totals)})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shards of each block's draws: draw k of a source's block p is its draw k * n + p."""
+        for batch in batches:
+            out = []
+            for source, p, n, passes, part in zip(*[batch.column(c).to_pylist() for c in ("__source", "place", "n_blocks", "passes", "part")], strict=True):
+                draws = np.arange(passes + (part > 0)) * n + p
+                out.append(np.searchsorted(ends.value[source], draws, side="right").tolist())
+            kept = ["__source", "__block", "source_size", "target", "passes", "cut"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.list_(pa.int32()))], [*kept, "shards"])
+
+    placed = dealt.select("__source", "__block", "source_size", "target", "passes", "cut", "place", "n_blocks", "part").mapInArrow(
         place, "__source string, __block int, source_size long, target double, passes int, cut long, shards array<int>"
     )
     return scratch.keep(placed, "plan")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """`docs` with size, source_size, target, times, taken and the shards of each row's draws.
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, shards: int | None = None, seed: int = SEED, keep_text: bool = True) -> DataFrame:
+    """`docs` with size, source_size, target, times, taken and the shards of each row's draws; without its text
+    unless `keep_text`.  `shards`: how many; None: as the size of the corpus asks for.
 
     Null texts have size 0 and a null source is a source of its own, the last.  Repeated rows are
-    taken alike.  Columns of `docs` with these names are replaced.  No rows give no rows.  The
-    order depends on the keys, texts and seed alone, so reruns agree.
+    taken alike.  Columns of `docs` with these names are replaced.  No rows give no rows.  What is taken
+    depends on the keys, texts and seed alone, so reruns agree.
     """
     made = ["size", "source_size", "target", "times", "taken", "shards"]
     docs = docs.drop(*made)
+    columns = [c for c in docs.columns if keep_text or c != text]
+    scratch = Scratch(docs.sparkSession, "mix")
     rows = keyed(docs, key, source, text, seed)
-    dealt = plan(rows, Scratch(docs.sparkSession, "mix"), weights, shards, seed).withColumnsRenamed({"__source": "__s", "__block": "__b"})
+    needs = ["__source", "__hash", "__rank", "__size"]
+    sizes = scratch.keep(rows.select(*needs, *[c for c in columns if not keep_text]), "rows")  # texts are counted once
+    shards = shards or shard_count(sizes)
+    blocks = BLOCKS + MORE * shards
+    dealt = plan(in_blocks(sizes.select(*needs), blocks), scratch, weights, shards, seed).withColumnsRenamed({"__source": "__s", "__block": "__b"})
+    rows = in_blocks(rows if keep_text else sizes, blocks)
     out = rows.join(dealt, rows["__source"].eqNullSafe(dealt["__s"]) & (rows["__block"] == dealt["__b"]))
     times = F.col("passes") + (F.col("__rank") <= F.col("cut")).cast("int") * (F.col("cut") > LOWEST).cast("int")
     out = out.withColumn("times", times).withColumn("shards", F.slice("shards", F.lit(1), F.col("times")))
-    return out.select(*[docs[c] for c in docs.columns], F.col("__size").alias("size"), "source_size", "target", "times", (F.col("__size") * F.col("times")).alias("taken"), "shards")
+    return out.select(*columns, F.col("__size").alias("size"), "source_size", "target", "times", (F.col("__size") * F.col("times")).alias("taken"), "shards")
 
 
-def materialise(mixed: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row for each draw, with its shard; shards are shuffled locally by a seeded hash."""
+def materialise(mixed: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """One row for each draw, with its shard; a partition a shard, which is shuffled locally by a seeded hash."""
+    shards = mixed.agg(F.coalesce(F.max(F.array_max("shards")), F.lit(0))).first()[0] + 1
     draws = mixed.select("*", F.posexplode("shards").alias("draw", "shard"))
     order = F.xxhash64(F.lit(seed + 3), F.col(key).cast("string"), "draw")
-    return draws.repartition(shards, "shard").sortWithinPartitions("shard", order)
+    return draws.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", order)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(documents).select("doc_id", "size", "source_size", "target", "taken", "times", "shards")
+    return mix(documents, keep_text=False).select("doc_id", "size", "source_size", "target", "taken", "times", "shards")

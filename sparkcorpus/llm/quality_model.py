@@ -124,9 +124,14 @@ def grade_of(quality, toxic):
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> Model:
-    """Fit on the texts of at most `sample` labelled rows; rows without a grade or a text are none."""
+    """Fit on the texts of at most `sample` labelled rows; rows without a grade or a text are none.
+
+    Several labels of one document, and several rows of one labelled document, are all fitted.  Labels of
+    documents that are not there do not count.  Without any, no document is rated better than another.
+    """
     rated = labels.select(labels[key].alias("k"), grade_of(labels["quality"], F.coalesce(labels["toxic"], F.lit(0))).alias("grade")).filter("grade is not null and k is not null")
-    chosen = rated.orderBy(F.xxhash64("k", F.lit(SEED)), "k", "grade").limit(sample)
+    have = docs.filter(docs[text].isNotNull()).select(docs[key].alias("k"))
+    chosen = rated.join(have, "k", "left_semi").orderBy(F.xxhash64("k", F.lit(SEED)), "k", "grade").limit(sample)
     # the sample's size is bounded by a parameter, so it may be broadcast
     texts = docs.select(docs[key].alias("k"), docs[text].alias("text")).filter("text is not null").join(F.broadcast(chosen), "k").select("grade", "text")
 

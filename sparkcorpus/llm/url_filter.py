@@ -1,7 +1,8 @@
 """URL filters by host-suffix and path-prefix expressions.
 
 Each URL is expanded into every (host suffix, path prefix) pair that a rule could name: the
-host and what follows each of its dots, and the path up to and with each of its slashes.
+host and what follows each of its dots, and the path up to and with each of its slashes, with as many labels and
+slashes as the rules have at most.  So the number of expressions has a bound, however long the URL.
 Expressions meet rules in an equi-join on the first bytes of their SHA-256; the full
 digest confirms the match, and of all rules that fit a URL the longest wins.
 """
@@ -34,8 +35,8 @@ def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
         if verdict not in ("allow", "block"):
             raise ValueError(f"not a verdict: {verdict}")
         digest = hashlib.sha256(f"{host}{path}".encode()).hexdigest()
-        rows.append((digest[:PREFIX], digest, f"{host}{path}", len(host) + len(path), len(path), verdict))
-    return spark.createDataFrame(rows, "rule_prefix string, rule_digest string, rule string, rule_length int, rule_path_length int, rule_verdict string")
+        rows.append((digest[:PREFIX], digest, f"{host}{path}", len(host) + len(path), len(path), host.count(".") + 1, path.count("/"), verdict))
+    return spark.createDataFrame(rows, "rule_prefix string, rule_digest string, rule string, rule_length int, rule_path_length int, rule_labels int, rule_slashes int, rule_verdict string")
 
 
 def lower_ascii(c: Column) -> Column:
@@ -52,9 +53,11 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), path
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """All host-suffix / path-prefix expressions of a URL, as strings."""
-    labels, parts = F.split(host, r"\.", -1), F.split(path, "/", -1)
+def expressions(host: Column, path: Column, most_labels: int, most_slashes: int) -> Column:
+    """The host-suffix / path-prefix expressions of a URL with no more labels and slashes than these, as strings."""
+    labels = F.split(host, r"\.", -1)
+    labels = F.slice(labels, F.greatest(F.size(labels) - F.lit(most_labels - 1), F.lit(1)), F.lit(most_labels))
+    parts = F.split(path, "/", most_slashes + 1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
@@ -72,9 +75,10 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     made = ("host", "path", "rule", "verdict")
     base = df.drop(*made)
     host, path = url_parts(base[url])
+    most = rules.agg(F.coalesce(F.max("rule_labels"), F.lit(1)), F.coalesce(F.max("rule_slashes"), F.lit(1))).first()
     keyed = base.withColumns({"host": host, "path": path}).withColumn("__row", F.monotonically_increasing_id())
     # the columns of the row travel as one struct, so none can clash with those of the rules
-    whole = keyed.select("__row", F.struct(*[keyed[c] for c in keyed.columns if c != "__row"]).alias("__doc"), expressions(F.col("host"), F.col("path")).alias("__all"))
+    whole = keyed.select("__row", F.struct(*[keyed[c] for c in keyed.columns if c != "__row"]).alias("__doc"), expressions(F.col("host"), F.col("path"), *most).alias("__all"))
     each = whole.select("__row", "__doc", F.explode_outer("__all").alias("__expression"))
     each = each.withColumn("__digest", F.sha2("__expression", 256)).withColumn("__prefix", F.substring("__digest", 1, PREFIX))
     met = each.join(rules, each["__prefix"] == rules["rule_prefix"], "left")

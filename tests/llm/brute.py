@@ -75,3 +75,52 @@ def repeats(texts, width=35):
 
 def near(a, b):
     return abs(a - b) <= 1e-9 * max(1, abs(a), abs(b))
+
+
+def line_rules(text):
+    """Lines with words, those that fail, their words, and the verdict."""
+    text = text or ""
+    seen, lines, gone, words_gone = set(), 0, 0, 0
+    endings = {c.encode()[-1] for c in '.!?:;"\')]' + "\u2026\u00bb\u201d\u2019\u3002\uff01\uff1f"}
+    phrases = ("all rights reserved", "licensed under the", "is licensed under", "terms of service", "privacy policy", "cookie policy", "enable javascript", "lorem ipsum")
+    for line in text.split("\n"):
+        w = words(line)
+        if not w:
+            continue
+        lines += 1
+        fails = w[-1].encode()[-1] not in endings and len(w) <= 60
+        fails |= sum(c in "!?" for c in line) > 0.5 * len(w)
+        fails |= sum(c in "#*$%&|<>" for c in line) > 0.1 * sum(map(len, w))
+        fails |= w.count("|") > 0.2 * len(w)
+        fails |= any(p in lower(line) for p in phrases)
+        fails |= line in seen
+        seen.add(line)
+        gone += fails
+        words_gone += fails * len(w)
+    base = base_rules(text)
+    return {"n_lines": lines, "n_lines_removed": gone, "n_words_removed": words_gone, "kept": not base["base_failed"] and base["n_words"] - words_gone >= 0.5 * base["n_words"]}
+
+
+def mixing_targets(sizes, weights, most=3.0):
+    """By bisection on the words a unit of weight gets: min(weight * x, most * size) sums to all."""
+    total = sum(sizes)
+    lo, hi = 0.0, most * total + 1.0
+    for _ in range(200):
+        x = (lo + hi) / 2
+        if sum(min(w * x, most * s) for s, w in zip(sizes, weights, strict=True)) < total:
+            lo = x
+        else:
+            hi = x
+    return [min(w * hi, most * s) for s, w in zip(sizes, weights, strict=True)]
+
+
+def ordinal_loss(rows, grades, weights, thresholds):
+    """Mean negative log-likelihood of a cumulative-link model; rows: dicts of feature to value."""
+    import math
+
+    total = 0.0
+    for row, grade in zip(rows, grades, strict=True):
+        s = sum(weights.get(k, 0.0) * v for k, v in row.items())
+        below = [0.0, *[1 / (1 + math.exp(s - t)) for t in thresholds], 1.0]
+        total -= math.log(max(below[grade + 1] - below[grade], 1e-12))
+    return total / len(rows)

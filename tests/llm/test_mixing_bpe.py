@@ -1,9 +1,11 @@
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from sparkcorpus.llm import bpe, mixing
 from tests.llm import brute
@@ -33,7 +35,7 @@ def test_mix_comes_near_its_targets(spark):
     assert len(got) == len(rows)
     names = sorted({r[1] for r in rows if r[1] is not None}) + [None]
     sizes = [sum(len(brute.words(t)) for _, s, t in rows if s == n) for n in names]
-    goal = dict(zip(names, mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    goal = dict(zip(names, brute.mixing_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
     for n, size in zip(names, sizes, strict=True):
         mine = [r for r in got if r["source"] == n]
         assert all(r["source_size"] == size and abs(r["target"] - goal[n]) < 1e-6 for r in mine)
@@ -42,8 +44,31 @@ def test_mix_comes_near_its_targets(spark):
     again = mixing.mix(df.repartition(2)).collect()
     key = lambda r: (str(r["doc_id"]), r["text"] or "", r["taken"], r["shards"])
     assert sorted(map(key, got)) == sorted(map(key, again))
-    draws = mixing.materialise(mixing.mix(df)).collect()
-    assert len(draws) == sum(r["times"] for r in got)
+    narrow = mixing.mix(df, keep_text=False)
+    assert "text" not in narrow.columns
+    assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in narrow.collect()) == sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in got)
+
+
+def test_shards_are_disjoint_and_proportional(spark):
+    rows = [(i, f"s{i % 3}", "w " * (i % 40 + 1)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    mixed = mixing.mix(df, shards=4)
+    want = Counter((r["doc_id"], k, s) for r in mixed.collect() for k, s in enumerate(r["shards"]))
+    drawn = mixing.materialise(mixed)
+    parts = drawn.withColumn("p", F.spark_partition_id()).collect()
+    assert Counter((r["doc_id"], r["draw"], r["shard"]) for r in parts) == want and max(want.values()) == 1
+    assert len({(r["p"], r["shard"]) for r in parts}) == 4 == len({r["p"] for r in parts})  # a partition a shard
+    for source in ("s0", "s1", "s2"):
+        mine = Counter(r["shard"] for r in parts if r["source"] == source)
+        assert set(mine) == {0, 1, 2, 3} and max(mine.values()) < 2 * min(mine.values())
+    assert mixing.shard_count(mixing.keyed(df, "doc_id", "source", "text", 1)) == 1
+
+
+def test_repeated_and_very_long_rows(spark):
+    df = spark.createDataFrame([(1, "a", "w " * 200_000)] * 2 + [(2, "b", "x y")] * 3 + [(3, None, "")], "doc_id long, source string, text string")
+    got = mixing.mix(df).collect()
+    assert len(got) == 6 and len({(r["doc_id"], r["taken"]) for r in got}) == 3
+    assert all(r["taken"] == 6 for r in got if r["doc_id"] == 2)  # three times all that the source has
 
 
 def test_mix_of_no_rows(spark):
@@ -77,3 +102,15 @@ def test_bpe_equals_the_library(spark, sf):
     for r in bpe.encode(spark.read.parquet(f"{sf}/documents.parquet"), chunk=2000, overlap=100, digest_only=True).collect():
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, enc.encode_ordinary(docs[r["doc_id"]]))).encode()).hexdigest()
     assert bpe.encode(df.limit(0)).collect() == []
+
+
+def test_long_texts_take_the_stitched_path(spark):
+    """With production parameters, and columns of types that have no order."""
+    enc = reference()
+    rng = np.random.default_rng(2)
+    texts = ["x" * 90_000, "".join(rng.choice(["word ", "\u65e5\u672c", "1234", "\n\n", "don't "], 30_000)), "short", "  " * 40_000 + "end"]
+    df = spark.createDataFrame([(i, t, {"k": i}) for i, t in enumerate(texts)], "doc_id long, text string, extra map<string,int>")
+    got = {r["doc_id"]: r for r in bpe.encode(df).collect()}
+    assert len(got) == 4
+    for i, t in enumerate(texts):
+        assert got[i]["ids"] == enc.encode_ordinary(t) and got[i]["extra"] == {"k": i}

@@ -25,6 +25,36 @@ def test_gradients_of_the_ordinal_model():
     assert (np.round(tails.sum(1)) == grades).mean() > 0.97
 
 
+def test_fit_reaches_what_plain_descent_reaches():
+    rng = np.random.default_rng(5)
+    words = ["good", "fine", "bad", "poor", "the", "and", "vile"]
+    texts = [" ".join(rng.choice(words, 12, p=p)) for p in ([0.3, 0.3, 0, 0, 0.2, 0.2, 0], [0, 0.1, 0.3, 0.3, 0.15, 0.15, 0], [0, 0, 0.2, 0.1, 0.2, 0.2, 0.3]) for _ in range(40)]
+    grades = np.repeat([2, 1, 0], 40)
+    index, values, bounds = quality_model.features(*strings(pa.array(texts)))
+    rows = [dict(zip(index[a:b].tolist(), values[a:b].tolist(), strict=True)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    model = quality_model.fit(index, values, bounds, grades)
+    got = brute.ordinal_loss(rows, grades, dict(enumerate(model.weights.tolist())), model.thresholds)
+    # a plain version: dense rows, gradients by differences in the score, steps downhill
+    used = sorted({k for r in rows for k in r})
+    x = np.array([[r.get(k, 0.0) for k in used] for r in rows])
+    w, t = np.zeros(len(used)), np.array([-1.0, 1.0])
+
+    def loss(w, t):
+        below = np.concatenate([np.zeros((len(x), 1)), 1 / (1 + np.exp((x @ w)[:, None] - t)), np.ones((len(x), 1))], 1)
+        return -np.log(np.maximum(below[np.arange(len(x)), grades + 1] - below[np.arange(len(x)), grades], 1e-12))
+
+    for _ in range(400):
+        slope = (loss_at(x @ w + 1e-5, t, grades) - loss_at(x @ w - 1e-5, t, grades)) / 2e-5
+        cut = [(loss(w, t + 1e-5 * np.eye(2)[k]).mean() - loss(w, t - 1e-5 * np.eye(2)[k]).mean()) / 2e-5 for k in range(2)]
+        w, t = w - 2.0 * x.T @ slope / len(x), np.sort(t - 2.0 * np.array(cut))
+    assert got <= loss(w, t).mean() + 0.02
+
+
+def loss_at(scores, t, grades):
+    below = np.concatenate([np.zeros((len(scores), 1)), 1 / (1 + np.exp(scores[:, None] - t)), np.ones((len(scores), 1))], 1)
+    return -np.log(np.maximum(below[np.arange(len(scores)), grades + 1] - below[np.arange(len(scores)), grades], 1e-12))
+
+
 def test_features_of_repeated_and_empty_texts():
     index, values, bounds = quality_model.features(*strings(pa.array(["", None, "Word", "Word"])))
     assert list(np.diff(bounds)[:2]) == [0, 0]

@@ -17,7 +17,7 @@ def test_rules_match_brute_force(spark):
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
     for i, t, _ in rows:
-        want = brute.base_rules(t)
+        want = brute.base_rules(t) | brute.line_rules(t)
         assert {k: by[i][k] for k in want} == want, (i, t)
 
 
@@ -25,7 +25,7 @@ def test_rules_on_the_test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: r for r in quality_rules.judge(docs, cleaned="clean").collect()}
     for r in docs.collect():
-        want = brute.base_rules(r["text"])
+        want = brute.base_rules(r["text"]) | brute.line_rules(r["text"])
         assert {k: got[r["doc_id"]][k] for k in want} == want
         assert len(brute.words(got[r["doc_id"]]["clean"])) == want["n_words"] - got[r["doc_id"]]["n_words_removed"]
 
@@ -45,7 +45,7 @@ def test_rules_of_no_rows(spark):
     assert quality_rules.judge(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-URLS = [None, "", "nonsense", "http://", "http://example.com", "http://example.com/", "HTTP://WWW.Example.COM/en/a?b#c", "http://example.com/en", "https://a.b.example.com/en/x/y", "ftp://shop.net/es/?q", "http://net/fr/", "http://xnet/fr/", "http://example.com?x=/en/", "http://a://b.net/fr/", "http://..net/es//", "http://foo.com:80/en/", "http://é.com/ü/"]
+URLS = [None, "", "nonsense", "http://", "http://example.com", "http://example.com/", "HTTP://WWW.Example.COM/en/a?b#c", "http://example.com/en", "https://a.b.example.com/en/x/y", "ftp://shop.net/es/?q", "http://net/fr/", "http://xnet/fr/", "http://example.com?x=/en/", "http://a://b.net/fr/", "http://..net/es//", "http://foo.com:80/en/", "http://é.com/ü/", "http://" + "a." * 3000 + "example.com/en/" + "x/" * 3000, "http://example.com/en//", "http://a.net/es" + "/" * 500]
 
 
 def test_url_filter_matches_sql(spark):
@@ -60,6 +60,33 @@ def test_url_filter_matches_sql(spark):
         url_filter.rules_table(spark, [("block", "x", "no-slash")])
 
 
+def test_longer_rules_than_the_usual(spark):
+    rules = url_filter.rules_table(spark, [("block", "a.b.c.d", "/x/y/z/"), ("allow", "d", "/")])
+    df = spark.createDataFrame([(1, "http://w.a.b.c.d/x/y/z/q"), (2, "http://b.c.d/x/y/z/"), (3, "http://a.b.c.d/x/y/")], "page_id long, url string")
+    assert sorted((r.page_id, r.verdict, r.rule) for r in url_filter.filter_urls(df, rules, default="block").collect()) == [(1, "block", "a.b.c.d/x/y/z/"), (2, "allow", "d/"), (3, "allow", "d/")]
+
+
+def test_warc_repeated_keys_and_other_columns(spark):
+    rows = [(1, "u", "same", 5), (1, "u", "same", 6), (0, "u", "same", 7), (None, "u", "same", 8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(2)
+    scratch = Scratch(spark, "test-warc-keys")
+    index = scratch.keep(warc.write(df, scratch.path("archives")), "index")
+    got = sorted(((r.record_key, r.record_type, r.refers_to) for r in warc.read(index).collect()), key=str)
+    assert got == sorted([(1, "response", None), (1, "response", None), (0, "revisit", 1), (None, "response", None)], key=str)
+    assert warc.read(index.unionByName(index)).count() == 8
+    scratch.drop()
+
+
+def test_warc_readers_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK", 5_000)
+    df = spark.createDataFrame([(i, f"http://h/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 9) for i in range(200)], "page_id long, url string, html string").repartition(4)
+    scratch = Scratch(spark, "test-warc-size")
+    index = scratch.keep(warc.write(df, scratch.path("archives")), "index")
+    records = warc.read(index)
+    assert records.rdd.getNumPartitions() > 5 and records.count() == 200
+    scratch.drop()
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/", "same"), (2, None, "same"), (3, "http://c/\r\nX: y", None), (4, "http://d/", ""), (5, "u", "é\r\n\r\nWARC/1.1\r\n" * 5000), (6, "u", "same"), (None, "n", "other")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
