@@ -21,6 +21,7 @@ from sparkcorpus.llm.substring_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null, empty and unlabelled texts are rated like others; those without words go.  Repeated rows are rated alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return rate(docs, train(docs, labels), keep_text=True).filter("kept").select(*docs.columns)
 
@@ -37,16 +38,19 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts become empty.  Rows stay, whatever their ids; repeated rows lose what they share."""
     left = remove_repeats(docs, output="__left")
     new = {"text": F.col("__left"), "n_chars": F.length("__left").cast(docs.schema["n_chars"].dataType)}
     return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts have no words and may be drawn like others; a null source is one of its own."""
     return materialise(mix(docs)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row, with its id; null texts have no tokens."""
     return encode(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
