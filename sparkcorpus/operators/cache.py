@@ -50,20 +50,20 @@ def stats(**caches: DataFrame) -> DataFrame:
     return out
 
 
-def stamp(chunks: DataFrame, doc: str = "doc_id", seq: str = "seq", text: str = "content", key: str = "id") -> DataFrame:
-    """One row: 12 hex digits of a SHA-1 over the count and each chunk's (doc, seq, hash) in order of key.
-
-    Each chunk is hashed where it lies; what meets in one row is a line of some 30 characters a chunk.
-    """
-    line = F.concat_ws(":", F.col(doc).cast("string"), F.col(seq).cast("string"), F.substring(F.sha1(F.encode(text, "UTF-8")), 1, 12))
-    rows = chunks.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("l")))).alias("x"))
-    return rows.select(F.substring(F.sha1(F.concat_ws("|", F.col("n").cast("string"), F.array_join(F.transform("x", lambda s: s["l"]), "|"))), 1, 12).alias("stamp"), "n")
-
-
-def bucket_stamps(chunks: DataFrame, doc: str = "doc_id", seq: str = "seq", text: str = "content", buckets: int = 1024) -> DataFrame:
-    """Order-free stamps of buckets of a corpus of any size: counts and sums of hashes, combined in each task."""
-    h = F.xxhash64(F.col(doc).cast("string"), F.col(seq).cast("string"), F.col(text))
-    return chunks.select(F.pmod(F.xxhash64(F.col(doc).cast("string")), F.lit(buckets)).alias("bucket"), h.cast("decimal(38,0)").alias("h")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
+def bucket_stamps(chunks: DataFrame, doc: str = "doc_id", seq: str = "seq", text: str = "content") -> DataFrame:
+    """(bucket, n, h): counts and sums of hashes of each chunk's (doc, seq, text), in 256 buckets by document.  Sums
+    do not depend on order, so they are combined in each task, whatever the size of the corpus."""
+    line = F.concat_ws(":", F.col(doc).cast("string"), F.col(seq).cast("string"), F.sha1(F.encode(text, "UTF-8")))
+    h = F.conv(F.substring(F.sha1(line), 1, 15), 16, 10).cast("decimal(38,0)")
+    bucket = F.substring(F.sha1(F.col(doc).cast("string")), 1, 2)
+    return chunks.select(bucket.alias("bucket"), h.alias("h")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
+
+
+def stamp(chunks: DataFrame, doc: str = "doc_id", seq: str = "seq", text: str = "content") -> DataFrame:
+    """One row: 12 hex digits of a SHA-1 over the stamps of all buckets, and the count."""
+    line = F.concat_ws(":", "bucket", F.col("n").cast("string"), F.col("h").cast("string"))
+    rows = bucket_stamps(chunks, doc, seq, text).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(line)).alias("x"))  # at most 256 lines
+    return rows.select(F.substring(F.sha1(F.concat_ws("|", F.col("n").cast("string"), F.array_join("x", "|"))), 1, 12).alias("stamp"), "n")
 
 
 def reusable(stamps: DataFrame, manifest: DataFrame) -> DataFrame:

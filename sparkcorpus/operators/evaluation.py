@@ -26,9 +26,17 @@ def self_hits(ranked: DataFrame, targets: DataFrame, k: int, case: str = "case")
 
 
 def target_rank(distances: DataFrame, targets: DataFrame, case: str = "case") -> DataFrame:
-    """Rank of the best target: how many units are closer, and one."""
-    near = distances.join(targets.select(case, "unit").distinct(), [case, "unit"]).groupBy(case).agg(F.min("distance").alias("__d"))
-    return distances.join(near, case).groupBy(case).agg((F.count_if(F.col("distance") < F.col("__d")) + 1).alias("rank"))
+    """Rank of the best target: how many units come before it by (distance, unit), and one.  Units are counted, not
+    sorted."""
+    near = distances.join(targets.select(case, "unit").distinct(), [case, "unit"]).groupBy(case).agg(F.min(F.struct("distance", "unit")).alias("__best"))
+    return distances.join(near, case).groupBy(case).agg((F.count_if(F.struct("distance", "unit") < F.col("__best")) + 1).alias("rank"))
+
+
+def self_ranks(distances: DataFrame, targets: DataFrame, k: int, case: str = "case") -> DataFrame:
+    """`self_hits` from distances of all units, without ranking them."""
+    best = target_rank(distances, targets, case).withColumnRenamed("rank", "best")
+    out = targets.select(case).distinct().join(best, case, "left")
+    return out.select(case, "best", F.coalesce(F.col("best") == 1, F.lit(False)).alias("first"), F.coalesce(F.col("best") <= k, F.lit(False)).alias("in_k"))
 
 
 def find_excerpts(targets: DataFrame, units: DataFrame, unit: str = "id", content: str = "content", scope: str | None = None) -> DataFrame:

@@ -127,10 +127,15 @@ def min_distance_rrf(hits: DataFrame, case: str = "case", k: int = 60, base: int
     return hits.groupBy(case, "unit").agg(F.sum(1.0 / (k + F.col("rank") - 1 + base)).alias("rrf"), F.min("distance").alias("distance"))
 
 
-def narrow(queries: DataFrame, nodes: DataFrame, clusters: int) -> DataFrame:
-    """(query, unit): members of the clusters whose centroids are nearest."""
-    near = nodes.join(queries.select("query", F.col("vector").alias("__q"))).select("query", "id", "chunk_ids", V.cosine_distance(F.col("centroid"), F.col("__q")).alias("d"))
-    return top_per_group(near, ["query"], clusters, F.asc("d"), F.asc("id")).select("query", F.explode("chunk_ids").alias("unit")).distinct()
+def narrow(queries: DataFrame, nodes: DataFrame, clusters: int, members: DataFrame | None = None) -> DataFrame:
+    """(query, unit): members of the clusters whose centroids are nearest: of a table (id, unit), or else of the
+    arrays that the nodes hold."""
+    near = nodes.join(queries.select("query", F.col("vector").alias("__q")))
+    near = near.select("query", "id", V.cosine_distance(F.col("centroid"), F.col("__q")).alias("d"), *["chunk_ids"] * (members is None))
+    best = top_per_group(near, ["query"], clusters, F.asc("d"), F.asc("id"))
+    if members is None:
+        return best.select("query", F.explode("chunk_ids").alias("unit")).distinct()
+    return best.select("query", "id").join(members.select("id", "unit"), "id").select("query", "unit").distinct()
 
 
 def top_sentences(queries: DataFrame, picked: DataFrame, sentences: DataFrame, per_chunk: int | None = None, overall: int | None = None) -> DataFrame:

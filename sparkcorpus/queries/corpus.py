@@ -110,11 +110,12 @@ def url_guard(spark, t):
     return t("pages").select("page_id", may_fetch(F.col("url")).alias("allowed"))
 
 
-@query("""WITH l AS (SELECT doc_id, doc_id || ':1:' || substr(sha1(text), 1, 12) AS l FROM documents)
-SELECT substr(sha1(count(*) || '|' || string_agg(l, '|' ORDER BY doc_id)), 1, 12) AS stamp, count(*) AS n FROM l""")
+@query("""WITH l AS (SELECT substr(sha1(doc_id::VARCHAR), 1, 2) AS bucket, ('0x' || substr(sha1(doc_id || ':1:' || sha1(text)), 1, 15))::BIGINT::HUGEINT AS h FROM documents),
+ b AS (SELECT bucket || ':' || count(*) || ':' || sum(h) AS line, count(*) AS n FROM l GROUP BY bucket)
+SELECT substr(sha1(sum(n) || '|' || string_agg(line, '|' ORDER BY line)), 1, 12) AS stamp, sum(n)::BIGINT AS n FROM b""")
 def corpus_stamp(spark, t):
     """K9: a stamp of the whole corpus."""
-    docs = t("documents").select(F.col("doc_id").alias("id"), "doc_id", F.lit(1).alias("seq"), F.col("text").alias("content"))
+    docs = t("documents").select("doc_id", F.lit(1).alias("seq"), F.col("text").alias("content"))
     return cache.stamp(docs)
 
 

@@ -120,8 +120,8 @@ def similar_pairs(spark, t):
     return E.similar_pairs(u, near=0.1).select("doc_id", "i", "j", *[F.round(c, 6).alias(c) for c in ("cosine", "overlap")])
 
 
-@query(f"""WITH {SQL_NEAR}, d AS (SELECT query, min(distance) AS d FROM near WHERE unit = query + 1 OR unit = query + 7 GROUP BY query)
-SELECT near.query AS "case", count(*) FILTER (distance < d) + 1 AS rank FROM near JOIN d USING (query) GROUP BY near.query""")
+@query(f"""WITH {SQL_NEAR}, d AS (SELECT query, min((distance, unit)) AS d FROM near WHERE unit = query + 1 OR unit = query + 7 GROUP BY query)
+SELECT near.query AS "case", count(*) FILTER ((distance, unit) < d) + 1 AS rank FROM near JOIN d USING (query) GROUP BY near.query""")
 def target_rank(spark, t):
     """How many units are nearer than the nearest target."""
     q, units = vectors(t)
@@ -201,6 +201,16 @@ def run_listing(spark, t):
     return E.run_listing(e).select("run", "arm", "cases", "errors", F.unix_seconds("started").alias("from_s"), F.unix_seconds("ended").alias("to_s"))
 
 
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ w AS (SELECT user_id, k, event_id, true AS ok, epoch_us(ts) + 200000000000 AS until FROM r WHERE k = 1
+   UNION ALL SELECT r.user_id, r.k, r.event_id, epoch_us(r.ts) >= w.until, CASE WHEN epoch_us(r.ts) >= w.until THEN epoch_us(r.ts) + 200000000000 ELSE w.until END FROM w JOIN r ON r.user_id = w.user_id AND r.k = w.k + 1)
+SELECT user_id, event_id FROM w WHERE ok""")
+def single_flight(spark, t):
+    """Jobs that may start: of one key, none starts while another runs (each runs for 200,000 seconds)."""
+    jobs = t("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"))
+    return G.single_flight(jobs.withColumn("end", F.col("start") + 200_000_000_000), "user_id", "event_id")
+
+
 # -- history and topics -----------------------------------------------------------------------------------------------
 
 

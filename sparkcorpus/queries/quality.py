@@ -44,9 +44,8 @@ def self_hit(spark, t):
 
     e = t("embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("case"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    d = e.join(q, F.col("vec_id") != F.col("case")).select("case", F.col("vec_id").alias("unit"), V.cosine_distance(F.col("embedding"), F.col("q")).alias("d"), (F.col("label") == F.col("ql")).alias("t"))
-    ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy("d", "unit")))
-    return E.self_hits(ranked, d.filter("t").select("case", "unit"), 10)
+    d = e.join(q, F.col("vec_id") != F.col("case")).select("case", F.col("vec_id").alias("unit"), V.cosine_distance(F.col("embedding"), F.col("q")).alias("distance"), (F.col("label") == F.col("ql")).alias("t"))
+    return E.self_ranks(d, d.filter("t").select("case", "unit"), 10).withColumn("best", F.col("best").cast("int"))
 
 
 SQL_PARAGRAPHS = """p AS (SELECT doc_id AS doc, unnest(split(text, chr(10))) AS p, unnest(range(1, len(split(text, chr(10))) + 1)) AS place FROM documents), s AS (SELECT doc, count(*) AS n FROM p GROUP BY doc)"""

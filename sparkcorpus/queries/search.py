@@ -163,8 +163,8 @@ SELECT query, e.vec_id AS unit FROM p JOIN embeddings e USING (label)""")
 def narrow_scope(spark, t):
     """Members of the two clusters nearest each query."""
     q, _ = vectors(t)
-    nodes = V.centroids(t("embeddings"), ["label"]).join(t("embeddings").groupBy("label").agg(F.collect_list("vec_id").alias("chunk_ids")), "label").withColumn("id", F.col("label"))
-    return R.narrow(q, nodes, 2)
+    nodes = V.centroids(t("embeddings"), ["label"]).withColumn("id", F.col("label"))
+    return R.narrow(q, nodes, 2, t("embeddings").select(F.col("label").alias("id"), F.col("vec_id").alias("unit")))
 
 
 @query(f"""WITH {SQL_NEAR}, k AS (SELECT query, unit, distance FROM near WHERE unit % 2 = 1)
@@ -187,7 +187,12 @@ def boundary_depth(spark, t):
     return cluster.depth_signal(u, "label").withColumn("depth", F.round("depth", 6)).select("label", "seq", "depth")
 
 
-@query()
+@query("""WITH u AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INTEGER AS seq FROM embeddings),
+ d AS (SELECT u.label, u.seq, avg(list_cosine_distance(a.e, b.e)) AS depth FROM u JOIN u a ON a.label = u.label AND a.seq BETWEEN u.seq - 2 AND u.seq - 1 JOIN u b ON b.label = u.label AND b.seq BETWEEN u.seq AND u.seq + 1 GROUP BY u.label, u.seq),
+ s AS (SELECT label, avg(depth) + 0.5 * stddev_pop(depth) AS cut FROM d GROUP BY label),
+ h AS (SELECT d.*, cut, max(depth) OVER (PARTITION BY d.label ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top FROM d JOIN s USING (label)), k AS (SELECT label, seq, depth FROM h WHERE depth >= top AND depth > cut),
+ j AS (SELECT *, CASE WHEN seq - lag(seq) OVER (PARTITION BY label ORDER BY seq) <= 2 THEN 0 ELSE 1 END AS new FROM k), g AS (SELECT *, sum(new) OVER (PARTITION BY label ORDER BY seq) AS g FROM j)
+SELECT label, seq, round(depth, 6) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY label, g ORDER BY depth DESC, seq) AS n FROM g) WHERE n = 1""")
 def boundary_peaks(spark, t):
     """Boundaries at local maxima of the depth."""
     from pyspark.sql.window import Window
@@ -208,7 +213,10 @@ def knapsack_pack(spark, t):
     return selection.knapsack(pool(t), 300).select("query", "unit", "tokens", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_NEAR}, p AS (SELECT *, (unit % 97 + 5)::INTEGER AS tokens, row_number() OVER (PARTITION BY query ORDER BY distance, unit)::INTEGER AS rank FROM near), c AS (SELECT * FROM p WHERE rank <= 40),
+ w AS (SELECT query, unit, tokens, rank, tokens <= 300 AS ok, CASE WHEN tokens <= 300 THEN tokens ELSE 0 END AS used FROM c WHERE rank = 1
+   UNION ALL SELECT c.query, c.unit, c.tokens, c.rank, w.used + c.tokens <= 300, CASE WHEN w.used + c.tokens <= 300 THEN w.used + c.tokens ELSE w.used END FROM w JOIN c ON c.query = w.query AND c.rank = w.rank + 1)
+SELECT query, unit, tokens, rank FROM w WHERE ok""")
 def skip_greedy_pack(spark, t):
     """In order, passing over what does not fit."""
     return selection.skip_greedy(pool(t), 300).select("query", "unit", "tokens", "rank")

@@ -139,3 +139,15 @@ def missing_vectors(df: DataFrame) -> DataFrame:
 
 def text_only(c: Column) -> Column:
     return F.decode(c, "UTF-8")
+
+
+CASES = "schema string, name string, kind string, judge string, note string, cases array<struct<id:string,doc:string,q:string,topic:string,cat:string,targets:array<struct<excerpt:string,doc:string,seq_hint:int,doc_names:array<string>>>>>"
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """(set, kind, judge, case, case_doc, question, target, excerpt, target_doc, doc_names): a row for each target of
+    each case of JSON case sets; a case without targets has one row with a null target."""
+    sets = spark.read.schema(CASES).json(path, multiLine=True)
+    rows = sets.select(F.col("name").alias("set"), F.coalesce("kind", F.lit("retrieval")).alias("kind"), F.coalesce("judge", F.lit("all-hit")).alias("judge"), F.explode("cases").alias("c"))
+    rows = rows.select("set", "kind", "judge", F.col("c.id").alias("case"), F.col("c.doc").alias("case_doc"), F.col("c.q").alias("question"), F.posexplode_outer("c.targets").alias("target", "t"))
+    return rows.select("set", "kind", "judge", "case", "case_doc", "question", "target", F.col("t.excerpt").alias("excerpt"), F.col("t.doc").alias("target_doc"), F.col("t.doc_names").alias("doc_names"))

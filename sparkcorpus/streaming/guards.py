@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -164,3 +165,24 @@ def batches_of(n: int, handle):
         handle(full.filter(F.col("__i") <= F.col("__n") - F.col("__n") % n).drop("__i", "__n"), epoch)
 
     return run
+
+
+def single_flight(jobs: DataFrame, key: str, job: str, start: str = "start", end: str = "end") -> DataFrame:
+    """(key, job): jobs that may start, in order of start; of one key none starts before the last one that did ends.
+
+    Which of them start is a chain, so each key's jobs are folded in order, a sorted batch after the other.
+    """
+    kinds = [jobs.schema[c].dataType.simpleString() for c in (key, job)]
+    rows = jobs.select(key, job, start, end).repartition(key).sortWithinPartitions(key, start, job)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, until = None, None
+        for batch in batches:
+            keep = []
+            for k, a, b in zip(*[batch.column(c).to_pylist() for c in (0, 2, 3)], strict=True):
+                ok = k != last or until is None or a >= until
+                last, until = k, b if ok else until
+                keep.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], [key, job]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, f"{key} {kinds[0]}, {job} {kinds[1]}")
