@@ -27,8 +27,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
 #: Blocks of a source: so many, and so many more for each shard.
 BLOCKS, MORE = 1024, 16
-#: Words of an output shard, about.
-SHARD_WORDS = 16_000_000
+#: Words of an output shard, about, and the partitions (files) that it is written in.
+SHARD_WORDS, SLICES = 64_000_000, 16
 SEED = 20260916
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
@@ -170,11 +170,13 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
 
 def materialise(mixed: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """One row for each draw, with its shard; a partition a shard, which is shuffled locally by a seeded hash."""
+    """One row for each draw, with its shard, shuffled within it by a seeded hash: a shard is SLICES partitions in a
+    row, each with a stretch of the hashes.  Draws of one document with one hash stay together."""
     shards = mixed.agg(F.coalesce(F.max(F.array_max("shards")), F.lit(0))).first()[0] + 1
     draws = mixed.select("*", F.posexplode("shards").alias("draw", "shard"))
     order = F.xxhash64(F.lit(seed + 3), F.col(key).cast("string"), "draw")
-    return draws.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", order)
+    part = F.col("shard") * SLICES + F.floor((order / F.lit(2.0**64) + 0.5) * SLICES).cast("int")
+    return draws.repartitionById(shards * SLICES, F.least(part, F.col("shard") * SLICES + SLICES - 1)).sortWithinPartitions("shard", order)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
