@@ -12,6 +12,8 @@ from pyspark.sql.functions import broadcast
 LOCAL_DEFAULT = "/tmp/checkpoints"
 #: Rows are whole texts, so fewer of them than Spark's default go to Python at once.
 BATCH, RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+#: While a table is written: shuffle files go when it is whole, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,19 +37,36 @@ class Scratch:
     """Named Parquet tables of one run of an operator.
 
     A table that is written here cuts the lineage: a lost executor costs its own tasks
-    again, not the steps before.  `drop` deletes tables that no later plan reads.
+    again, not the steps before.  `drop` deletes tables that no later plan reads.  What an operator returns may
+    still read some; `clear` deletes those of all operators, once results are written.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, operator: str):
         small_batches(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
+
+    @classmethod
+    def clear(cls, first: int = 0) -> None:
+        """Delete all tables of this process, from the `first`-th in `made` on.  Results that still read them are lost."""
+        gone = cls.made[first:]
+        del cls.made[first:]
+        for x in gone:
+            x.drop()
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def narrow(self, kept: DataFrame, most: int = 1_000_000) -> DataFrame:
