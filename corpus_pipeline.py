@@ -63,9 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
+    before, first = None, len(Scratch.made)
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        Scratch.clear(first)  # what the stage has left
         if before:
             scratch.drop(before)
         before = name
