@@ -166,3 +166,53 @@ def test_token_stream(spark):
     assert [len(r["text"]) for r in G.flushes(df).orderBy("piece").collect()] == [75, 75]
     frames = spark.createDataFrame([("r", 0.0, 10), ("r", 10.0, 10), ("r", 20.0, 20)], "run string, t double, len int")
     assert G.time_at_share(frames, 0.75).first()["t"] == 15.0
+
+
+def test_case_sets_are_read(spark, tmp_path):
+    import json
+
+    from sparkcorpus.sources.files import read_cases
+
+    one = {"schema": "x", "name": "a", "judge": "self-hit", "cases": [{"id": "1", "doc": "d", "q": "why?", "targets": [{"excerpt": "because", "seq_hint": 3}, {"excerpt": "so", "doc": "e"}]}, {"id": "2", "q": "none"}]}
+    two = {"name": "b", "kind": "topic", "note": "n", "cases": [{"id": "1", "q": "who?", "topic": "t", "targets": [{"doc_names": ["x", "y"]}]}]}
+    for n, data in (("a", one), ("b", two)):
+        (tmp_path / f"{n}.json").write_text(json.dumps(data, indent=1))
+    got = {(r["set"], r["case"], r["target"]): r for r in read_cases(spark, str(tmp_path / "*.json")).collect()}
+    assert set(got) == {("a", "1", 0), ("a", "1", 1), ("a", "2", None), ("b", "1", 0)}
+    assert got["a", "1", 1]["target_doc"] == "e" and got["a", "1", 0]["case_doc"] == "d" and got["b", "1", 0]["doc_names"] == ["x", "y"]
+    assert (got["a", "1", 0]["judge"], got["b", "1", 0]["judge"], got["a", "1", 0]["kind"], got["b", "1", 0]["kind"]) == ("self-hit", "all-hit", "retrieval", "topic")
+
+
+def test_tables_are_created_twice(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS flows_ddl")
+    spark.sql("CREATE TABLE IF NOT EXISTS flows_ddl.tree_meta (id int) USING parquet")
+    schemas.create_all(spark, "flows_ddl")
+    schemas.create_all(spark, "flows_ddl")
+    for name in schemas.TABLES:
+        assert {f.name for f in spark.table(f"flows_ddl.{name}").schema} == {f.name for f in schemas.empty(spark, name).schema}
+    spark.sql("DROP DATABASE flows_ddl CASCADE")
+
+
+def test_batches_are_handed_on_when_full(spark):
+    seen = []
+    run = G.batches_of(3, lambda df, epoch: seen.append((epoch, sorted((r["conv_id"], r["id"]) for r in df.collect()))))
+    run(spark.createDataFrame([(1, i) for i in range(7)] + [(2, 9), (3, 1), (3, 2), (3, 3)], "conv_id int, id int"), 5)
+    assert seen == [(5, [(1, i) for i in range(6)] + [(3, 1), (3, 2), (3, 3)])]
+
+
+def test_verdicts_by_kind(spark):
+    rows = [
+        (1, "grounded-partial", "q", "值是 128 [1]。", "值是 128", 2),
+        (2, "grounded-partial", "q", "知识库中没有这个值；以下是通用知识。", "值是 128", 2),
+        (3, "grounded-partial", "q", "是 7 吧", "值是 128", 2),
+        (4, "ungrounded", "q", "未找到相关内容，以下属于通用知识", "", 0),
+        (5, "ungrounded", "q", "以下属于通用知识", "", 0),
+        (6, "chitchat", "q", "你好", "", 0),
+        (7, "chitchat", "q", "资料里没有", "", 0),
+        (8, "grounded", "q", "值是 12、34、56 [1]。", "值是 12", 2),
+    ]
+    judged = J.judge(spark.createDataFrame(rows, "id int, kind string, question string, answer string, sources string, n_sources int"))
+    got = {r["id"]: r["pass"] for r in J.passes(judged).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False, 8: False}
+    wrong = {r["id"]: r["pass"] for r in J.passes(judged.selectExpr("*", "1 AS n_misplaced")).collect()}
+    assert not wrong[1] and wrong[2]
