@@ -156,6 +156,15 @@ def test_gradients_of_the_attention_model():
             assert abs(slope - g[name][row, *rest]) < 1e-4 + 0.02 * abs(slope), name
 
 
+def test_exponentials_of_rows_far_apart():
+    z = np.array([[0, 1, -1e9, 2], [-500, -501, -1e9, -502], [90, 95, 91, 1], [-1e4, -2e4, -3e4, -1e4]], dtype=np.float32)
+    want = np.exp(z - z.max(1, keepdims=True)) / np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)
+    for rows in (1, 2, 4):
+        shifted = z.copy()
+        e, total = at.exps(shifted, rows)
+        assert np.allclose(e / total, want, atol=1e-6) and np.allclose(np.exp(shifted), e)
+
+
 def test_large_scores_stay_finite():
     vocab, p, rng = small(4)
     p = p | {"embed": p["embed"] * np.float32(1e4)}
@@ -168,7 +177,7 @@ def test_words_spelled_and_their_continuations():
     enc = lm_score.encoder(lm_score.public_tokenizers.path(lm_score.VOCABULARY), lm_score.public_tokenizers.PATTERN)
     size = enc.n_vocab + 1
     spaced = np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(size - 1)] + [True])
-    words = "zyxwvut qrst zyxwvut don't 1234567 zyxw caf\u00e9 \u4e2d\u6587 x".split()
+    words = "zyxwvut qrst zyxwvut don't 1234567 zyxw caf\u00e9 \u4e2d\u6587 x".split() + ["a\u00a0", "\u00a0", "\u2003", "\u3000b", "\x1c", "x\x85y"]
     pairs = Counter(p for w in words for i in [enc.encode_ordinary(" " + w)] for p in zip(i, i[1:]))
     own = np.zeros(size, dtype=np.int64)
     for (_, b), c in pairs.items():
@@ -183,7 +192,7 @@ def test_words_spelled_and_their_continuations():
     for part in (texts, texts[::-1]):
         w = lm_score.Words(*strings(pa.array(part)), lower=True)
         flat, many, logs = spelled(w, w.hashes())
-        want = [enc.encode_ordinary(" " + x) for t in part for x in t.split()]
+        want = [enc.encode_ordinary(" " + x) for t in part for x in t.split(" ") if x]
         assert flat.tolist() == [y for x in want for y in x] and many.tolist() == list(map(len, want))
         assert np.allclose(logs, [sum(inside.log10(np.array(x[:-1], int), np.array(x[1:], int))) for x in want])
 
