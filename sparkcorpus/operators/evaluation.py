@@ -153,3 +153,27 @@ def distinct_outputs(runs: DataFrame, case: str = "case", output: str = "output"
 def run_listing(rows: DataFrame, keys: list[str] = ("run", "arm"), at: str = "at", failed: str = "failed") -> DataFrame:
     """Recorded runs: cases, errors, and when they began and ended."""
     return rows.groupBy(*keys).agg(F.count("*").alias("cases"), F.count_if(failed).alias("errors"), F.min(at).alias("started"), F.max(at).alias("ended"))
+
+
+def contained(points: DataFrame, spans: DataFrame, key: str, at: str = "at", lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Points of a key with the spans [lo, hi) of that key that they lie in."""
+    s = spans.withColumnRenamed(key, "__key")
+    return points.join(s, (points[key] == s["__key"]) & (points[at] >= s[lo]) & (points[at] < s[hi])).drop("__key")
+
+
+def first_crossings(rows: DataFrame, run: str, at: str, item: str, shares: list[float]) -> DataFrame:
+    """(run, share, at): when each run had first seen these shares of its distinct items."""
+    first = rows.groupBy(run, item).agg(F.min(at).alias("__t")).groupBy(run, "__t").agg(F.count("*").alias("__n"))
+    seen = F.sum("__n").over(Window.partitionBy(run).orderBy("__t").rowsBetween(Window.unboundedPreceding, 0))
+    grown = first.withColumns({"__seen": seen, "__all": F.sum("__n").over(Window.partitionBy(run))})
+    each = grown.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).filter(F.col("__seen") >= F.col("share") * F.col("__all"))
+    return each.groupBy(run, "share").agg(F.min("__t").alias(at))
+
+
+def arm(hits: DataFrame, k: int, cap: int | None = None, threshold: float | None = None, source: str = "source") -> DataFrame:
+    """An arm over a pool (query, unit, distance, source): within a distance, at most `cap` of a source, the k nearest."""
+    rows = hits if threshold is None else hits.filter(F.col("distance") <= threshold)
+    near = [F.asc("distance"), F.asc("unit")]
+    if cap is not None:
+        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("query", source).orderBy(*near))).filter(F.col("__n") <= cap).drop("__n")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*near))).filter(F.col("rank") <= k)

@@ -399,3 +399,201 @@ def half_time(spark, t):
     # runs whose events share a time are told apart by id
     f = f.select("run", F.col("at.t").alias("t"), "len", F.col("at.event_id").alias("event_id")).orderBy("event_id")
     return G.time_at_share(f, 0.5).select("run", F.round(F.col("t") / 1000.0).cast("long").alias("ms"))
+
+
+# -- small statements -------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SQL_TOP}, tg AS (SELECT DISTINCT query FROM hits), g AS (SELECT query, k AS target, query + k AS unit FROM tg, (VALUES (0), (5)) x(k)), h AS (SELECT g.query, target, bool_or(hits.unit IS NOT NULL) AS hit FROM g LEFT JOIN hits ON hits.query = g.query AND hits.unit = g.unit GROUP BY ALL)
+SELECT query AS "case", bool_and(hit) AS all_hit, round(avg(hit::INTEGER), 6) AS recall FROM h GROUP BY query""")
+def ceiling(spark, t):
+    """Whether the pool has all targets at all."""
+    pool = hits(t).select(F.col("query").alias("case"), "unit")
+    targets = pool.select("case").distinct().withColumn("target", F.explode(F.array(F.lit(0), F.lit(5)))).withColumn("unit", F.col("case") + F.col("target"))
+    return E.all_hit(targets, pool).withColumn("recall", F.round("recall", 6))
+
+
+@query(f"WITH {MESSAGES} SELECT u.user_id AS conv_id, coalesce(max(m.id), 0) AS newest FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN m ON m.conv_id = u.user_id GROUP BY u.user_id")
+def newest_ids(spark, t):
+    """A2: the newest id of each conversation, 0 where there is none."""
+    users = t("events").select(F.col("user_id").alias("conv_id")).distinct()
+    return users.join(messages(t), "conv_id", "left").groupBy("conv_id").agg(F.coalesce(F.max("id"), F.lit(0)).alias("newest"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 1")
+def largest_source(spark, t):
+    """The source with most documents."""
+    return REL.top(t("documents").groupBy("source").agg(F.count("*").alias("n")), 1, F.desc("n"), F.asc("source"))
+
+
+@query("""WITH b AS (SELECT item_id, length(text) AS n FROM benchmark), s AS (SELECT item_id, k AS span, k * n // 10 AS lo, (k + 1) * n // 10 AS hi FROM b, range(10) x(k)), p AS (SELECT item_id, j AS point, (j * 37) % n AS pos FROM b, range(4) y(j))
+SELECT p.item_id, point, span FROM p JOIN s ON s.item_id = p.item_id AND pos >= lo AND pos < hi""")
+def spans_of_points(spark, t):
+    """The span that an offset lies in."""
+    b = t("benchmark").select("item_id", F.length("text").alias("n"))
+    s = b.select("item_id", "n", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("span")).withColumns({"lo": F.floor(F.col("span") * F.col("n") / 10), "hi": F.floor((F.col("span") + 1) * F.col("n") / 10)})
+    p = b.select("item_id", "n", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("point")).withColumn("at", F.col("point") * 37 % F.col("n"))
+    return E.contained(p.drop("n"), s.drop("n"), "item_id").select("item_id", F.col("point").cast("long").alias("point"), F.col("span").cast("long").alias("span"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations), f AS (SELECT conv_id, w, min(turn) AS t FROM w GROUP BY ALL), g AS (SELECT conv_id, t, count(*) AS n FROM f GROUP BY ALL),
+ c AS (SELECT conv_id, t, sum(n) OVER (PARTITION BY conv_id ORDER BY t) AS seen, sum(n) OVER (PARTITION BY conv_id) AS whole FROM g)
+SELECT conv_id, share, min(t) AS turn FROM c, (VALUES (0.5::DOUBLE), (0.8), (0.95)) x(share) WHERE seen >= share * whole GROUP BY conv_id, share""")
+def coverage_crossings(spark, t):
+    """The turn by which a conversation has had these shares of its words."""
+    words = t("conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("w"))
+    return E.first_crossings(words, "conv_id", "turn", "w", [0.5, 0.8, 0.95]).select("conv_id", "share", "turn")
+
+
+@query(f"""WITH {SQL_TOP}, a AS (SELECT query, unit, distance, label, row_number() OVER (PARTITION BY query, label ORDER BY distance, unit) AS n FROM hits WHERE distance <= 0.9)
+SELECT query, unit, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, unit)::INTEGER AS rank FROM a WHERE n <= 2) WHERE rank <= 6""")
+def capped_arm(spark, t):
+    """An evaluation arm: a pool within a distance, at most two of a source, the nearest six."""
+    h = hits(t).join(t("embeddings").select(F.col("vec_id").alias("unit"), F.col("label").alias("source")), "unit")
+    return E.arm(h, 6, cap=2, threshold=0.9).select("query", "unit", "rank")
+
+
+@query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_reverse(embedding::DOUBLE[]) AS r FROM embeddings), q AS (SELECT * FROM x WHERE vec_id % 100 = 0),
+ a AS (SELECT q.vec_id AS query, x.vec_id AS unit, list_cosine_distance(x.e, q.e) AS d, list_cosine_distance(x.r[1:32], q.r[1:32]) AS d2 FROM q, x),
+ v AS (SELECT query, unit, 0 AS channel, row_number() OVER (PARTITION BY query ORDER BY d, unit)::INTEGER AS rank, d FROM a), w AS (SELECT query, unit, 1 AS channel, row_number() OVER (PARTITION BY query ORDER BY d2, unit)::INTEGER AS rank, d2 AS d FROM a),
+ u AS (SELECT * FROM v WHERE rank <= 30 UNION ALL SELECT * FROM w WHERE rank <= 30), f AS (SELECT query, unit, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(d) AS d, min(channel * 1000 + rank) AS first FROM u GROUP BY query, unit)
+SELECT query, unit, round(rrf, 9) AS rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(rrf, 12) DESC, first, unit)::INTEGER AS rank FROM f WHERE d <= 0.6) WHERE rank <= 8""")
+def two_index_fusion(spark, t):
+    """Two indexes over the same units (all of a vector; its last half, reversed) fused by rank."""
+    q, units = vectors(t)
+    half = lambda df, c: df.withColumn(c, F.slice(F.reverse(c), 1, 32))
+    channels = [R.vector_channel(q, units, 30), R.vector_channel(half(q, "vector"), half(units, "embedding"), 30)]
+    return R.rrf(channels, 8).select("query", "unit", F.round("rrf", 9).alias("rrf"), "rank")
+
+
+@query("""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings), m AS (SELECT label, pos, avg(x) AS m FROM x GROUP BY ALL), c AS (SELECT label, list(m ORDER BY pos) AS c FROM m GROUP BY label)
+SELECT e.label AS cluster, round(avg(list_cosine_similarity(e.embedding::DOUBLE[], c.c)), 6) AS tightness FROM embeddings e JOIN c USING (label) GROUP BY e.label""")
+def cluster_tightness(spark, t):
+    """Mean cosine of members with their centroid."""
+    return cluster.tightness(t("embeddings").withColumnRenamed("label", "cluster")).withColumn("tightness", F.round("tightness", 6))
+
+
+@query("""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings), m AS (SELECT label, pos, avg(x) AS m FROM x GROUP BY ALL), d AS (SELECT x.label, x.vec_id, sum((x - m) * (x - m)) AS d FROM x JOIN m USING (label, pos) GROUP BY ALL)
+SELECT label AS cluster, vec_id AS id, 'text of ' || vec_id AS content, round(d, 5) AS d FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS k FROM d) WHERE k <= 5""")
+def representatives(spark, t):
+    """The members nearest each centroid, whose texts a label is made of."""
+    m = t("embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("id"), F.concat(F.lit("text of "), F.col("vec_id").cast("string")).alias("content"), "embedding")
+    return cluster.representatives(m).select("cluster", "id", "content", F.round("d", 5).alias("d"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS child, doc_id // 7 AS parent FROM documents WHERE doc_id > 0), w AS (SELECT DISTINCT parent AS node, 0 AS depth FROM e WHERE parent NOT IN (SELECT child FROM e) UNION ALL SELECT e.child, w.depth + 1 FROM w JOIN e ON e.parent = w.node)
+SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY node""")
+def tree_depths(spark, t):
+    """Depths of the nodes of a tree."""
+    return cluster.depths_of_tree(t("documents").filter("doc_id > 0").select(F.col("doc_id").alias("child"), F.floor(F.col("doc_id") / 7).alias("parent")))
+
+
+@query("""WITH u AS (SELECT conv_id AS doc_id, turn AS seq FROM conversations), b AS (SELECT conv_id AS doc_id, turn AS seq FROM conversations WHERE role = 'system' OR turn % 3 = 2) SELECT u.doc_id, u.seq, sum((b.seq IS NOT NULL)::INTEGER) OVER (PARTITION BY u.doc_id ORDER BY u.seq)::BIGINT AS segment FROM u LEFT JOIN b USING (doc_id, seq)""")
+def segments(spark, t):
+    """Units with the number of their segment."""
+    u = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "role")
+    return cluster.segments(u, u.filter("role = 'system' or seq % 3 = 2")).select("doc_id", "seq", "segment")
+
+
+@query("SELECT vec_id, len(embedding) AS n, round(embedding[1]::DOUBLE, 6) AS first, round(1 - list_cosine_distance(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS same FROM embeddings")
+def vector_literals(spark, t):
+    """Vectors to literals and back."""
+    v = V.decode(V.encode(F.col("embedding")))
+    return t("embeddings").select("vec_id", F.size(v).cast("long").alias("n"), F.round(F.get(v, 0).cast("double"), 6).alias("first"), F.round(V.score(V.cosine_distance(v, F.col("embedding"))), 6).alias("same"))
+
+
+@query("SELECT lang, n, greatest(2, least(round(sqrt(n / 2.0)), 10, n))::INTEGER AS k FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+def cluster_numbers(spark, t):
+    """how many clusters for so many vectors."""
+    n = t("documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return n.select("lang", "n", V.choose_k(F.col("n"), 10).alias("k"))
+
+
+@query("""SELECT event_id, event_type AS topic, (event_id % 5)::VARCHAR AS old, (event_id % 3)::VARCHAR AS new, CASE WHEN event_id % 2 = 0 THEN '12' ELSE '' END AS lost FROM events""")
+def summary_items(spark, t):
+    """Items `topic：old → new`, and numbers that a list cut short."""
+    e = F.col("event_id")
+    item = F.concat("event_type", F.lit("： "), (e % 5).cast("string"), F.lit(" → "), (e % 3).cast("string"))
+    cut = F.when(e % 2 == 0, "limit 12: 345").otherwise("limit 12345: x")
+    p = X.split_item(item)
+    return t("events").select("event_id", p["topic"].alias("topic"), p["old"].alias("old"), p["new"].alias("new"), F.array_join(X.lost_digits(cut, F.lit("limit 12345")), " ").alias("lost"))
+
+
+@query("SELECT user_id AS key, (count(*) FILTER (event_type = (SELECT min(event_type) FROM events)) + user_id % 3)::BIGINT AS hits, floor(epoch(max(ts) FILTER (event_type = (SELECT min(event_type) FROM events))))::BIGINT AS last_s FROM events GROUP BY user_id")
+def touched_cache(spark, t):
+    """D3: hits and last use summed from a log (of the first kind of event)."""
+    e = t("events")
+    first = e.agg(F.min("event_type").alias("k"))
+    log = e.join(F.broadcast(first), F.col("event_type") == F.col("k")).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"))  # one row
+    entries = e.select(F.col("user_id").alias("key")).distinct().withColumns({"hits": F.col("key") % 3, "last_hit_at": F.lit(None).cast("timestamp")})
+    return cache.touched(entries, log).select("key", "hits", F.unix_seconds("last_hit_at").alias("last_s"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'error' ELSE event_type END AS status, CASE WHEN event_id % 3 = 0 THEN 'interrupted by a restart' ELSE '' END AS message FROM events")
+def interrupted_tasks(spark, t):
+    """Tasks that ran when the service stopped."""
+    log = t("events").select("event_id", F.when(F.col("event_id") % 3 == 0, "running").otherwise(F.col("event_type")).alias("status"), F.lit("").alias("message"))
+    return cache.interrupted(log)
+
+
+@query("""SELECT 'documents' AS "table", count(*) AS left_ FROM documents WHERE lang <> 'fr' UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') UNION ALL SELECT 'conversations', count(*) FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr'))""")
+def cascade(spark, t):
+    """Deleting documents with what refers to them."""
+    from sparkcorpus.schemas import cascade_delete
+
+    docs = t("documents").withColumnRenamed("doc_id", "id")
+    out = cascade_delete(docs, docs.filter("lang = 'fr'"), [("labels", t("labels"), "doc_id", "doc_id"), ("conversations", t("conversations"), "conv_id", "conv_id")])
+    rows = [df.agg(F.count("*").alias("left_")).select(F.lit(name or "documents").alias("table"), "left_") for name, df in out.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("SELECT md5(text) AS md5, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def duplicate_keys(spark, t):
+    """Violations of a unique key."""
+    from sparkcorpus.schemas import duplicate_keys as violations
+
+    return violations(t("documents").select(F.md5("text").alias("md5")), ["md5"])
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN coalesce(CASE WHEN conv_id % 2 = 0 THEN 'new' END, role) ELSE role END AS role FROM conversations""")
+def updated_rows(spark, t):
+    """An update that keeps what is there where the new value is null."""
+    c = t("conversations").select("conv_id", "turn", "role")
+    new = F.when(F.col("conv_id") % 2 == 0, F.lit("new"))
+    return REL.update(c, F.col("turn") % 3 == 1, role=F.coalesce(new, F.col("role")))
+
+
+@query(f"""WITH {MESSAGES}, l AS (SELECT conv_id, id, trim(regexp_replace(unnest(split(content, chr(10))), '{SPACE}+', ' ', 'g')) AS line FROM m), h AS (SELECT DISTINCT l.conv_id, line FROM l JOIN m USING (id) WHERE m.turn <= 1)
+SELECT l.conv_id, l.id, l.line FROM l JOIN m USING (id) WHERE m.turn > 1 AND NOT EXISTS (SELECT 1 FROM h WHERE h.conv_id = l.conv_id AND h.line = l.line)""")
+def stripped_repeats(spark, t):
+    """U4: lines of an excerpt that the kept turns (the first two) do not have."""
+    m = messages(t)
+    lines = m.filter("turn > 1").select("conv_id", "id", F.explode(F.split("content", "\n")).alias("line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
+    return C.strip_repeats(lines, m.filter("turn <= 1")).select("conv_id", "id", "line")
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace('Head' || chr(13) || chr(10) || text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g')) AS md5 FROM documents""")
+def uploaded_texts(spark, t):
+    """Uploaded text files: what may be stored, and its text."""
+    d = t("documents").select("doc_id", F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), F.encode(F.concat(F.lit("Head\r\n"), "text"), "UTF-8").alias("content"))
+    return files.uploads(d).select("doc_id", F.md5(files.text_column()("content", "suffix")["text"]).alias("md5"))
+
+
+@query(r"""SELECT doc_id, md5(concat_ws(chr(9), doc_id::VARCHAR, replace(replace(replace(replace(text, '\', '\\'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t'), '\N')) AS md5, true AS same FROM documents""")
+def copy_round_trip(spark, t):
+    """Rows in the interchange text format, and back."""
+    line = files.copy_line(F.array(F.col("doc_id").cast("string"), F.col("text"), F.lit(None).cast("string")))
+    d = t("documents").select("doc_id", "text", line.alias("line"))
+    back = files.copy_row(F.col("line"))
+    return d.select("doc_id", F.md5("line").alias("md5"), ((F.get(back, 1) == F.col("text")) & F.get(back, 2).isNull()).alias("same"))
+
+
+@query("""WITH mat AS (SELECT conv_id AS "case", turn::INTEGER AS rank, (length(text) // 3)::BIGINT AS tokens FROM conversations), a AS (SELECT "case", sum(tokens)::BIGINT AS whole FROM mat GROUP BY "case"),
+ t AS (SELECT "case", 150 - 20 - ("case" % 7) AS room, whole FROM a), k AS (SELECT "case", CASE WHEN room - 15 - 5 >= whole THEN room - 20 ELSE room END AS room, room - 20 >= whole AS keeps FROM t),
+ u AS (SELECT *, sum(tokens) OVER (PARTITION BY "case" ORDER BY rank)::BIGINT AS used, row_number() OVER (PARTITION BY "case" ORDER BY rank) AS n FROM mat)
+SELECT u."case", u.rank, u.used, k.keeps AS keeps_summary FROM u JOIN k USING ("case") WHERE used <= room OR n = 1""")
+def packed_material(spark, t):
+    """Material that fits beside the fixed tiers of a prompt."""
+    m = t("conversations").select(F.col("conv_id").alias("case"), F.col("turn").cast("int").alias("rank"), F.floor(F.length("text") / 3).alias("tokens"))
+    tiers = m.select("case").distinct().select("case", F.lit(20).alias("fixed"), (F.col("case") % 7).alias("recent"), F.lit(15).alias("summary"), F.lit(5).alias("excerpt"))
+    return selection.pack(tiers, m, 150).select("case", "rank", "used", "keeps_summary")
