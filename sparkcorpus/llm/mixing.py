@@ -171,9 +171,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
 def materialise(mixed: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """One row for each draw, with its shard, shuffled within it by a seeded hash: a shard is SLICES partitions in a
-    row, each with a stretch of the hashes.  Draws of one document with one hash stay together."""
+    row, each with a stretch of the hashes.  Columns named draw or shard are replaced."""
     shards = mixed.agg(F.coalesce(F.max(F.array_max("shards")), F.lit(0))).first()[0] + 1
-    draws = mixed.select("*", F.posexplode("shards").alias("draw", "shard"))
+    draws = mixed.drop("draw", "shard").select("*", F.posexplode("shards").alias("draw", "shard"))
     order = F.xxhash64(F.lit(seed + 3), F.col(key).cast("string"), "draw")
     part = F.col("shard") * SLICES + F.floor((order / F.lit(2.0**64) + 0.5) * SLICES).cast("int")
     return draws.repartitionById(shards * SLICES, F.least(part, F.col("shard") * SLICES + SLICES - 1)).sortWithinPartitions("shard", order)

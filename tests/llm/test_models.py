@@ -188,10 +188,12 @@ def test_words_spelled_and_their_continuations():
         all_ = np.flatnonzero(~spaced)
         assert abs((10 ** inside.log10(np.full(len(all_), a), all_)).sum() - 1) < 1e-9
     texts = [" ".join(words), "", "x x", "new words here", words[0]]
-    spelled = lm_score.Spelled(enc, inside)
+    known = np.sort(lm_score.Words(*strings(pa.array(words[:3])), lower=True).hashes())
+    spelled = lm_score.Spelled(enc, inside, np.unique(known), np.arange(len(np.unique(known))) + 0.5)
     for part in (texts, texts[::-1]):
         w = lm_score.Words(*strings(pa.array(part)), lower=True)
-        flat, many, logs = spelled(w, w.hashes())
+        flat, many, logs, base = spelled(w, w.hashes())
+        assert [bool(x) for x in ~np.isnan(base)] == [x in words[:3] for t in part for x in t.split(" ") if x]
         want = [enc.encode_ordinary(" " + x) for t in part for x in t.split(" ") if x]
         assert flat.tolist() == [y for x in want for y in x] and many.tolist() == list(map(len, want))
         assert np.allclose(logs, [sum(inside.log10(np.array(x[:-1], int), np.array(x[1:], int))) for x in want])

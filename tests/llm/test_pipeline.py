@@ -1,6 +1,8 @@
 import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm import brute
 from tests.llm.test_mixing_bpe import reference
@@ -63,3 +65,31 @@ def test_near_duplicates_are_decided_by_row(spark, sf):
     assert len(a) == 1 and a[0][0] is None
     want = [(None, text("b")), (7, text("c")), (1, text("d")), (9, text("e")), (9, text("f")), (9, ""), (9, ""), (None, None)]
     assert sorted(map(str, got)) == sorted(map(str, [*a, *want]))
+
+
+def odd_rows(spark, sf):
+    """Documents with nulls in any column, empty and very long texts, ties, repeated rows, and columns of clashing names."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    extra = ["size", "kept", "component_id", "shard", "n_tokens", "block", "__x"]
+    docs = docs.select("*", *[F.lit(7).alias(c) for c in extra])
+    first = docs.first().asDict()
+    rows = [first | change for change in ({"text": None}, {"text": ""}, {"text": " \n "}, {"doc_id": None}, {"doc_id": None, "text": None}, {"source": None}, {"lang": None, "n_chars": None}, {"text": first["text"] + " " + "long words here. " * 20_000}, {}, {})]
+    return docs.unionByName(spark.createDataFrame(rows, docs.schema)).repartition(3)
+
+
+def test_stages_bear_odd_rows(spark, sf):
+    docs = odd_rows(spark, sf).cache()
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        left = got.collect()
+        assert len(left) <= 3 * n and (name == "tokens" or got.schema == docs.schema and all(r["kept"] == r["size"] == 7 for r in left)), name
+        if name in ("substrings", "tokens"):
+            assert len(left) == n, name
+        if name == "jaccard":
+            have = {r["text"] for r in left if r["text"]}
+            assert all(any(brute.shingles(t) and len(brute.shingles(t) & brute.shingles(h)) >= 0.8 * len(brute.shingles(t) | brute.shingles(h)) for h in have) or not brute.shingles(t) for t in {r["text"] for r in docs.collect()} - have)
+            assert len({(r["doc_id"], r["text"]) for r in left if r["text"] and r["text"].strip()}) == sum(bool(r["text"] and r["text"].strip()) for r in left)
+        if name == "quality":
+            assert all(r["text"] and r["text"].strip() for r in left)
+        assert stage(spark, docs.limit(0), sf).collect() == [], name
