@@ -20,10 +20,17 @@ from sparkcorpus.llm.scratch import Scratch
 from sparkcorpus.llm.substring_dedup import remove_repeats
 
 
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """The documents with columns of these names renamed, since an operator uses the names; and all columns as they were."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(own), [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null, empty and unlabelled texts are rated like others; those without words go.  Repeated rows are rated alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return rate(docs, train(docs, labels), keep_text=True).filter("kept").select(*docs.columns)
+    docs, columns = apart(docs, "expected_grade", "tail_probability", "kept")
+    return rate(docs, train(docs, labels), keep_text=True).filter("kept").select(*columns)
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +46,16 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts become empty.  Rows stay, whatever their ids; repeated rows lose what they share."""
-    left = remove_repeats(docs, output="__left")
+    rows, columns = apart(docs, "n_words", "n_removed", "kept_sha256")
+    left = remove_repeats(rows, output="__left")
     new = {"text": F.col("__left"), "n_chars": F.length("__left").cast(docs.schema["n_chars"].dataType)}
-    return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return left.select(*[new[c].alias(c) if c in new else x for c, x in zip(docs.columns, columns, strict=True)])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts have no words and may be drawn like others; a null source is one of its own."""
-    return materialise(mix(docs)).select(*docs.columns)
+    docs, columns = apart(docs, "size", "source_size", "target", "times", "taken", "shards", "shard", "draw")
+    return materialise(mix(docs)).select(*columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
