@@ -199,6 +199,15 @@ def test_words_spelled_and_their_continuations():
         assert np.allclose(logs, [sum(inside.log10(np.array(x[:-1], int), np.array(x[1:], int))) for x in want])
 
 
+def test_frequent_words_are_bounded(spark):
+    rows = [(i, f"w{i}".encode(), 1 + i * i) for i in range(50)] + [(99, b"", 10**6)]
+    df = spark.createDataFrame(rows, "h long, word binary, c long")
+    for most in (0, 1, 7, 50, 100):
+        got = sorted(r["c"] for r in lm_score.frequent_words(df, most).collect())
+        assert len(got) <= most and got == sorted(c for _, w, c in rows if w)[50 - len(got) :]
+    assert len(lm_score.frequent_words(df, 100).collect()) == 50 and len(lm_score.frequent_words(df, 20).collect()) > 10
+
+
 def test_base_scores_match_brute_force(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     docs += [(10_001, None), (10_002, ""), (10_003, "zzqx zzqx never Seen"), (5, docs[5][1])]
