@@ -9,6 +9,7 @@ from sparkcorpus.llm.lm_score import op4_lm_score
 from sparkcorpus.llm.mixing import op9_mixing
 from sparkcorpus.llm.quality_model import op3_quality_model
 from sparkcorpus.llm.quality_rules import op6_quality_rules
+from sparkcorpus.llm.rank_bpe import op13_rank_bpe
 from sparkcorpus.llm.substring_dedup import SQL_OP10, op10_substring_dedup
 from sparkcorpus.llm.url_filter import SQL_OP5, op5_url_filter
 from sparkcorpus.llm.warc import SQL_OP1, op1_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_rank_bpe": op13_rank_bpe,
 }
 
 ORACLES = {
