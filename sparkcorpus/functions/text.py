@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -194,17 +195,41 @@ def token_probabilities(entries: Column) -> Column:
 
 
 def common_run(a: str | None, b: str | None) -> int:
-    """Length of the longest common substring."""
+    """Length of the longest common substring: the longer string is walked through the suffix automaton of the shorter."""
     if not a or not b:
         return 0
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        new = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            if x == y:
-                new[j] = row[j - 1] + 1
-                best = max(best, new[j])
-        row = new
+    short, long_ = sorted((a, b), key=len)
+    after, link, size, last = [{}], [-1], [0], 0
+    for c in short:
+        new, p = len(after), last
+        after.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while p >= 0 and c not in after[p]:
+            after[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = after[p][c]
+            if size[q] > size[p] + 1:  # q also ends longer strings: the part up to size[p] + 1 becomes a state of its own
+                twin = len(after)
+                after.append(dict(after[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                link[q] = twin
+                while p >= 0 and after[p].get(c) == q:
+                    after[p][c] = twin
+                    p = link[p]
+                q = twin
+            link[new] = q
+        last = new
+    best = now = state = 0
+    for c in long_:
+        while state and c not in after[state]:
+            state = link[state]
+            now = size[state]
+        if c in after[state]:
+            state, now = after[state][c], now + 1
+            best = max(best, now)
     return best
 
 
@@ -213,19 +238,14 @@ def longest_common_substring(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_run(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def copied_run(answer: str | None, source: str | None, least: int = 12, most: int = 1000) -> int | None:
-    """Longest stretch of the answer that the source has word for word, white space aside."""
-    a, s = ("".join((x or "").split()) for x in (answer, source))
+def copied_run(answer: str | None, source: str | None, least: int = 12) -> int | None:
+    """Length of the longest stretch of the answer that the source has word for word, white space aside; 0 below `least`,
+    null if either has no characters."""
+    a, s = (re.sub(r"\s+", "", x or "") for x in (answer, source))
     if not a or not s:
         return None
-    lo, hi, best = least, min(len(a), most), 0
-    while lo <= hi:
-        n = (lo + hi) // 2
-        if any(a[i : i + n] in s for i in range(len(a) - n + 1)):
-            best, lo = n, n + 1
-        else:
-            hi = n - 1
-    return best
+    found = common_run(a, s)
+    return found if found >= least else 0
 
 
 @arrow("int")
@@ -239,24 +259,20 @@ def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
 
 
+#: A string, an escaped character, a brace, or a quote that opens a string without end.
+JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*"|\\.|[{}"]', re.S)
+
+
 def balanced_object(text: str | None) -> str | None:
     """The first balanced JSON object in a text; braces inside strings do not count."""
-    start = text.find("{") if text else -1
-    while start >= 0:
-        depth, quoted, skip = 0, False, False
-        for i in range(start, len(text)):
-            c = text[i]
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = True
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    return text[start : i + 1]
-        start = text.find("{", start + 1)
+    for begin in re.finditer("{", text or ""):
+        depth = 0
+        for part in JSON_PART.finditer(text, begin.start()):
+            if part.group() == '"':
+                break
+            depth += (part.group() == "{") - (part.group() == "}")
+            if depth == 0:
+                return text[begin.start() : part.end()]
     return None
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from sparkcorpus.functions.arrow import arrow
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Characters of an open bracket that are waited for.
 HOLD = 12
 SENTENCE = re.compile(r"[\[⟨]\s*(\d{1,3})\s*[.．]\s*(\d{1,3})\s*[\]⟩]")
-CLOSE = {"[": "]", "⟨": "⟩"}
+#: What a text falls into: plain stretches, closed brackets, brackets that stay open for too long, and an open one at the end.
+PART = re.compile(rf"[^\[⟨]+|\[[^\]]{{0,{HOLD - 1}}}\]|⟨[^⟩]{{0,{HOLD - 1}}}⟩|\[[^\]]{{{HOLD}}}|⟨[^⟩]{{{HOLD}}}|(?P<tail>[\[⟨].*)", re.S)
 
 
 class Transducer:
@@ -25,33 +27,18 @@ class Transducer:
         self.held, self.sent, self.found = held, sent, []
 
     def feed(self, piece: str) -> str:
-        out: list[str] = []
-        size = 0
-
-        def put(text: str) -> None:
-            nonlocal size
-            out.append(text)
-            size += len(text)
-
-        for c in piece:
-            if not self.held:
-                if c in CLOSE:
-                    self.held = c
-                else:
-                    put(c)
-                continue
-            self.held += c
-            if c == CLOSE[self.held[0]]:
-                m = SENTENCE.fullmatch(self.held)
-                if m:
-                    self.found.append((int(m.group(1)), int(m.group(2)), self.sent + size))
-                put(f"[{int(m.group(1))}]" if m else self.held)
-                self.held = ""
-            elif len(self.held) > HOLD:
-                put(self.held)
-                self.held = ""
-        self.sent += size
-        return "".join(out)
+        text, self.held, out = self.held + piece, "", ""
+        for part in PART.finditer(text):
+            if part["tail"]:
+                self.held = part["tail"]
+            elif m := SENTENCE.fullmatch(part.group()):
+                n = int(m[1])
+                self.found.append((n, int(m[2]), self.sent + len(out)))
+                out += f"[{n}]"
+            else:
+                out += part.group()
+        self.sent += len(out)
+        return out
 
     def flush(self) -> str:
         rest, self.held = self.held, ""
