@@ -142,15 +142,3 @@ def bisect(lo: int, hi: int, choose, least: int = 2) -> list[tuple[int, int, int
         if cut is not None and a < cut < b:
             todo += [(level + 1, cut, b), (level + 1, a, cut)]
     return out
-
-
-def depths_of_tree(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, depth) over (child, parent) edges from nodes without parent; nodes in a cycle have no depth."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("__edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, depth) AS (
-          SELECT DISTINCT parent, 0 FROM __edges e WHERE NOT EXISTS (SELECT 1 FROM __edges x WHERE x.child = e.parent)
-          UNION ALL
-          SELECT e.child, walk.depth + 1 FROM walk JOIN __edges e ON e.parent = walk.node WHERE walk.depth < {most - 1})
-        SELECT node, min(depth) AS depth FROM walk GROUP BY node""")

@@ -12,6 +12,7 @@ from sparkcorpus.operators import cache, chunker, cluster, conversation as C, ev
 from sparkcorpus.operators import relational as REL
 from sparkcorpus.operators import retrieval as R
 from sparkcorpus.operators import selection
+from sparkcorpus.operators.chains import depths_of_tree
 from sparkcorpus.queries.base import query
 from sparkcorpus.queries.search import SQL_NEAR, vectors
 from sparkcorpus.queries.talk import MESSAGES, messages
@@ -485,7 +486,7 @@ def representatives(spark, t):
 SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY node""")
 def tree_depths(spark, t):
     """Depths of the nodes of a tree."""
-    return cluster.depths_of_tree(t("documents").filter("doc_id > 0").select(F.col("doc_id").alias("child"), F.floor(F.col("doc_id") / 7).alias("parent")))
+    return depths_of_tree(t("documents").filter("doc_id > 0").select(F.col("doc_id").alias("child"), F.floor(F.col("doc_id") / 7).alias("parent"))).select("node", "depth")
 
 
 @query("""WITH u AS (SELECT conv_id AS doc_id, turn AS seq FROM conversations), b AS (SELECT conv_id AS doc_id, turn AS seq FROM conversations WHERE role = 'system' OR turn % 3 = 2) SELECT u.doc_id, u.seq, sum((b.seq IS NOT NULL)::INTEGER) OVER (PARTITION BY u.doc_id ORDER BY u.seq)::BIGINT AS segment FROM u LEFT JOIN b USING (doc_id, seq)""")

@@ -125,9 +125,11 @@ def quiet_windows(spark, t):
     return G.quiet_gaps(t("events"), "user_id", seconds=20_000).select("user_id", F.unix_seconds("start").alias("from_s"), F.unix_seconds("quiet_from").alias("quiet_s"), "n")
 
 
-@query("""WITH e AS (SELECT event_id, user_id, event_type, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events) SELECT event_id FROM e WHERE gap IS NULL OR gap > INTERVAL 86400 SECOND""")
+@query("""WITH RECURSIVE passed AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY user_id, event_type
+   UNION ALL SELECT p.user_id, p.event_type, min(e.ts) FROM passed p JOIN events e ON e.user_id = p.user_id AND e.event_type = p.event_type AND e.ts > p.ts + INTERVAL 86400 SECOND GROUP BY p.user_id, p.event_type, p.ts)
+SELECT min(event_id) AS event_id FROM passed JOIN events USING (user_id, event_type, ts) GROUP BY user_id, event_type, ts""")
 def nonce_dedup(spark, t):
-    """Events of a nonce (user and kind) that no event shortly before them has."""
+    """Events of a nonce (user and kind) that find none that passed in the time to live before them."""
     e = t("events").withColumn("nonce", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
     return G.replay_guard_batch(e, "nonce", "ts", "event_id", 86_400).select("event_id")
 

@@ -12,22 +12,58 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from sparkcorpus.config import Limits
+from sparkcorpus.operators.chains import first_within
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def replay_guard(df: DataFrame, nonce: str = "nonce", ts: str = "ts", seconds: int = Limits().nonce_seconds) -> DataFrame:
-    """The first event of each nonce within its time to live."""
-    return df.withWatermark(ts, f"{seconds} seconds").dropDuplicatesWithinWatermark([nonce])
+class Replays(StatefulProcessor):
+    """Lets an event pass if none of its nonce passed within the time to live; what is refused does not prolong that."""
+
+    def __init__(self, ts: str, columns: list[str], seconds: int):
+        self.ts, self.columns, self.span = ts, columns, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.passed = handle, handle.getValueState("passed", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.passed.get()[0] if self.passed.exists() else None
+        frame = pd.concat(list(rows), ignore_index=True)
+        at = frame[self.ts].astype("datetime64[us]").astype("int64")
+        keep = []
+        for i in frame.assign(__at=at).sort_values(["__at", *[c for c in self.columns if c != self.ts]]).index:
+            if last is None or at[i] > last + self.span:
+                last = int(at[i])
+                keep.append(i)
+        if keep:
+            self.passed.update((last,))
+            self.handle.registerTimer((last + self.span) // 1000 + 1)
+        yield frame.loc[keep, self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """No event that still comes can be within the time to live."""
+        if self.passed.exists() and self.passed.get()[0] + self.span < expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.passed.clear()
+        yield pd.DataFrame(columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def replay_guard(df: DataFrame, nonce: str = "nonce", ts: str = "ts", key: str = "event_id", seconds: int = Limits().nonce_seconds) -> DataFrame:
+    """(nonce, ts, key) of a stream's events that pass: the first of each nonce, then the first one later than its time to
+    live, and so on; events of one time by key.  A nonce is forgotten when the watermark says that its time is over."""
+    columns = [nonce, ts, key]
+    rows = df.select(*columns).filter(F.col(nonce).isNotNull()).withWatermark(ts, f"{seconds} seconds")
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+    return rows.groupBy(nonce).transformWithStateInPandas(Replays(ts, columns, seconds), kinds, "Append", "EventTime")
 
 
 def replay_guard_batch(df: DataFrame, nonce: str, ts: str, key: str, seconds: int = Limits().nonce_seconds) -> DataFrame:
-    """The same over a table: an event goes if the one before it with its nonce is not older than the time to live."""
-    w = Window.partitionBy(nonce).orderBy(ts, key)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
-    return df.withColumn("__gap", gap).filter(F.col("__gap").isNull() | (F.col("__gap") > seconds * 1_000_000)).drop("__gap")
+    """The same over a table, as chains of events that pass."""
+    return first_within(df, nonce, F.col(ts), key, seconds)
 
 
 def on_time(df: DataFrame, sent: Column, now: Column, seconds: int = Limits().clock_skew_seconds) -> DataFrame:
@@ -155,16 +191,69 @@ def sessions(stream: DataFrame, seconds: int) -> DataFrame:
     return stream.groupBy("who").transformWithStateInPandas(Sessions(seconds), "who string, ts timestamp, action string, ok boolean", "Append", "none")
 
 
-def batches_of(n: int, handle):
-    """A foreachBatch function that hands on rows of each conversation, n at a time, once there are n;
-    returns what is left to the caller's table of pending rows."""
+class Batches(StatefulProcessor):
+    """Holds rows of a conversation until there are n, or until the first of them has waited for so many seconds."""
+
+    def __init__(self, n: int, seconds: float, kinds: list[tuple[str, str]]):
+        self.n, self.wait, self.kinds = n, int(seconds * 1000), kinds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", ", ".join(f"{c} {k}" for c, k in self.kinds[1:]))
+        self.mark = handle.getValueState("mark", "batch long, waiting long")
+
+    def handed_on(self, key, rows: list[tuple], batch: int) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r, batch + i // self.n + 1) for i, r in enumerate(rows)], columns=[*[c for c, _ in self.kinds], "batch"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [c for c, _ in self.kinds[1:]]
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        batch, waiting = self.mark.get() if self.mark.exists() else (0, 0)
+        new = pd.concat(list(rows), ignore_index=True).sort_values(names[0])
+        held += list(new[names].itertuples(index=False, name=None))
+        full = len(held) - len(held) % self.n
+        now, rest = held[:full], held[full:]
+        if full and waiting:
+            self.handle.deleteTimer(waiting)
+            waiting = 0
+        if rest and not waiting:
+            waiting = timerValues.getCurrentProcessingTimeInMs() + self.wait
+            self.handle.registerTimer(waiting)
+        self.held.put(rest) if rest else self.held.clear()
+        self.mark.update((batch + full // self.n, waiting))
+        yield self.handed_on(key, now, batch)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rest = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        batch, waiting = self.mark.get() if self.mark.exists() else (0, 0)
+        if not rest or waiting != expiredTimerInfo.getExpiryTimeInMs():
+            yield self.handed_on(key, [], batch)
+            return
+        self.held.clear()
+        self.mark.update((batch + 1, 0))
+        yield self.handed_on(key, rest, batch)
+
+    def close(self) -> None:
+        pass
+
+
+def in_batches(stream: DataFrame, n: int, seconds: float, key: str = "conv_id", order: str = "id") -> DataFrame:
+    """Rows of a stream with `batch`, the number of their batch within `key`: n rows in order, or fewer once the first of them has
+    waited for `seconds`.  Rows wait in the state, so a query that stops and starts again hands on each row once."""
+    names = [key, order, *[c for c in stream.columns if c not in (key, order)]]
+    kinds = [(c, stream.schema[c].dataType.simpleString()) for c in names]
+    schema = ", ".join(f"{c} {k}" for c, k in kinds) + ", batch long"
+    return stream.select(*names).groupBy(key).transformWithStateInPandas(Batches(n, seconds, kinds), schema, "Append", "ProcessingTime")
+
+
+def once(path: str):
+    """A foreachBatch function that writes each micro-batch into a folder of its own, named by its number: one that is repeated after
+    a failure replaces what it wrote before, so readers find each row once."""
 
-    def run(df: DataFrame, epoch: int) -> None:
-        w = Window.partitionBy("conv_id")
-        full = df.withColumns({"__i": F.row_number().over(w.orderBy("id")), "__n": F.count("*").over(w)})
-        handle(full.filter(F.col("__i") <= F.col("__n") - F.col("__n") % n).drop("__i", "__n"), epoch)
+    def write(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return run
+    return write
 
 
 def single_flight(jobs: DataFrame, key: str, job: str, start: str = "start", end: str = "end") -> DataFrame:

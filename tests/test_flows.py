@@ -107,8 +107,6 @@ def test_selection_frames(spark):
 def test_boundaries_and_trees(spark):
     assert cluster.legal_bounds([3, 6], {3}, 10) == [4, 6] and cluster.legal_bounds([5], set(range(1, 10)), 10) == []
     assert cluster.bisect(0, 8, lambda a, b: (a + b) // 2) == [(0, 0, 8), (1, 0, 4), (2, 0, 2), (2, 2, 4), (1, 4, 8), (2, 4, 6), (2, 6, 8)]
-    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "child string, parent string")
-    assert {r["node"]: r["depth"] for r in cluster.depths_of_tree(edges).collect()} == {"a": 0, "b": 1, "c": 2}
 
 
 def test_tables_keys_and_cascade(spark):
@@ -141,12 +139,6 @@ def stream(spark, tmp_path, rows, schema, plan, name):
     return spark.sql(f"SELECT * FROM {name}").collect()
 
 
-def test_replay_guard_stream(spark, tmp_path):
-    t = datetime(2024, 1, 1)
-    rows = [("a", t), ("a", t + timedelta(seconds=5)), ("b", t)]
-    assert sorted(r["nonce"] for r in stream(spark, tmp_path, rows, "nonce string, ts timestamp", G.replay_guard, "nonces")) == ["a", "b"]
-
-
 def test_stateful_streams(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     t = datetime(2024, 1, 1)
@@ -193,13 +185,6 @@ def test_tables_are_created_twice(spark):
     spark.sql("DROP DATABASE flows_ddl CASCADE")
 
 
-def test_batches_are_handed_on_when_full(spark):
-    seen = []
-    run = G.batches_of(3, lambda df, epoch: seen.append((epoch, sorted((r["conv_id"], r["id"]) for r in df.collect()))))
-    run(spark.createDataFrame([(1, i) for i in range(7)] + [(2, 9), (3, 1), (3, 2), (3, 3)], "conv_id int, id int"), 5)
-    assert seen == [(5, [(1, i) for i in range(6)] + [(3, 1), (3, 2), (3, 3)])]
-
-
 def test_verdicts_by_kind(spark):
     rows = [
         (1, "grounded-partial", "q", "值是 128 [1]。", "值是 128", 2),
