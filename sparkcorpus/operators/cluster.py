@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -12,6 +17,7 @@ from sparkcorpus.config import Topics
 from sparkcorpus.functions import vector as V
 from sparkcorpus.functions.text import clip, usable_label
 from sparkcorpus.operators.relational import lines_within, top_per_group
+from sparkcorpus.store import Steps
 
 
 def kmeans(df: DataFrame, k: int, vector: str = "embedding", cosine: bool = False, conf: Topics = Topics()) -> DataFrame:
@@ -21,6 +27,101 @@ def kmeans(df: DataFrame, k: int, vector: str = "embedding", cosine: bool = Fals
     return model.transform(rows).drop("__v")
 
 
+#: Components of unit vectors and centres become whole numbers of this size, so that sums and products are exact in any order.
+FINE = 1 << 15
+
+
+def whole_units(column: pa.Array) -> np.ndarray:
+    """Rows of an Arrow list column as unit vectors in whole numbers of 1 / FINE."""
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+    size = np.sqrt((x * x).sum(axis=1))
+    return np.rint(x / np.where(size > 0, size, 1.0)[:, None] * FINE)
+
+
+def renormalised(sums: list[int]) -> list[int]:
+    size = math.sqrt(sum(x * x for x in sums))
+    return [round(x / size * FINE) for x in sums] if size else sums
+
+
+def spherical_rounds(df: DataFrame, centres: dict[int, np.ndarray], rounds: int, vector: str, group: str | None = None) -> dict[int, np.ndarray]:
+    """Centres (rows of whole numbers) of each group after rounds of spherical k-means, all groups in one aggregation a round.
+
+    A vector goes to the centre of its group with the largest product, of equals the first; a centre becomes the sum of its
+    unit vectors, made a unit again, and stays if it has none.  All of it is in whole numbers, so the result
+    is the same however rows are dealt.  The centres of all groups are held by each task.
+    """
+    source = df.select((F.col(group) if group else F.lit(0)).cast("int").alias("g"), F.col(vector).cast("array<double>").alias("v"))
+
+    def add(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        counts: Counter = Counter()
+        for batch in batches:
+            x, of = whole_units(batch.column(1)), batch.column(0).to_numpy()
+            for g in np.unique(of).tolist():
+                if g in centres:
+                    own = x[of == g]
+                    near = (own @ centres[g].T).argmax(axis=1)
+                    for c in np.unique(near).tolist():
+                        part = own[near == c].sum(axis=0).astype(np.int64)
+                        sums[g, c] = sums[g, c] + part if (g, c) in sums else part
+                        counts[g, c] += int((near == c).sum())
+        keys = list(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64()), pa.array([sums[k].tolist() for k in keys], pa.list_(pa.int64()))], ["g", "c", "n", "sums"])
+
+    for _ in range(rounds):
+        parts = source.mapInArrow(add, "g int, c int, n long, sums array<long>").select("g", "c", F.posexplode("sums").alias("pos", "x"))
+        found: dict[tuple[int, int], list[int]] = {}
+        for r in parts.groupBy("g", "c", "pos").agg(F.sum("x").alias("x")).collect():  # groups x centres x components
+            found.setdefault((r["g"], r["c"]), [0] * centres[r["g"]].shape[1])[r["pos"]] = r["x"]
+        centres = {g: np.array([renormalised(found[g, c]) if (g, c) in found else old.tolist() for c, old in enumerate(own)], dtype=np.float64) for g, own in centres.items()}
+    return centres
+
+
+def first_units(df: DataFrame, k: int, key: str, vector: str, group: str | None = None) -> dict[int, np.ndarray]:
+    """The k rows of each group with the smallest hashes of their keys, as whole unit vectors."""
+    rows = df.select((F.col(group) if group else F.lit(0)).cast("int").alias("g"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).cast("string").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    out: dict[int, list] = {}
+    for r in top_per_group(rows, ["g"], k, F.asc("h"), F.asc("key")).orderBy("g", "rn").collect():
+        out.setdefault(r["g"], []).append(r["v"])
+    return {g: whole_units(pa.array(v, pa.list_(pa.float64()))) for g, v in out.items()}
+
+
+def spherical_centres(df: DataFrame, k: int, rounds: int = 8, key: str = "id", vector: str = "embedding") -> np.ndarray:
+    """Unit vectors, k or as many as there are rows."""
+    return spherical_rounds(df, first_units(df, k, key, vector), rounds, vector)[0] / FINE
+
+
+def spherical_tree(df: DataFrame, k: int, below: int, rounds: int = 8, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """(key, cluster, part): spherical k-means into k clusters, and of each cluster into `below` parts, clusters and their parts
+    numbered from 0.  All clusters are divided together, in one aggregation a round.
+
+    Rows whose vector is null are left out; vectors have one length and finite components.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def placed(source: DataFrame, name: str, centres: dict[int, np.ndarray]) -> DataFrame:
+        def place(batches):
+            for batch in batches:
+                x, of = whole_units(batch.column(1)), batch.column(2).to_numpy()
+                near = np.zeros(len(x), dtype=np.int32)
+                for g in np.unique(of).tolist():
+                    near[of == g] = (x[of == g] @ centres[g].T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], [*batch.schema.names, name])
+
+        return source.mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema) + f", {name} int")
+
+    rows = rows.withColumn("g", F.lit(0))
+    if rows.isEmpty():
+        return rows.selectExpr(f"key AS {key}", "g AS cluster", "g AS part")
+    top = spherical_rounds(rows, first_units(rows, k, "key", "v"), rounds, "v")
+    steps = Steps(df.sparkSession, "spherical")
+    first = steps.keep(placed(rows, "cluster", top).select("key", "v", "cluster"), "clusters")
+    low = spherical_rounds(first, first_units(first, below, "key", "v", "cluster"), rounds, "v", "cluster")
+    out = placed(first.select("key", "v", "cluster"), "part", low)
+    return out.selectExpr(f"key AS {key}", "cluster", "part")
+
+
 def assign(df: DataFrame, centres: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(key, cluster, distance): the nearest centre (cluster, centroid) of each vector; ties to the smaller cluster."""
     rows = df.filter(F.col(vector).isNotNull()).select(key, F.col(vector).alias("__v")).join(centres.select("cluster", "centroid"))

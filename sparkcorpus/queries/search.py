@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkcorpus.functions import vector as V
-from sparkcorpus.operators import cluster, retrieval as R, selection
+from sparkcorpus.operators import cluster, retrieval as R, selection, vector_index
 from sparkcorpus.operators.relational import top_per_group
 from sparkcorpus.queries.base import query
 
@@ -69,6 +70,22 @@ def vector_topk(spark, t):
     return R.vector_channel(q, units, 10).select("query", "unit", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query(f"WITH {SQL_NEAR} SELECT query, unit, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, unit)::INTEGER AS rank FROM near) WHERE rank <= 10")
+def indexed_topk(spark, t):
+    """R2, O1: the ten nearest vectors by the inverted file, all lists probed."""
+    q, units = vectors(t)
+    return vector_index.search(vector_index.build(units), q, 10).select("query", "unit", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def index_recall(spark, t):
+    """R2, O1: whether the nearest ten are found at 0.9 or more in the lists that the index's own vectors ask for, against a full scan."""
+    q, units = vectors(t)
+    index = vector_index.build(units)
+    found = vector_index.search(index, q, 10, probes=vector_index.probes_for(index, 10))
+    return vector_index.recall(found, R.vector_channel(q, units, 10)).select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(f"WITH {SQL_NEAR} SELECT query, unit, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, unit)::INTEGER AS rank FROM near) WHERE rank <= 8 AND distance <= 0.6")
 def vector_threshold(spark, t):
     """Nearest vectors within the distance threshold."""
@@ -157,6 +174,29 @@ def lloyd_step(spark, t):
     return out.select("cluster", "size", F.posexplode("centroid").alias("pos", "mean")).select("cluster", "pos", "size", F.round("mean", 6).alias("mean"))
 
 
+@query()
+def topic_tree(spark, t):
+    """Spherical k-means into clusters, and of each cluster into parts, in whole numbers."""
+    e = t("embeddings").filter(vector_index.usable(F.col("embedding"), 64))
+    return cluster.spherical_tree(e, 6, 3, 5, "vec_id")
+
+
+@query("""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+ x AS (SELECT vec_id, label, sqrt(list_sum(list_transform(v, lambda a: a * a))) AS size, unnest(v) AS x, unnest(range(len(v))) AS pos FROM k),
+ w AS (SELECT vec_id, label, pos, round(x / size * 32768) AS w FROM x), s AS (SELECT label, pos, sum(w) AS s, count(*) AS n FROM w GROUP BY label, pos),
+ r AS (SELECT label, sqrt(sum(s * s)) AS size FROM s GROUP BY label)
+SELECT s.label AS cluster, pos::INTEGER AS pos, n AS size, round(round(s.s / r.size * 32768) / 32768, 4) AS x FROM s JOIN r USING (label)""")
+def spherical_step(spark, t):
+    """Renormalised centres of labelled vectors, one step."""
+    e = t("embeddings").filter("label is not null")
+    sizes = e.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("size"))
+    labels = [r["label"] for r in e.select("label").distinct().collect()]
+    centres = cluster.spherical_rounds(e, {g: np.ones((1, 64)) for g in labels}, 1, "embedding", "label")
+    rows = [(g, i, float(x)) for g, own in centres.items() for i, x in enumerate(own[0] / cluster.FINE)]
+    made = spark.createDataFrame(rows, "cluster int, pos int, x double")
+    return made.join(sizes, "cluster").select("cluster", "pos", "size", F.round("x", 4).alias("x"))
+
+
 @query(f"""WITH {SQL_MEANS}, d AS (SELECT q.vec_id AS query, c.label, list_cosine_distance(c.centroid, q.embedding::DOUBLE[]) AS d FROM embeddings q, c WHERE q.vec_id % 100 = 0),
  p AS (SELECT query, label FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, label) AS k FROM d) WHERE k <= 2)
 SELECT query, e.vec_id AS unit FROM p JOIN embeddings e USING (label)""")

@@ -235,3 +235,10 @@ def test_kmeans_topics(spark, sf, table):
     near = ((x[:, None, :] - means[None]) ** 2).sum(2)
     # nearly all lie with the nearest mean: the fit has converged
     assert (near.argmin(1) == c).mean() > 0.9
+
+
+def test_topic_tree(spark, sf, table):
+    """Every vector is placed, and both levels are used; tests/test_vector_index.py follows the rounds themselves."""
+    got = rows(spark, sf, "topic_tree")
+    assert {r["vec_id"] for r in got} == {r["vec_id"] for r in table("embeddings").collect()}
+    assert {r["cluster"] for r in got} <= set(range(6)) and {r["part"] for r in got} <= set(range(3)) and len({(r["cluster"], r["part"]) for r in got}) > 6
