@@ -14,12 +14,10 @@ from pyspark.sql.window import Window
 from sparkcorpus.config import Retrieval
 from sparkcorpus.functions import vector as V
 from sparkcorpus.functions.text import extract_terms
+from sparkcorpus.operators import gram_index
+from sparkcorpus.operators.gram_index import GramIndex
 from sparkcorpus.operators.relational import first_wins, top_per_group
 
-#: Runs of characters that terms are made of, in lowered texts.
-RUN = r"[a-z0-9_]+|[\u4e00-\u9fff]+"
-
-
 def term_hits(content: Column, terms: Column, escape: bool = False) -> Column:
     """How many distinct terms a text has, cases apart; `_` in a term stands for any character unless escaped."""
     low = F.lower(content)
@@ -41,41 +39,20 @@ def vector_channel(queries: DataFrame, units: DataFrame, k: int, unit: str = "id
     return top_per_group(near, ["query"], k, F.asc("distance"), F.asc("unit"), name="rank")
 
 
-def word_parts(words: DataFrame, parts: DataFrame) -> DataFrame:
-    """(word, part): which strings of `parts` each distinct word has as a substring.  Substrings of the lengths
-    that parts have are joined by equality."""
-    sizes = parts.agg(F.collect_set(F.length("part")).alias("__sizes"))  # one row
-    cut = words.select("word").distinct().join(F.broadcast(sizes)).select("word", F.explode("__sizes").alias("__n")).filter(F.length("word") >= F.col("__n"))
-    cut = cut.select("word", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("__n") + 1)).alias("__i"), "__n")
-    return cut.select("word", F.col("word").substr(F.col("__i"), F.col("__n")).alias("part")).join(parts, "part").select("word", "part").distinct()
-
-
-def keyword_channel(queries: DataFrame, units: DataFrame, k: int, unit: str = "id", content: str = "content", conf: Retrieval = Retrieval()) -> DataFrame:
+def keyword_channel(queries: DataFrame, units: DataFrame | GramIndex, k: int, unit: str = "id", content: str = "content", conf: Retrieval = Retrieval()) -> DataFrame:
     """(query, unit, hits, rank): the k units with most terms of each query, of which those with enough stay.
 
     A term is a run of word characters (or a pair of CJK ones), so a text has it only within one of its own such
-    runs.  Texts are lowered and cut into distinct runs once; the distinct runs of all texts meet the distinct
-    terms by equality of substrings; hits are counted over (query, unit) rows.  A term with a wildcard is looked for
-    by its longest part without one, and the text is then matched.  Ids of units are unique.
+    runs; see `gram_index` for how they are found and counted.  A term with a wildcard is looked for by its longest part without
+    one, and candidates' texts are then matched.  Ids of units are unique.  An index that was written before may stand for the units.
     """
+    index = units if isinstance(units, GramIndex) else gram_index.build(units, unit, content, write_grams=False)
     asked = queries.select("query", extract_terms(F.col("text"), conf.max_terms).alias("__t")).filter(F.size("__t") > 0)
-    asked = asked.select("query", min_hits(F.col("__t"), conf).alias("__min"), F.explode("__t").alias("term"))
+    asked = asked.select("query", min_hits(F.col("__t"), conf).alias("least"), F.explode("__t").alias("term"))
     wild = F.lit(False) if conf.escape_wildcards else F.contains("term", F.lit("_"))
     longest = F.array_max(F.transform(F.split(F.lower("term"), "_"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    asked = asked.withColumns({"__wild": wild, "part": F.when(wild, longest).otherwise(F.lower("term"))})
-    texts = units.select(F.col(unit).alias("unit"), F.col(content).alias("__c"))
-    words = texts.select("unit", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__c"), F.lit(RUN), 0))).alias("word"))
-    parts = asked.select("part").filter("part <> ''").distinct()
-    found = words.join(word_parts(words, parts), "word").select("unit", "part").distinct()
-    hits = found.join(asked.filter("not __wild"), "part").select("query", "unit", "term", "__min")
-    if not conf.escape_wildcards:
-        like = F.call_function("ilike", F.col("__c"), F.concat(F.lit("%"), "term", F.lit("%")))
-        maybe = found.join(asked.filter("__wild and part <> ''"), "part").select("query", "unit", "term", "__min")
-        bare = texts.select("unit").join(asked.filter("__wild and part = ''").select("query", "term", "__min"))  # terms of wildcards alone
-        maybe = maybe.unionByName(bare.select("query", "unit", "term", "__min"))
-        hits = hits.unionByName(maybe.join(texts, "unit").filter(like).select("query", "unit", "term", "__min"))
-    counts = hits.groupBy("query", "unit").agg(F.count("*").cast("int").alias("hits"), F.max("__min").alias("__min")).filter("hits >= __min").drop("__min")
-    return top_per_group(counts, ["query"], k, F.desc("hits"), F.asc("unit"), name="rank")
+    asked = asked.withColumn("wild", wild).withColumn("part", F.when(F.col("wild"), longest).otherwise(F.lower("term")))
+    return gram_index.count_hits(index, asked, k)
 
 
 def rrf(channels: list[DataFrame], k: int, conf: Retrieval = Retrieval()) -> DataFrame:
