@@ -6,7 +6,7 @@ sigmoid(threshold_k - s).  Expected grade and the tail P(grade >= 2) select docu
 
 Features of a text are its words, their first bytes and their shapes, each hashed; a text's values are the square
 roots of shares of its words, so texts of any length compare.  The model is fitted on
-at most SAMPLE labelled rows, chosen by a hash of their key; everything else is over all rows.
+at most SAMPLE labelled texts of SAMPLE_BYTES together, chosen by hashes of key and text; everything else is over all rows.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkcorpus.llm.kernels import LOWER, U, Words, chunks, mix
 from sparkcorpus.llm.scratch import small_batches
 
 GRADES = 3
-#: Labelled rows that the model is fitted on, at most; bits of the feature hashes.
-SAMPLE, BITS = 10_000, 18
+#: Labelled texts that the model is fitted on, at most, and bytes of these together; bits of the feature hashes.
+SAMPLE, SAMPLE_BYTES, BITS = 10_000, 1 << 26, 18
 #: Features of fewer labelled rows have no weight; steps, rate and decay of the fit.
 LEAST_ROWS, STEPS, RATE, DECAY, SEED = 3, 250, 0.5, 3e-6, 11
 #: Bytes of a word's stem.
@@ -123,27 +123,40 @@ def grade_of(quality, toxic):
     return F.when(toxic == 1, 0).when(quality == 0, 1).when(quality == 1, 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> Model:
-    """Fit on the texts of at most `sample` labelled rows; rows without a grade or a text are none.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most `sample` labelled texts of at most `most_bytes` together, none over a sixteenth of that; rows without a grade or a text are none.
 
-    Several labels of one document, and several rows of one labelled document, are all fitted.  Labels of
+    Several labels of one document, and several texts of one labelled document, are all fitted within these bounds, equal ones
+    once.  They are taken in the order of a hash, and fitted in an order of their own, however rows are dealt.  Labels of
     documents that are not there do not count.  Without any, no document is rated better than another.
     """
     rated = labels.select(labels[key].alias("k"), grade_of(labels["quality"], F.coalesce(labels["toxic"], F.lit(0))).alias("grade")).filter("grade is not null and k is not null")
     have = docs.filter(docs[text].isNotNull()).select(docs[key].alias("k"))
-    chosen = rated.join(have, "k", "left_semi").orderBy(F.xxhash64("k", F.lit(SEED)), "k", "grade").limit(sample)
-    # the sample's size is bounded by a parameter, so it may be broadcast
-    texts = docs.select(docs[key].alias("k"), docs[text].alias("text")).filter("text is not null").join(F.broadcast(chosen), "k").select("grade", "text")
+    first = rated.distinct().join(have, "k", "left_semi").orderBy(F.xxhash64("k", F.lit(SEED)), "k", "grade").limit(sample)
+    # labels are at most as many as the sample, so they may be broadcast; their texts are counted before any is taken
+    texts = docs.select(docs[key].alias("k"), docs[text].alias("text")).filter("text is not null").join(F.broadcast(first), "k").withColumn("h", F.xxhash64("text"))
+    found = texts.groupBy("k", "grade", "h").agg(F.max(F.octet_length("text")).alias("bytes"))
+    found = found.filter(F.col("bytes") <= most_bytes // 16).orderBy(F.xxhash64("k", F.lit(SEED)), "k", "grade", "h").limit(sample)
+    upto = F.sum("bytes").over(Window.orderBy(F.xxhash64("k", F.lit(SEED)), "k", "grade", "h"))  # of the sample
+    chosen = found.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select("k", "grade", "h")
+    taken = texts.join(F.broadcast(chosen), ["k", "grade", "h"]).select("k", "grade", "h", "text")
+    kind = taken.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, off in chunks(batches, "text"):
-            index, values, bounds = features(raw, off, bits)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in (index, values)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["grade", "index", "values"])
-
-    got = texts.mapInArrow(run, "grade int, index array<int>, values array<float>").toArrow()
+        seen = set()  # of the sample; a task passes on each text once
+        for batch in batches:
+            rows = list(zip(*[batch.column(i).to_pylist() for i in range(3)]))
+            new = [seen.add(r) or True if r not in seen else False for r in rows]
+            for part, raw, off in chunks([batch.filter(pa.array(new, pa.bool_()))], "text"):
+                index, values, bounds = features(raw, off, bits)
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in (index, values)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], ["k", "grade", "h", "index", "values"])
+
+    got = taken.mapInArrow(run, f"k {kind}, grade int, h long, index array<int>, values array<float>")
+    got = got.groupBy("k", "grade", "h").agg(F.any_value(F.struct("index", "values")).alias("x")).select("k", "grade", "h", "x.index", "x.values").toArrow()
     if not got.num_rows:
         return fit(np.zeros(0, np.int32), np.zeros(0), np.zeros(1, int), np.zeros(0, int), bits)
+    got = got.sort_by([("k", "ascending"), ("grade", "ascending"), ("h", "ascending")])
     index, values = (got[c].combine_chunks() for c in ("index", "values"))
     return fit(index.flatten().to_numpy(), values.flatten().to_numpy(), index.offsets.to_numpy() - index.offsets[0].as_py(), got["grade"].to_numpy().astype(int), bits)
 

@@ -83,6 +83,21 @@ def test_rating_of_odd_rows(spark):
     assert quality_model.rate(docs.limit(0), none).collect() == []
 
 
+def test_the_sample_is_bounded_whatever_a_labelled_id_holds(spark, monkeypatch):
+    """A third of all rows are copies under a labelled id, another third different texts under another."""
+    rows = [(1, "copy of one text")] * 300 + [(2, f"text number {i} of many") for i in range(300)] + [(10 + i, f"poor stuff {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 1, 0)] + [(10 + i, 0, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    fitted, real = [], quality_model.fit
+    monkeypatch.setattr(quality_model, "fit", lambda *a: (fitted.append(a), real(*a))[1])
+    quality_model.train(docs, labels, sample=50)
+    quality_model.train(docs, labels)
+    quality_model.train(docs.repartition(2), labels)
+    quality_model.train(docs, labels, most_bytes=1600)
+    assert [len(a[3]) for a in fitted[:3]] == [50, 601, 601] and 0 < len(fitted[3][3]) < 120
+    assert all((x == y).all() for x, y in zip(fitted[1][:4], fitted[2][:4]))
+
+
 def small(seed=0):
     rng = np.random.default_rng(seed)
     n = 40
