@@ -113,15 +113,21 @@ def plan(rows: DataFrame, scratch: Scratch, weights, shards: int, seed: int) ->
     dealt = dealt.withColumn("part", F.when(F.col("before") + F.col("words") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0))
     dealt = scratch.keep(dealt, "dealt")
 
-    # the one block of each source that the partial pass ends in is cut between two of its documents
+    # the one block of each source that the partial pass ends in is cut between two of its documents, or between copies of one
     edge = dealt.filter("part = 1").select(F.col("__source").alias("s"), F.col("__block").alias("b"), (F.col("rest") - F.col("before")).alias("room"))
     inside = rows.select("__source", "__block", "__rank", "__size").join(edge, rows["__source"].eqNullSafe(F.col("s")) & (rows["__block"] == F.col("b")))
-    ranks = inside.groupBy("__source", "__block", "room", "__rank").agg(F.sum("__size").alias("words"))
+    ranks = inside.groupBy("__source", "__block", "room", "__rank").agg(F.sum("__size").alias("words"), F.count("*").alias("n"))
     upto = F.sum("words").over(Window.partitionBy("__source", "__block").orderBy("__rank"))
-    nearest = ranks.withColumn("upto", upto).filter(F.col("upto") - F.col("words") / 2 <= F.col("room"))
-    cuts = nearest.groupBy(F.col("__source").alias("s"), F.col("__block").alias("b")).agg(F.max("__rank").alias("inner"))
+    ends = ranks.withColumn("left", F.col("room") - upto + F.col("words")).filter(F.col("left") > 0)
+    copies = F.least(F.round(F.col("left") / (F.col("words") / F.col("n"))).cast("long"), F.col("n"))
+    last = F.max(F.struct("__rank", copies.alias("copies"), "n"))
+    cuts = ends.filter("words > 0").groupBy(F.col("__source").alias("s"), F.col("__block").alias("b")).agg(last.alias("x")).select("s", "b", F.col("x.__rank").alias("inner"), F.col("x.copies").alias("copies"), F.col("x.n").alias("alike"))
     dealt = dealt.join(cuts, dealt["__source"].eqNullSafe(cuts["s"]) & (dealt["__block"] == cuts["b"]), "left").drop("s", "b")
-    dealt = dealt.withColumn("cut", F.when(F.col("part") == 2, F.lit(HIGHEST)).when(F.col("part") == 1, F.coalesce("inner", F.lit(LOWEST))).otherwise(F.lit(LOWEST)))
+    # rows up to `cut` are drawn, and `copies` of those at `shared`
+    some = (F.col("copies") > 0) & (F.col("copies") < F.col("alike"))
+    inner = F.when(some | (F.col("copies") == 0), F.col("inner") - 1).otherwise(F.col("inner"))
+    dealt = dealt.withColumn("cut", F.when(F.col("part") == 2, F.lit(HIGHEST)).when(F.col("part") == 1, F.coalesce(inner, F.lit(LOWEST))).otherwise(F.lit(LOWEST)))
+    dealt = dealt.withColumns({"shared": F.when((F.col("part") == 1) & some, F.col("inner")), "copies": F.when((F.col("part") == 1) & some, F.col("copies"))})
 
     drawn = {r["__source"]: r["n"] for r in dealt.filter("part > 0").groupBy("__source").agg(F.count("*").alias("n")).collect()}
     quotas = np.array([p * int(r["blocks"]) + drawn.get(r[0], 0) for r, p in zip(totals, passes, strict=True)], dtype=np.int64)
@@ -135,21 +141,41 @@ def plan(rows: DataFrame, scratch: Scratch, weights, shards: int, seed: int) ->
             for source, p, n, passes, part in zip(*[batch.column(c).to_pylist() for c in ("__source", "place", "n_blocks", "passes", "part")], strict=True):
                 draws = np.arange(passes + (part > 0)) * n + p
                 out.append(np.searchsorted(ends.value[source], draws, side="right").tolist())
-            kept = ["__source", "__block", "source_size", "target", "passes", "cut"]
+            kept = ["__source", "__block", "source_size", "target", "passes", "cut", "shared", "copies"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.list_(pa.int32()))], [*kept, "shards"])
 
-    placed = dealt.select("__source", "__block", "source_size", "target", "passes", "cut", "place", "n_blocks", "part").mapInArrow(
-        place, "__source string, __block int, source_size long, target double, passes int, cut long, shards array<int>"
+    placed = dealt.select("__source", "__block", "source_size", "target", "passes", "cut", "shared", "copies", "place", "n_blocks", "part").mapInArrow(
+        place, "__source string, __block int, source_size long, target double, passes int, cut long, shared long, copies long, shards array<int>"
     )
     return scratch.keep(placed, "plan")
 
 
+def some_of(alike: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of each source's equal rows (numbered by __no), the first `copies` are drawn once more.
+
+    Rows are counted by the task that numbered them; only the rows of the task in which the last copy falls are put in order.
+    """
+    rows = alike.withColumn("__task", F.shiftright("__no", 33))
+    counts = rows.groupBy("__source", "copies", "__task").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__source").orderBy("__task")) - F.col("n")  # a row a task
+    open_ = counts.withColumn("left", F.col("copies") - before)
+    edge = open_.filter("left > 0 and left < n").select(F.col("__source").alias("s"), F.col("__task").alias("t"), "left")
+    ordered = rows.join(edge, rows["__source"].eqNullSafe(edge["s"]) & (rows["__task"] == edge["t"])).withColumn("i", F.row_number().over(Window.partitionBy("__source").orderBy("__no")))
+    limits = ordered.filter("i = left").select(F.col("__source").alias("s"), F.col("__no").alias("last"))
+    full = open_.filter("left >= n").groupBy(F.col("__source").alias("s")).agg(F.max("__task").alias("upto"))
+    limits, full = scratch.keep(limits, "limits"), scratch.keep(full, "full")
+    out = rows.join(limits, rows["__source"].eqNullSafe(limits["s"]), "left").drop("s")
+    out = out.join(full, out["__source"].eqNullSafe(full["s"]), "left").drop("s")
+    taken = (F.col("__task") <= F.coalesce("upto", F.lit(-1))) | (F.col("__no") <= F.coalesce("last", F.lit(-1)))
+    return out.withColumn("times", F.col("times") + taken.cast("int"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, shards: int | None = None, seed: int = SEED, keep_text: bool = True) -> DataFrame:
     """`docs` with size, source_size, target, times, taken and the shards of each row's draws; without its text
     unless `keep_text`.  `shards`: how many; None: as the size of the corpus asks for.
 
-    Null texts have size 0 and a null source is a source of its own, the last.  Repeated rows are
-    taken alike.  Columns of `docs` with these names are replaced.  No rows give no rows.  What is taken
+    Null texts have size 0 and a null source is a source of its own, the last.  Repeated rows are taken alike,
+    unless a source's target falls between them: then some of them are drawn once more than the others.  Columns of `docs` with these names are replaced.  No rows give no rows.  What is taken
     depends on the keys, texts and seed alone, so reruns agree.
     """
     made = ["size", "source_size", "target", "times", "taken", "shards"]
@@ -164,8 +190,13 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     dealt = plan(in_blocks(sizes.select(*needs), blocks), scratch, weights, shards, seed).withColumnsRenamed({"__source": "__s", "__block": "__b"})
     rows = in_blocks(rows if keep_text else sizes, blocks)
     out = rows.join(dealt, rows["__source"].eqNullSafe(dealt["__s"]) & (rows["__block"] == dealt["__b"]))
-    times = F.col("passes") + (F.col("__rank") <= F.col("cut")).cast("int") * (F.col("cut") > LOWEST).cast("int")
-    out = out.withColumn("times", times).withColumn("shards", F.slice("shards", F.lit(1), F.col("times")))
+    drawn = (F.col("__rank") <= F.col("cut")) & (F.col("cut") > LOWEST)
+    out = out.withColumn("times", F.col("passes") + drawn.cast("int"))
+    if not dealt.filter("shared is not null").isEmpty():
+        split = F.coalesce(F.col("__rank") == F.col("shared"), F.lit(False))
+        alike = some_of(scratch.keep(out.filter(split).withColumn("__no", F.monotonically_increasing_id()), "alike"), scratch)
+        out = out.filter(~split).unionByName(alike.select(*out.columns))
+    out = out.withColumn("shards", F.slice("shards", F.lit(1), F.col("times")))
     return out.select(*columns, F.col("__size").alias("size"), "source_size", "target", "times", (F.col("__size") * F.col("times")).alias("taken"), "shards")
 
 

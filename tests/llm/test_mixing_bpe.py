@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -49,6 +50,21 @@ def test_mix_comes_near_its_targets(spark):
     assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in narrow.collect()) == sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in got)
 
 
+@pytest.mark.parametrize("parts,keep_text", [(1, True), (5, True), (5, False)])
+def test_targets_are_met_between_equal_rows(spark, parts, keep_text):
+    """Half of a source, and a third of all rows, are copies of one row."""
+    rows = [(7, "s2", "w " * 60)] * 3000 + [(100 + i, "s2", "w " * 60) for i in range(3000)] + [(10_000 + i, f"s{i % 2}", "w " * 20) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("more", F.lit("x")).repartition(parts)
+    got = mixing.mix(df, keep_text=keep_text).collect()
+    assert len(got) == len(rows)
+    for name in ("s0", "s1", "s2"):
+        mine = [r for r in got if r["source"] == name]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 31
+        assert all(r["taken"] == r["size"] * r["times"] and r["times"] <= 3 and len(r["shards"]) == r["times"] for r in mine)
+    again = mixing.mix(df.repartition(3), keep_text=keep_text).collect()
+    assert Counter((r["doc_id"], r["taken"]) for r in got) == Counter((r["doc_id"], r["taken"]) for r in again)
+
+
 def test_shards_are_disjoint_and_proportional(spark):
     rows = [(i, f"s{i % 3}", "w " * (i % 40 + 1)) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
