@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkcorpus.config import Conversation
-from sparkcorpus.functions.text import ARROW, COLON, NO_HISTORY, common_run, split_item, strip, title_of, usable_label
+from sparkcorpus.functions.text import ARROW, COLON, NO_HISTORY, split_item, strip, title_of, usable_label
+from sparkcorpus.store import Steps
 
 
 def by_id():
@@ -129,45 +129,97 @@ def merge_summary(attempts: DataFrame, most: int = Conversation().summary_items)
     return best.withColumn("items", F.concat("items", back)).withColumn("frozen", (F.size("old") > 0) & (F.col("old") == F.col("items")))
 
 
-def current_value(item: str) -> str:
-    """The value of a memory line `topic：value` or `topic：old → new`."""
-    head, _, rest = item.partition(COLON)
-    return rest.rpartition(ARROW)[2].strip() if rest else head.strip()
+def current_value(item: Column) -> Column:
+    """The value of a memory line `topic：value` or `topic：old → new`; of a line without value, its text."""
+    at = F.locate(COLON, item)
+    return strip(F.when(at > 0, F.element_at(F.split(F.substr(item, at + 1), ARROW), -1)).otherwise(item))
 
 
-def same_topic(a: str, b: str) -> bool:
-    x, y = ("".join(s.replace(ARROW, " ").replace("—", " ").split()) for s in (a, b))
-    return bool(x and y) and (x in y or y in x or common_run(x, y) >= 4)
+def topic_keys(topics: DataFrame) -> DataFrame:
+    """(o, place, key, side): what makes topics (o, place, topic) alike, white space and arrows aside.
 
+    Two topics are alike if one contains the other or if they have four characters in a row in common.  So alike ones share a
+    4-gram (side 2), or the whole of a shorter one (1) is an n-gram of the other (0).
+    """
+    rows = topics.select("o", "place", normal_item(F.col("topic")).alias("x"))
+    cut = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("x") - n + 1), lambda i: F.substr("x", i, F.lit(n))))
+    out = rows.filter(F.length("x").between(1, 3)).select("o", "place", F.col("x").alias("key"), F.lit(1).alias("side"))
+    for n in (1, 2, 3, 4):
+        out = out.unionByName(rows.filter(F.length("x") >= n).select("o", "place", F.explode(cut(n)).alias("key"), F.lit(2 if n == 4 else 0).alias("side")))
+    return out
 
-def fold_memory(known: list[tuple[str, str]], lines: list[str]) -> list[tuple[str, str, bool]]:
-    """(topic, item, written) after the lines: new topics are added, changed values keep what they were."""
-    items = {t: (i, False) for t, i in known}
-    for line in lines:
-        a, b = line.find(COLON), line.find(ARROW)
-        if a <= 0 or b <= a:
-            continue
-        topic, now = line[:a].strip(), line[b + 1 :].strip()
-        hit = topic if topic in items else next((t for t in items if same_topic(t, topic)), None)
-        if hit is None:
-            items[topic] = (f"{topic}{COLON}{now}", True)
-        elif current_value(items[hit][0]) != now:
-            items[hit] = (f"{topic}{COLON}{current_value(items[hit][0])} {ARROW} {now}", True)
-    return [(t, i, w) for t, (i, w) in items.items()]
 
+def leading_topics(topics: DataFrame, steps: Steps) -> DataFrame:
+    """(o, place, leader) of topics (o, place, topic, known), places in order: known topics lead themselves, so does a topic to which
+    no leader before it is alike; others follow the first such leader.
 
-def absorb(memory: DataFrame, lines: DataFrame, owner: str = "owner") -> DataFrame:
-    """(owner, topic, item, written): each owner's memory after its lines, in the order of `seq`."""
-    rows = memory.select(owner, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"), "topic", "item").unionByName(lines.select(owner, F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), F.lit(None).cast("string").alias("topic"), F.col("line").alias("item")))
+    A round decides every topic of which no undecided one or leader before it is alike, and all that are alike to those.  It takes the
+    least place of each key, never pairs, so keys that many topics share cost a row each.  Rounds are as many as the
+    longest chain of topics that depend on one another.
+    """
+    keys = steps.keep(topic_keys(topics), "keys")
+    opposite = F.when(F.col("side") == 2, 2).otherwise(1 - F.col("side")).alias("side")
+    undecided = steps.keep(topics.filter("not known").select("o", "place"), "undecided-0")
+    leaders = steps.keep(topics.filter("known").select("o", "place"), "leaders-0")
+
+    def least(places: DataFrame) -> DataFrame:
+        """(o, place, first): for each topic with keys, the least of the places that are alike to it."""
+        firsts = keys.join(places, ["o", "place"], "left_semi").groupBy("o", "key", opposite).agg(F.min("place").alias("first"))
+        return keys.join(firsts, ["o", "key", "side"]).groupBy("o", "place").agg(F.min("first").alias("first"))
+
+    i = 0
+    while not undecided.isEmpty():
+        i += 1
+        near = least(undecided.unionByName(leaders))
+        new = undecided.join(near, ["o", "place"], "left").filter("first is null or first >= place").select("o", "place")
+        leaders = steps.keep(leaders.unionByName(new), f"leaders-{i}")
+        beaten = least(leaders).filter("first <= place").select("o", "place")
+        left = undecided.join(leaders, ["o", "place"], "left_anti").join(beaten, ["o", "place"], "left_anti")
+        undecided = steps.keep(left, f"undecided-{i}")
+        steps.drop(f"leaders-{i - 1}", f"undecided-{i - 1}")
+    own = leaders.select("o", "place", F.col("place").alias("leader"))
+    rest = topics.select("o", "place").join(leaders, ["o", "place"], "left_anti")
+    return own.unionByName(rest.join(least(leaders), ["o", "place"]).select("o", "place", F.col("first").alias("leader")))
+
+
+#: Numbers of lines whose changes are found in one window.
+STRETCH = 10_000
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        old = frame[frame["kind"] == 0].sort_values("topic")
-        new = frame[frame["kind"] == 1].sort_values("seq")
-        out = fold_memory(list(zip(old["topic"], old["item"], strict=True)), new["item"].tolist())
-        return pd.DataFrame([(frame[owner].iloc[0], *x) for x in out], columns=[owner, "topic", "item", "written"])
 
-    kind = memory.schema[owner].dataType.simpleString()
-    return rows.groupBy(owner).applyInPandas(run, f"{owner} {kind}, topic string, item string, written boolean")
+def absorb(memory: DataFrame, lines: DataFrame, owner: str = "owner") -> DataFrame:
+    """(owner, topic, item, written): each owner's memory (topic, item) after its lines (seq, line), in the order of `seq`, then of the lines.
+
+    A line `topic：old → new` goes to the topic of its name, else to the first topic alike, else it begins one; an item
+    names the topic of the line that changed it last, and keeps the value before.  Lines of other shapes are passed over.  Of several items of a known topic the largest
+    counts; known topics come in their order.  An owner may be null.
+    """
+    steps = Steps(memory.sparkSession, "memory")
+    o = F.coalesce(F.concat(F.lit("."), F.col(owner).cast("string")), F.lit("")).alias("o")
+    known = memory.filter("topic is not null").select(o, owner, "topic", "item").groupBy("o", "topic").agg(F.max("item").alias("item"), F.first(owner).alias(owner))
+    parsed = lines.select(o, owner, F.col("seq").cast("long").alias("seq"), "line", split_item(F.col("line")).alias("p")).filter("p is not null")
+    parsed = steps.keep(parsed.select("o", owner, "seq", "line", F.col("p.topic").alias("topic"), F.col("p.new").alias("now")), "lines")
+    known = steps.keep(known, "known")
+    # a topic's place: known ones by name, new ones by their first line
+    named = known.select("o", "topic", F.struct(F.lit(0).alias("new"), F.lit(0).cast("long").alias("seq"), F.col("topic").alias("line"), "topic").alias("place"))
+    named = named.unionByName(parsed.groupBy("o", "topic").agg(F.min(F.struct(F.lit(1).alias("new"), "seq", "line", "topic")).alias("place")))
+    topics = steps.keep(named.groupBy("o", "topic").agg(F.min("place").alias("place")).withColumn("known", F.col("place.new") == 0), "topics")
+    led = leading_topics(topics, steps).select("o", F.col("place.topic").alias("topic"), F.col("leader.topic").alias("leader"))
+    rows = parsed.join(led, ["o", "topic"]).withColumns({"then": strip(F.element_at(F.split("now", ARROW), -1)), "stretch": F.floor(F.col("seq") / STRETCH)})
+    # after a line the current value is the one it gives, so a change is seen from the line before; stretches of lines are summed up first
+    before = F.lag("then").over(Window.partitionBy("o", "leader", "stretch").orderBy("seq", "line"))
+    rows = rows.withColumn("was", before)
+    change = F.when(F.col("was").isNotNull() & (F.col("was") != F.col("now")), F.struct("seq", "line", "topic", "was", "now"))
+    order = F.struct("seq", "line")
+    parts = rows.groupBy("o", "leader", "stretch").agg(F.first(owner).alias(owner), F.min(F.struct("seq", "line", "topic", "now")).alias("begin"), F.max_by("then", order).alias("then"), F.max(change).alias("change"))
+    parts = parts.join(known.select("o", F.col("topic").alias("leader"), current_value(F.col("item")).alias("at_first")), ["o", "leader"], "left")
+    was = F.coalesce(F.lag("then").over(Window.partitionBy("o", "leader").orderBy("stretch")), "at_first")
+    parts = parts.withColumn("was", was)
+    entered = F.when(F.col("was").isNull() | (F.col("was") != F.col("begin.now")), F.struct(F.col("begin.seq").alias("seq"), F.col("begin.line").alias("line"), F.col("begin.topic").alias("topic"), "was", F.col("begin.now").alias("now")))
+    last = parts.groupBy("o", "leader").agg(F.first(owner).alias(owner), F.max(F.coalesce("change", entered)).alias("c")).filter("c is not null")
+    text = F.concat("c.topic", F.lit(COLON), F.coalesce(F.concat("c.was", F.lit(f" {ARROW} ")), F.lit("")), "c.now")
+    written = last.select("o", owner, F.col("leader").alias("topic"), text.alias("item"), F.lit(True).alias("written"))
+    kept = known.join(written.select("o", "topic"), ["o", "topic"], "left_anti").select("o", owner, "topic", "item", F.lit(False).alias("written"))
+    return written.unionByName(kept).select(owner, "topic", "item", "written")
 
 
 def last_values(events: DataFrame, topic: str, value: str, order: str) -> DataFrame:

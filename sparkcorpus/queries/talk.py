@@ -105,6 +105,15 @@ def memory_absorb(spark, t):
     return C.absorb(memory, lines).select("owner", "topic", "item")
 
 
+@query()
+def memory_topics(spark, t):
+    """Memory from what is said: the owner is a conversation, a topic the first words of a message, its value the number of characters; topics alike are one."""
+    said = t("conversations").select(F.col("conv_id").alias("owner"), F.col("turn").alias("seq"), F.substring("text", 1, 14).alias("begin"), F.length("text").cast("string").alias("n"))
+    lines = said.select("owner", "seq", F.concat("begin", F.lit("：— → "), "n").alias("line"))
+    memory = lines.limit(0).select("owner", F.col("line").alias("topic"), F.col("line").alias("item"))
+    return C.absorb(memory, lines).select("owner", "topic", "item")
+
+
 SQL_SESSIONS = """e AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events WHERE {where}),
  s AS (SELECT *, count(*) FILTER (gap IS NULL OR gap >= INTERVAL {seconds} SECOND) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM e),
  w AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL {seconds} SECOND AS b, count(*) AS n FROM s GROUP BY user_id, s)"""

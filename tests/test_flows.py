@@ -46,12 +46,7 @@ def test_keyword_channel_needs_two_terms(spark):
     assert ask_("alpha") == [] and ask_("alpha beta") == [(1, 2), (3, 2)] and ask_("a_b beta") == [(1, 2), (3, 2)]  # the wildcard stands for the space
 
 
-def test_memory(spark):
-    fold = C.fold_memory
-    assert fold([], ["端口：— → 80", "noise"]) == [("端口", "端口：80", True)]
-    assert fold([("端口", "端口：80")], ["端口：80 → 80"]) == [("端口", "端口：80", False)]
-    assert fold([("端口", "端口：80")], ["端口：x → 81", "端口：81 → 82"]) == [("端口", "端口：81 → 82", True)]
-    assert fold([("服务端口", "服务端口：80")], ["端口：80 → 81"]) == [("服务端口", "端口：80 → 81", True)]  # the line names the topic
+def test_summary_merge(spark):
     attempts = spark.createDataFrame([(1, 1, ["端口：— → 80", "库：— → pg"], ["端口：— → 81"]), (1, 2, ["端口：— → 80", "库：— → pg"], [])], "conv_id int, attempt int, old array<string>, items array<string>")
     r = C.merge_summary(attempts).first()
     assert r["items"] == ["端口：80 → 81", "库：— → pg"] and not r["frozen"]

@@ -14,6 +14,7 @@ from sparkcorpus.operators import chunker
 from sparkcorpus.queries.base import QUERIES
 from sparkcorpus.queries.search import pool
 from sparkcorpus.sources.html import html_to_text, page_to_text
+from tests.test_memory import fold
 
 
 @pytest.fixture(scope="module")
@@ -178,6 +179,15 @@ def test_memory_absorb(spark, sf, table):
     assert {(r["owner"], r["topic"], r["item"]) for r in rows(spark, sf, "memory_absorb")} == want
 
 
+def test_memory_topics(spark, sf, table):
+    lines = defaultdict(list)
+    for r in table("conversations").orderBy("conv_id", "turn").collect():
+        if r["text"] is not None:
+            lines[r["conv_id"]].append(f"{r['text'][:14]}：— → {len(r['text'])}")
+    want = {(o, t, i) for o, own in lines.items() for t, i, _ in fold([], own)}
+    assert {(r["owner"], r["topic"], r["item"]) for r in rows(spark, sf, "memory_topics")} == want
+
+
 def pools(spark, sf):
     out = defaultdict(list)
     for r in pool(lambda name: spark.read.parquet(f"{sf}/{name}.parquet")).orderBy("query", "rank").collect():
