@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkcorpus.functions.text import normal_tail, squash
+from sparkcorpus.operators.intervals import containing, overlapping
 
 
 def target_hits(targets: DataFrame, picked: DataFrame, case: str = "case") -> DataFrame:
@@ -80,7 +81,8 @@ def segmentation(must: DataFrame, optional: DataFrame, forbidden: DataFrame, cut
     c = cuts.select("doc", "at").distinct()
     around = c.select("doc", F.explode(F.sequence(F.col("at") - slack, F.col("at") + slack)).alias("at")).distinct().withColumn("__h", F.lit(1))
     recall = must.join(around, ["doc", "at"], "left").groupBy("doc").agg(F.avg(F.coalesce("__h", F.lit(0))).alias("must_recall"))
-    wrong = c.join(forbidden.withColumnRenamed("doc", "fd"), (F.col("doc") == F.col("fd")) & (F.col("at") > F.col("lo")) & (F.col("at") <= F.col("hi"))).select("doc", "at").distinct().groupBy("doc").agg(F.count("*").alias("wrong"))
+    inside = forbidden.select("doc", (F.col("lo") + 1).alias("lo"), (F.col("hi") + 1).alias("hi"))  # a cut at lo is allowed, one at hi is not
+    wrong = containing(c, inside, ["doc"], "at", "lo", "hi").select("doc", "at").distinct().groupBy("doc").agg(F.count("*").alias("wrong"))
     allowed = must.select("doc", "at").unionByName(optional.select("doc", "at")).select("doc", F.explode(F.sequence(F.col("at") - slack, F.col("at") + slack)).alias("at")).distinct()
     unmarked = c.join(allowed, ["doc", "at"], "left_anti").groupBy("doc").agg(F.count("*").alias("unmarked"))
     n = c.groupBy("doc").agg(F.count("*").alias("cuts"))
@@ -136,9 +138,10 @@ def similar_pairs(units: DataFrame, gap: int = 8, near: float = 0.55, most_overl
 def sentence_recall(targets: DataFrame, chosen: DataFrame) -> DataFrame:
     """Per case: whether all target spans are touched, share of their characters kept, and precision of what was kept."""
     t = targets.select("case", "target", "chunk_id", F.col("lo").alias("tl"), F.col("hi").alias("th"))
-    c = chosen.select(F.col("case").alias("cc"), F.col("chunk_id").alias("ck"), F.col("char_start").alias("cl"), F.col("char_end").alias("ch"))
-    met = t.join(c, (F.col("case") == F.col("cc")) & (F.col("chunk_id") == F.col("ck")) & (F.col("cl") < F.col("th")) & (F.col("ch") > F.col("tl")), "left")
-    per = met.groupBy("case", "target", "tl", "th").agg(F.coalesce(F.sum(F.least("ch", "th") - F.greatest("cl", "tl")), F.lit(0)).alias("kept"))
+    c = chosen.select("case", "chunk_id", F.col("char_start").alias("cl"), F.col("char_end").alias("ch"))
+    shared = overlapping(t, c, ["case", "chunk_id"], "tl", "th", "cl", "ch").groupBy("case", "target", "chunk_id", "tl", "th").agg(F.sum(F.least("ch", "th") - F.greatest("cl", "tl")).alias("kept"))
+    every = t.groupBy("case", "target", "chunk_id", "tl", "th").agg(F.count("*").alias("times")).join(shared, ["case", "target", "chunk_id", "tl", "th"], "left")
+    per = every.groupBy("case", "target", "tl", "th").agg(F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))
     size = chosen.groupBy("case").agg(F.sum(F.col("char_end") - F.col("char_start")).alias("chars"))
     out = per.groupBy("case").agg(F.bool_and(F.col("kept") > 0).alias("all_hit"), (F.sum("kept") / F.sum(F.col("th") - F.col("tl"))).alias("retention"), F.sum("kept").alias("kept"))
     return out.join(size, "case", "left").withColumn("precision", F.when(F.col("chars") > 0, F.col("kept") / F.col("chars")))
@@ -157,8 +160,7 @@ def run_listing(rows: DataFrame, keys: list[str] = ("run", "arm"), at: str = "at
 
 def contained(points: DataFrame, spans: DataFrame, key: str, at: str = "at", lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Points of a key with the spans [lo, hi) of that key that they lie in."""
-    s = spans.withColumnRenamed(key, "__key")
-    return points.join(s, (points[key] == s["__key"]) & (points[at] >= s[lo]) & (points[at] < s[hi])).drop("__key")
+    return containing(points, spans, [key], at, lo, hi)
 
 
 def first_crossings(rows: DataFrame, run: str, at: str, item: str, shares: list[float]) -> DataFrame:

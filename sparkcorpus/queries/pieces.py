@@ -135,7 +135,7 @@ SQL_SPANS = """b AS (SELECT item_id, length(text) AS n FROM benchmark), tg AS (S
  ch AS (SELECT item_id AS "case", item_id AS chunk_id, (k * n // 8)::INTEGER AS cl, ((k + 1) * n // 8)::INTEGER AS ch FROM b, (VALUES (0), (3), (5)) x(k) WHERE k <> 5 OR item_id % 2 = 0)"""
 
 
-@query(f"""WITH {SQL_SPANS}, k AS (SELECT tg."case", target, tl, th, coalesce(sum(least(ch, th) - greatest(cl, tl)), 0)::BIGINT AS kept FROM tg LEFT JOIN ch ON tg."case" = ch."case" AND tg.chunk_id = ch.chunk_id AND cl < th AND ch > tl GROUP BY ALL),
+@query(f"""WITH {SQL_SPANS}, k AS (SELECT tg."case", target, tl, th, coalesce(sum(least(ch, th) - greatest(cl, tl)) FILTER (cl IS NOT NULL), 0)::BIGINT AS kept FROM tg LEFT JOIN ch ON tg."case" = ch."case" AND tg.chunk_id = ch.chunk_id AND cl < th AND ch > tl GROUP BY ALL),
  z AS (SELECT "case", sum(ch - cl)::BIGINT AS chars FROM ch GROUP BY "case")
 SELECT "case", bool_and(kept > 0) AS all_hit, round(sum(kept) / sum(th - tl), 6) AS retention, sum(kept)::BIGINT AS kept, any_value(chars) AS chars, round(sum(kept) / any_value(chars), 6) AS precision FROM k JOIN z USING ("case") GROUP BY "case" """)
 def sentence_recall(spark, t):
