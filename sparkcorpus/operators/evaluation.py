@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkcorpus.functions.text import normal_tail, squash
+from sparkcorpus.functions.text import ngrams, normal_tail, squash
 from sparkcorpus.operators.intervals import containing, overlapping
 
 
@@ -40,18 +40,47 @@ def self_ranks(distances: DataFrame, targets: DataFrame, k: int, case: str = "ca
     return out.select(case, "best", F.coalesce(F.col("best") == 1, F.lit(False)).alias("first"), F.coalesce(F.col("best") <= k, F.lit(False)).alias("in_k"))
 
 
+#: Characters of a text's beginning by which it is looked for in others.
+ANCHOR = 16
+
+
+def holding(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(i, o): which texts of `inner` (i, text) those of `outer` (o, text) contain; no text is empty.
+
+    An inner text is known by its first ANCHOR characters, or by all of it: outer texts are cut into n-grams of the lengths
+    that these have, which meet them by equality; only what meets is compared in full.
+    """
+    anchored = inner.withColumn("n", F.least(F.length("text"), F.lit(ANCHOR)).cast("int")).withColumn("gram", F.substr("text", F.lit(1), F.col("n")))
+    sizes = sorted(r["n"] for r in anchored.select("n").distinct().collect())  # ANCHOR numbers at most
+    known, met = anchored.select("n", "gram").distinct(), None
+    for n in sizes:
+        cut = outer.select("o", F.explode(ngrams(F.col("text"), n)).alias("gram"))
+        part = cut.join(known.filter(F.col("n") == n), "gram").select("o", "n", "gram")
+        met = part if met is None else met.unionByName(part)
+    if met is None:
+        return inner.join(outer.select("o"), inner["i"] == outer["o"]).select("i", "o").limit(0)
+    pairs = met.join(anchored.select("i", "n", "gram"), ["n", "gram"]).select("i", "o").distinct()
+    full = pairs.join(inner.select("i", F.col("text").alias("a")), "i").join(outer.select("o", F.col("text").alias("b")), "o")
+    return full.filter(F.contains("b", F.col("a"))).select("i", "o")
+
+
 def find_excerpts(targets: DataFrame, units: DataFrame, unit: str = "id", content: str = "content", scope: str | None = None) -> DataFrame:
     """(case, target, unit): units that contain an excerpt, or lie within it, white space aside.
 
-    With `scope`, a target's own document, else its case's, limits the search, and the join goes by it.
+    With `scope`, a target's own document, else its case's, limits the search.  Ids of units are unique.
     """
-    t = targets.withColumn("__key", squash(F.col("excerpt"))).filter("__key <> ''")
-    u = units.withColumn("__body", squash(F.col(content))).filter("__body <> ''").withColumnRenamed(unit, "unit")
-    inside = F.contains(F.col("__body"), F.col("__key")) | F.contains(F.col("__key"), F.col("__body"))
+    t = targets.withColumn("text", squash(F.col("excerpt"))).filter("text <> ''")
+    doc = F.coalesce("target_doc", "case_doc") if scope else F.lit(None).cast("string")
+    t = t.select("case", "target", doc.alias("doc"), "text")
+    excerpts = t.select("text").distinct().withColumn("i", F.sha2("text", 256))
+    bodies = units.select(F.col(unit).alias("o"), squash(F.col(content)).alias("text")).filter("text <> ''")
+    within = holding(bodies.select(F.col("o").alias("i"), "text"), excerpts.select(F.col("i").alias("o"), "text")).select(F.col("o").alias("i"), F.col("i").alias("o"))
+    found = holding(excerpts, bodies).unionByName(within).distinct()
+    out = t.withColumn("i", F.sha2("text", 256)).join(found, "i").select("case", "target", "doc", F.col("o").alias("unit"))
     if scope:
-        t = t.withColumn("__doc", F.coalesce("target_doc", "case_doc"))
-        inside = (t["__doc"].isNull() | (t["__doc"] == u[scope])) & inside
-    return t.join(u, inside).select("case", "target", "unit").distinct()
+        own = units.select(F.col(unit).alias("unit"), F.col(scope).alias("__own"))
+        out = out.join(own, "unit").filter(F.col("doc").isNull() | (F.col("doc") == F.col("__own")))
+    return out.select("case", "target", "unit").distinct()
 
 
 def audit(targets: DataFrame, found: DataFrame) -> DataFrame:
@@ -126,7 +155,7 @@ def judge_rates(judged: DataFrame, group: list[str] = ("arm",)) -> DataFrame:
 def similar_pairs(units: DataFrame, gap: int = 8, near: float = 0.55, most_overlap: float = 0.35) -> DataFrame:
     """Pairs of units of one document, at least `gap` apart, close in meaning and not in wording."""
     from sparkcorpus.functions import vector as V
-    from sparkcorpus.functions.text import ngrams, overlap
+    from sparkcorpus.functions.text import overlap
 
     a = units.select("doc_id", F.col("seq").alias("i"), F.col("embedding").alias("va"), ngrams(squash(F.col("content")), 2).alias("ga"))
     b = units.select(F.col("doc_id").alias("d2"), F.col("seq").alias("j"), F.col("embedding").alias("vb"), ngrams(squash(F.col("content")), 2).alias("gb"))
