@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from sparkcorpus.functions import text as X
 from sparkcorpus.operators import cache, chunker
 from sparkcorpus.operators import relational as REL
+from sparkcorpus.operators import versions
 from sparkcorpus.queries.base import query
+from sparkcorpus.store import Steps
 from sparkcorpus.sources.html import html_to_text, page_to_text
 from sparkcorpus.sources.web import ingest, may_fetch
 
@@ -208,3 +210,15 @@ def hash_sample(spark, t):
 def sentence_types(spark, t):
     """kinds of texts by their words."""
     return t("documents").select("doc_id", X.sentence_type(F.col("text")).alias("kind"))
+
+
+@query("""WITH o AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0), n AS (SELECT doc_id, text FROM documents WHERE doc_id % 19 <> 0)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.text IS DISTINCT FROM n.text""")
+def changed_documents(spark, t):
+    """K3, K9: documents that differ between two versions of the corpus (one lacks some ids, has longer texts for others), by stamps of buckets, then of documents."""
+    d = t("documents").select("doc_id", "text")
+    old = d.filter("doc_id % 17 <> 0").withColumn("text", F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    base = Steps(spark, "stamps").base
+    a, b = (versions.Stamped(spark, f"{base}/{name}").write(x, columns=["text"]) for name, x in (("old", old), ("new", d.filter("doc_id % 19 <> 0"))))
+    return versions.changes(a, b)
