@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkcorpus.functions import text as X
-from sparkcorpus.operators import cache, chunker
+from sparkcorpus.operators import cache, chunker, sketches
 from sparkcorpus.operators import relational as REL
 from sparkcorpus.operators import versions
 from sparkcorpus.queries.base import query
@@ -153,6 +153,24 @@ def approx_distinct(spark, t):
     return t("documents").groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("distinct_texts"))
 
 
+@query("""WITH d AS (SELECT lang, text, length(text)::BIGINT AS size FROM documents)
+SELECT lang, count(*) AS n, min(size) AS low, max(size) AS high, round(avg(size), 6) AS mean, round(stddev_pop(size), 6) AS deviation, count(DISTINCT text) AS texts, TRUE AS distinct_close, TRUE AS quantiles_close FROM d GROUP BY lang""")
+def merged_sketches(spark, t):
+    """Lengths and distinct texts of languages by sketches of 16 parts each, merged; and whether they are as
+    close to the exact numbers as stated."""
+    d = t("documents").select("lang", "text", F.length("text").cast("long").alias("size"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(16)).alias("part"))
+    parts = Steps(spark, "sketches").keep(sketches.sketched(d, ["part", "lang"], F.col("text"), F.col("size")), "parts")
+    told = sketches.statistics(sketches.merged(parts, ["lang"]), ["lang"]).withColumnRenamed("lang", "l")
+    exact = d.groupBy("lang").agg(F.countDistinct("text").alias("texts"))
+    asked = told.select("l", F.explode("quantiles").alias("share", "q"))
+    ranks = d.join(asked, d["lang"].eqNullSafe(asked["l"])).groupBy("lang", "share").agg(F.avg((F.col("size") < F.col("q")).cast("double")).alias("below"), F.avg((F.col("size") <= F.col("q")).cast("double")).alias("upto"))
+    off = 2 * sketches.rank_error()
+    close = ranks.groupBy(F.col("lang").alias("k")).agg(F.bool_and((F.col("below") - off <= F.col("share")) & (F.col("share") <= F.col("upto") + off)).alias("quantiles_close"))
+    near = F.abs(F.col("distinct") - F.col("texts")) <= 4 * sketches.distinct_error() * F.col("texts")
+    out = exact.join(told, F.col("lang").eqNullSafe(F.col("l"))).join(close, F.col("lang").eqNullSafe(F.col("k")))
+    return out.select("lang", "n", "low", "high", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "texts", near.alias("distinct_close"), "quantiles_close")
+
+
 @query("""WITH d AS (SELECT page_id AS id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, length(html) AS chunk_count FROM pages)
 SELECT id, host FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY chunk_count DESC, id) AS k FROM d) WHERE k = 1""")
 def same_source_dedup(spark, t):
