@@ -268,3 +268,35 @@ def test_the_attention_model_learns_from_all_subwords(spark, monkeypatch):
     pairs = Counter(p for x in ids for p in zip(x, x[1:]) if p[0] in counted and p[1] in counted)
     assert seen["neighbours"].sum() == sum(pairs.values())
     assert seen["averaged"][1] == sum(len(x) + 1 for x in ids)
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf, monkeypatch):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    same = "one text that a third of all rows repeat, word by word " * 40
+    docs += [(1_000_000 + i, same) for i in range(len(docs) // 2)] + [(2_000_000, None)] * 5
+    monkeypatch.setattr(lm_score, "LEARNT_IDS", 5_000)  # the copies have more than a bucket, so they are dealt one by one
+    scores = []
+    for n in (3, 7):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(n)
+        scores.append(sorted((r["doc_id"], r["score"]) for r in lm_score.score(df).collect()))
+    a, b = scores
+    assert len(a) == len(docs) and [k for k, _ in a] == [k for k, _ in b]
+    assert all(abs(x - y) <= 1e-4 * abs(x) for (_, x), (_, y) in zip(a, b, strict=True))
+
+
+def test_copies_are_dealt_one_by_one(spark):
+    from sparkcorpus.llm.scratch import Scratch
+
+    rows = [([7] * 9,)] * 1000 + [([i, i + 1],) for i in range(50)] * 2 + [([],)] * 30
+    got = lm_score.dealt(spark.createDataFrame(rows, "ids array<int>").repartition(5), Scratch(spark, "dealt"), 100).collect()
+    assert Counter(tuple(r["ids"]) for r in got) == Counter(tuple(x) for x, in rows)
+    sizes = Counter()
+    for r in got:
+        sizes[r["bucket"]] += len(r["ids"]) + 1
+    buckets = -(-(10_000 + 300 + 30) // 100)
+    assert set(sizes) <= set(range(buckets)) and len(sizes) > 0.9 * buckets and max(sizes.values()) < 400
+    by = {}
+    for r in got:  # copies that fit a bucket stay together
+        by.setdefault(tuple(r["ids"]), set()).add(r["bucket"])
+    assert len(by[(7,) * 9]) > 50 and all(len(v) == 1 for k, v in by.items() if len(k) < 9)
+    assert lm_score.dealt(spark.createDataFrame([], "ids array<int>"), Scratch(spark, "dealt")).collect() == []
