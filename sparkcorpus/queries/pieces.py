@@ -598,3 +598,33 @@ def packed_material(spark, t):
     m = t("conversations").select(F.col("conv_id").alias("case"), F.col("turn").cast("int").alias("rank"), F.floor(F.length("text") / 3).alias("tokens"))
     tiers = m.select("case").distinct().select("case", F.lit(20).alias("fixed"), (F.col("case") % 7).alias("recent"), F.lit(15).alias("summary"), F.lit(5).alias("excerpt"))
     return selection.pack(tiers, m, 150).select("case", "rank", "used", "keeps_summary")
+
+
+@query("""WITH v AS (SELECT label, vec_id % 3 AS part, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
+ p AS (SELECT label, part, pos, avg(x) AS x FROM v GROUP BY ALL), m AS (SELECT label % 4 AS topic, pos, avg(x) AS x FROM p GROUP BY ALL),
+ c AS (SELECT topic, sum(x * x) AS s FROM m GROUP BY topic), r AS (SELECT label % 4 AS topic, count(*) AS size, count(DISTINCT vec_id % 10) AS documents, sum(vec_id)::BIGINT AS ids FROM embeddings GROUP BY label % 4)
+SELECT 'topic ' || topic AS label, size, size AS chunks, documents, ids, round(s, 6) AS length FROM r JOIN c USING (topic)""")
+def merged_labels(spark, t):
+    """Topics (a third of a label's vectors each) whose labels agree become one, with the mean of their centroids."""
+    e = t("embeddings").withColumn("cluster", F.struct("label", F.pmod("vec_id", F.lit(3)).alias("part")))
+    rest = e.groupBy("cluster").agg(F.collect_set("vec_id").alias("chunk_ids"), F.collect_set(F.pmod("vec_id", F.lit(10))).alias("doc_ids"))
+    nodes = V.centroids(e, ["cluster"]).join(rest, "cluster").withColumn("label", F.concat(F.lit("  topic "), F.pmod("cluster.label", F.lit(4)).cast("string"), F.lit(" ")))
+    out = cluster.merge_labels(nodes.select("label", "size", "centroid", "chunk_ids", "doc_ids"))
+    add = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
+    return out.select("label", "size", F.size("chunk_ids").cast("long").alias("chunks"), F.size("doc_ids").cast("long").alias("documents"), add("chunk_ids", F.lit(0).cast("long")).alias("ids"), F.round(add(F.transform("centroid", lambda x: x * x), F.lit(0.0)), 6).alias("length"))
+
+
+@query("""WITH t AS (SELECT DISTINCT conv_id AS doc, turn AS pos, role, length(text) AS size, contains(text, '?') AS asks FROM conversations), n AS (SELECT doc, count(*) AS n FROM t GROUP BY doc),
+ c AS (SELECT DISTINCT doc, pos FROM t WHERE pos % 5 = 0 OR asks), must AS (SELECT DISTINCT doc, pos FROM t WHERE pos % 3 = 0), opt AS (SELECT DISTINCT doc, pos FROM t WHERE pos % 7 = 0), bad AS (SELECT doc, pos AS lo, pos + 2 AS hi FROM t WHERE size > 80),
+ r AS (SELECT doc, avg(EXISTS (FROM c WHERE c.doc = must.doc AND abs(c.pos - must.pos) <= 1)::INTEGER) AS must_recall FROM must GROUP BY doc),
+ w AS (SELECT c.doc, count(*) FILTER (EXISTS (FROM bad WHERE bad.doc = c.doc AND c.pos > lo AND c.pos <= hi)) AS wrong,
+  count(*) FILTER (NOT EXISTS (FROM (FROM must UNION ALL FROM opt) a WHERE a.doc = c.doc AND abs(a.pos - c.pos) <= 1)) AS unmarked, count(*) AS cuts FROM c GROUP BY c.doc)
+SELECT doc, n, round(must_recall, 6) AS must_recall, coalesce(wrong, 0) AS wrong, coalesce(unmarked, 0) AS unmarked, coalesce(cuts, 0) AS cuts, round(coalesce(cuts, 0) / n, 6) AS density FROM n LEFT JOIN r USING (doc) LEFT JOIN w USING (doc)""")
+def segmentation_ruler(spark, t):
+    """E5: cuts of conversations against boundaries that must or may be there and stretches that may not be cut."""
+    c = t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("at"), "role", F.length("text").alias("size"), F.contains("text", F.lit("?")).alias("asks")).distinct()
+    at = lambda kept: c.filter(kept).select("doc", "at").distinct()
+    bad = c.filter("size > 80").select("doc", F.col("at").alias("lo"), (F.col("at") + 2).alias("hi"))
+    sizes = c.groupBy("doc").agg(F.count("*").alias("n"))
+    out = E.segmentation(at("at % 3 = 0"), at("at % 7 = 0"), bad, at("at % 5 = 0 or asks"), sizes)
+    return out.select("doc", "n", F.round("must_recall", 6).alias("must_recall"), "wrong", "unmarked", "cuts", F.round("density", 6).alias("density"))
