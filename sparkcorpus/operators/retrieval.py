@@ -14,9 +14,10 @@ from pyspark.sql.window import Window
 from sparkcorpus.config import Retrieval
 from sparkcorpus.functions import vector as V
 from sparkcorpus.functions.text import extract_terms
-from sparkcorpus.operators import gram_index
+from sparkcorpus.operators import gram_index, vector_scan
 from sparkcorpus.operators.gram_index import GramIndex
 from sparkcorpus.operators.relational import first_wins, top_per_group
+from sparkcorpus.store import Steps
 
 def term_hits(content: Column, terms: Column, escape: bool = False) -> Column:
     """How many distinct terms a text has, cases apart; `_` in a term stands for any character unless escaped."""
@@ -32,10 +33,12 @@ def min_hits(terms: Column, conf: Retrieval = Retrieval()) -> Column:
 
 def vector_channel(queries: DataFrame, units: DataFrame, k: int, unit: str = "id", vector: str = "embedding", on: list[str] = ()) -> DataFrame:
     """(query, unit, distance, rank) of the k nearest units of each query; null vectors never rank."""
+    if not on:
+        found = vector_scan.nearest(queries, units, k, unit, vector)
+        return Steps(units.sparkSession, "nearest").keep(top_per_group(found, ["query"], k, F.asc("distance"), F.asc("unit"), name="rank"), "hits")
     q = queries.filter(F.col("vector").isNotNull()).select("query", *on, F.col("vector").alias("__q"))
     u = units.filter(F.col(vector).isNotNull()).select(F.col(unit).alias("unit"), *on, F.col(vector).alias("__v"))
-    both = u.join(q, list(on)) if on else u.join(q)
-    near = both.select("query", "unit", V.cosine_distance(F.col("__v"), F.col("__q")).alias("distance"))
+    near = u.join(q, list(on)).select("query", "unit", V.cosine_distance(F.col("__v"), F.col("__q")).alias("distance"))
     return top_per_group(near, ["query"], k, F.asc("distance"), F.asc("unit"), name="rank")
 
 
@@ -157,6 +160,13 @@ def separation(near: DataFrame, inside: str = "in_corpus", thresholds: tuple = (
     return near.groupBy("query", inside).agg(F.min("distance").alias("nearest"), *[F.count_if(F.col("distance") <= t).alias(f"within_{int(t * 100)}") for t in thresholds])
 
 
+def separation_of(queries: DataFrame, units: DataFrame, inside: str = "in_corpus", thresholds: tuple = (0.3, 0.4, 0.5, 0.6), unit: str = "id", vector: str = "embedding") -> DataFrame:
+    """`separation` of each query (query, vector, inside) from all units but its own, without a row for each pair."""
+    counts = {f"c{i}": F.col(f"c{i}").alias(f"within_{int(t * 100)}") for i, t in enumerate(thresholds)}
+    found = vector_scan.within(queries, units, thresholds, unit, vector)
+    return queries.select("query", inside).join(found, "query").select("query", inside, "nearest", *counts.values())
+
+
 def band(nearest: DataFrame, inside: str = "in_corpus") -> DataFrame:
     """Whether queries inside the corpus are nearer than all outside: the two edges and the gap."""
     a, b = F.max(F.when(F.col(inside), F.col("nearest"))), F.min(F.when(~F.col(inside), F.col("nearest")))

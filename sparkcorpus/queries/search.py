@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkcorpus.functions import vector as V
-from sparkcorpus.operators import cluster, retrieval as R, selection, vector_index
+from sparkcorpus.operators import cluster, retrieval as R, selection, vector_index, vector_scan
 from sparkcorpus.operators.relational import top_per_group
 from sparkcorpus.queries.base import query
 
@@ -98,7 +98,7 @@ def vector_threshold(spark, t):
 def topk_per_group(spark, t):
     """Of each label, the three vectors nearest each query."""
     q, units = vectors(t)
-    d = units.join(q).select("query", "label", F.col("id").alias("unit"), V.cosine_distance(F.col("embedding"), F.col("vector")).alias("distance"))
+    d = vector_scan.nearest(q, units, 3, group="label")
     return top_per_group(d, ["query", "label"], 3, F.asc("distance"), F.asc("unit")).select("query", "label", "unit", F.round("distance", 6).alias("distance"), "rn")
 
 
@@ -129,8 +129,7 @@ SELECT query, query % 200 = 0 AS in_corpus, round(nearest, 6) AS nearest, within
 def threshold_counts(spark, t):
     """Least distance and counts at several thresholds in one pass."""
     q, units = vectors(t)
-    near = units.join(q).select("query", (F.col("query") % 200 == 0).alias("in_corpus"), F.col("id").alias("unit"), V.cosine_distance(F.col("embedding"), F.col("vector")).alias("distance")).filter("query <> unit")
-    return R.separation(near).withColumn("nearest", F.round("nearest", 6))
+    return R.separation_of(q.withColumn("in_corpus", F.col("query") % 200 == 0), units).withColumn("nearest", F.round("nearest", 6))
 
 
 @query(f"""WITH {SQL_NEAR}, n AS (SELECT query, min(distance) AS nearest FROM near WHERE query <> unit GROUP BY query), e AS (SELECT max(nearest) FILTER (query % 200 = 0) AS a, min(nearest) FILTER (query % 200 <> 0) AS b FROM n)
@@ -138,8 +137,7 @@ SELECT round(a, 6) AS inside_max, round(b, 6) AS outside_min, round(b - a, 6) AS
 def separation_band(spark, t):
     """The gap between queries inside and outside the corpus."""
     q, units = vectors(t)
-    near = units.join(q).select("query", (F.col("query") % 200 == 0).alias("in_corpus"), F.col("id").alias("unit"), V.cosine_distance(F.col("embedding"), F.col("vector")).alias("distance")).filter("query <> unit")
-    return R.band(R.separation(near)).select(*[F.round(c, 6).alias(c) for c in ("inside_max", "outside_min", "gap")], "separable")
+    return R.band(R.separation_of(q.withColumn("in_corpus", F.col("query") % 200 == 0), units)).select(*[F.round(c, 6).alias(c) for c in ("inside_max", "outside_min", "gap")], "separable")
 
 
 SQL_MEANS = """x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
