@@ -123,7 +123,7 @@ def paired(a: DataFrame, b: DataFrame, case: str = "case", value: str = "score")
     """Wins, losses and ties of arm a against arm b, with the sign test's p (normal approximation)."""
     both = a.select(case, F.col(value).cast("double").alias("x")).join(b.select(case, F.col(value).cast("double").alias("y")), case)
     n = both.agg(F.count_if(F.col("x") > F.col("y")).alias("win"), F.count_if(F.col("x") < F.col("y")).alias("lose"), F.count_if(F.col("x") == F.col("y")).alias("tie"))
-    z = (F.greatest(F.abs(F.col("win") - F.col("lose")) - 1, F.lit(0))) / F.sqrt(F.col("win") + F.col("lose"))
+    z = (F.greatest(F.abs(F.col("win") - F.col("lose")) - 1, F.lit(0))) / F.sqrt(F.greatest(F.col("win") + F.col("lose"), F.lit(1)))
     return n.withColumn("p", F.when(F.col("win") + F.col("lose") > 0, normal_tail(z)).otherwise(1.0))
 
 
