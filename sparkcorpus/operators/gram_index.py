@@ -5,7 +5,8 @@ the number of their texts (vocabulary), and the character n-grams of the vocabul
 up by the rarest of its n-grams, so the texts themselves are not read for it.
 
 A query asks for at least `least` of its n terms.  Whatever has as many has one of the n - least + 1 terms
-that are rarest: only texts with one of these are candidates, and only candidates are counted in full.
+that are rarest.  Where terms have wildcards, only texts with one of these are candidates, and only candidates are counted in full;
+other queries are counted in blocks of texts, without a row for each candidate, as common words make nearly every text one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ RUN = r"[a-z0-9_]+|[一-鿿]+"
 LONGEST, BUCKETS = 3, 16
 #: Share of the vocabulary beyond which an n-gram's words are not listed.
 DENSE = 0.005
+#: Texts of a slice and queries of a block whose terms are counted in one task.
+SLICE, BLOCK = 16_384, 16_384
 #: Numbers of the tables that searches write.
 COUNT = count()
 
@@ -114,8 +120,12 @@ def count_hits(index: GramIndex, asked: DataFrame, k: int) -> DataFrame:
     ids = lambda c: F.transform(F.filter(c, lambda x: ~x["wild"]), lambda x: x["part_id"])
     wild = F.transform(F.filter("by_df", lambda x: x["wild"]), lambda x: x["term"])
     rare = F.transform("rare", lambda x: F.struct(x["part_id"].alias("part_id"), (~x["wild"]).cast("int").alias("sure")))
-    lists = steps.keep(lists.select("query", "least", rare.alias("rare"), ids(rest).alias("common"), wild.alias("wild"), "lengths"), f"lists-{run}")
-    # a row for each text with a rare term; hits of terms without wildcards are counted on the way
+    every = steps.keep(lists.select("query", "least", F.transform(F.filter("by_df", lambda x: ~x["wild"]), lambda x: x["part_id"]).alias("ids"), ((F.size(wild) > 0) | (F.size("lengths") > 0)).alias("odd")), f"every-{run}")
+    simple = counted(has, every.filter("not odd").drop("odd"), k)
+    if every.filter("odd").isEmpty():
+        return top_per_group(simple, ["query"], k, F.desc("hits"), F.asc("unit"), name="rank")
+    # queries with wildcards ask for texts: a row for each text with a rare term; hits of terms without wildcards are counted on the way
+    lists = steps.keep(lists.filter((F.size(wild) > 0) | (F.size("lengths") > 0)).select("query", "least", rare.alias("rare"), ids(rest).alias("common"), wild.alias("wild"), "lengths"), f"lists-{run}")
     asked_for = lists.select("query", F.explode("rare").alias("r")).select("query", "r.part_id", "r.sure").groupBy("query", "part_id").agg(F.sum("sure").alias("sure"))
     candidates = found.join(asked_for, "part_id").groupBy("query", "unit").agg(F.sum("sure").alias("sure"))
     lengths = sorted({r["n"] for r in lists.filter(F.size("lengths") >= F.col("least")).select(F.explode("lengths").alias("n")).distinct().collect()})
@@ -130,12 +140,62 @@ def count_hits(index: GramIndex, asked: DataFrame, k: int) -> DataFrame:
     shared = found.join(often_asked, "part_id").groupBy("unit").agg(F.collect_list("part_id").alias("shared"))
     rows = candidates.join(shared, "unit", "left")
     hits = F.col("sure") + F.size(F.filter("common", lambda p: F.coalesce(F.array_contains("shared", p), F.lit(False))))
-    simple = rows.filter((F.size("wild") == 0) & (F.size("lengths") == 0)).select("query", "unit", "least", hits.alias("hits"))
-    odd = lists.filter((F.size("wild") > 0) | (F.size("lengths") > 0))
-    if not odd.isEmpty():
-        texts = rows.filter((F.size("wild") > 0) | (F.size("lengths") > 0)).join(index.texts, "unit")
-        like = F.size(F.filter("wild", lambda t: F.call_function("ilike", F.col("content"), F.concat(F.lit("%"), t, F.lit("%")))))
-        reach = F.size(F.filter("lengths", lambda n: F.length("content") >= n))
-        simple = simple.unionByName(texts.select("query", "unit", "least", (hits + like + reach).alias("hits")))
-    enough = simple.filter("hits >= least").select("query", "unit", F.col("hits").cast("int").alias("hits"))
-    return top_per_group(enough, ["query"], k, F.desc("hits"), F.asc("unit"), name="rank")
+    texts = rows.join(index.texts, "unit")
+    like = F.size(F.filter("wild", lambda t: F.call_function("ilike", F.col("content"), F.concat(F.lit("%"), t, F.lit("%")))))
+    reach = F.size(F.filter("lengths", lambda n: F.length("content") >= n))
+    enough = texts.select("query", "unit", "least", (hits + like + reach).cast("int").alias("hits")).filter("hits >= least").select("query", "unit", "hits")
+    return top_per_group(simple.unionByName(enough), ["query"], k, F.desc("hits"), F.asc("unit"), name="rank")
+
+
+def counted(has: DataFrame, wanted: DataFrame, k: int, slice_: int = SLICE, block: int = BLOCK) -> DataFrame:
+    """(query, unit, hits): of each slice of units (unit, has), the k that have most of a query's parts (query, least, ids), if they have
+    enough; ties by unit.  A superset of the k best of all; slices of units meet blocks of queries, each in one task."""
+    slices, blocks = (-(-df.count() // n) or 1 for df, n in ((has, slice_), (wanted, block)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    u = has.withColumn("slice", F.pmod(F.xxhash64("unit"), F.lit(slices)).cast("int")).withColumn("block", each(blocks))
+    q = wanted.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("slice", each(slices))
+    kinds = {f.name: f.dataType.simpleString() for f in [*has.schema, *wanted.schema]}
+
+    def lists_of(column) -> tuple[np.ndarray, np.ndarray]:
+        column = column.combine_chunks()
+        return column.flatten().to_numpy(), pc.list_value_length(column).to_numpy()
+
+    def count_block(key, rows, asked):
+        of_query, of_unit, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        if rows.num_rows and asked.num_rows:
+            rows = rows.sort_by("unit")
+            ids, many = lists_of(asked.column("ids"))
+            parts, ids = np.unique(ids, return_inverse=True)
+            ends, least = np.cumsum(many), np.maximum(asked.column("least").to_numpy(), 1)
+            flat, sizes = lists_of(rows.column("has"))
+            at = np.minimum(np.searchsorted(parts, flat), max(len(parts) - 1, 0))
+            known = parts[at] == flat if len(parts) else np.zeros(len(flat), bool)
+            at, owner = at[known].astype(np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[known]
+            order = np.argsort(at, kind="stable")
+            owner, bounds = owner[order], np.searchsorted(at[order], np.arange(len(parts) + 1))
+            # parts of many texts are rows of a matrix, which has at most 16 times as many bytes as the texts have parts
+            df = np.diff(bounds)
+            often = np.flatnonzero(df * 16 > rows.num_rows)
+            row, total = np.full(len(parts), -1), np.uint8 if many.max() < 256 else np.uint32
+            row[often] = np.arange(len(often))
+            matrix = np.zeros((len(often), rows.num_rows), dtype=np.uint8)
+            for r, p in enumerate(often):
+                matrix[r, owner[bounds[p] : bounds[p + 1]]] = 1
+            for i, (begin, end) in enumerate(zip(ends - many, ends, strict=True)):
+                mine = ids[begin:end]
+                dense = row[mine]
+                hits = matrix[dense[dense >= 0]].sum(axis=0, dtype=total)
+                for p in mine[dense < 0]:
+                    hits[owner[bounds[p] : bounds[p + 1]]] += 1
+                enough = np.flatnonzero(hits >= least[i])
+                if len(enough) > k:
+                    h = hits[enough]
+                    last = np.sort(h)[-k]
+                    more = int((h > last).sum())
+                    enough = np.sort(np.concatenate([enough[h > last], enough[h == last][: k - more]]))
+                of_query.append(np.full(len(enough), i))
+                of_unit.append(enough)
+                n.append(hits[enough].astype(np.int32))
+        return pa.table({"query": asked.column("query").take(pa.array(np.concatenate(of_query))), "unit": rows.column("unit").take(pa.array(np.concatenate(of_unit))), "hits": np.concatenate(n)})
+
+    return u.groupBy("slice", "block").cogroup(q.groupBy("slice", "block")).applyInArrow(count_block, f"query {kinds['query']}, unit {kinds['unit']}, hits int")

@@ -70,3 +70,17 @@ def test_common_terms_make_no_candidates(spark):
     index = GI.build(spark.createDataFrame(units, "id long, content string"))
     got = R.keyword_channel(asked, index, 500).collect()
     assert sorted(r["unit"] for r in got) == sorted(i for i in range(400) if sum(x in f"common word{i}" for x in ("common", "word7", "word8")) >= 2)
+
+
+def test_blocks_of_texts_and_queries_count_what_a_plain_scan_counts(spark):
+    """Every text is a candidate of every query; no slice gives more than k of them for a query."""
+    rng = random.Random(3)
+    has = [(u, sorted(rng.sample(range(40), rng.randrange(0, 30)))) for u in range(60)]
+    asked = [(q, 2, [rng.randrange(45) for _ in range(12)]) for q in range(20)]
+    units, wanted = spark.createDataFrame(has, "unit long, has array<long>"), spark.createDataFrame(asked, "query long, least int, ids array<long>")
+    for sizes in ({}, {"slice_": 25, "block": 8}):
+        got = GI.counted(units, wanted, 5, **sizes).collect()
+        assert len(got) <= 5 * 20 * (3 if sizes else 1)
+        for q, least, ids in asked:
+            want = sorted((-n, u) for u, parts in has if (n := sum(i in parts for i in ids)) >= least)[:5]
+            assert sorted((-r["hits"], r["unit"]) for r in got if r["query"] == q)[:5] == want
