@@ -7,8 +7,8 @@ are trained on all of them, in blocks as they are scored: a local pass in each b
 an input vector by how often each bucket had it.  Buckets and their order come from hashes of the texts, so scores do not depend on how rows are
 partitioned, but for rounding.  The attention model says which class begins a word and whether a word goes on; which subword goes on has the probability that it follows
 the one before inside words, smoothed by its own share.  The most frequent words, KNOWN at most, are broadcast with their counts;
-for others, rows (text, word) meet the table of counts in a join, so that all are counted alike.  Pairs of subwords inside
-words that make up less than SHARE of all tokens count as unseen (so at most 1 / SHARE a subword of a word are broadcast).
+for others, rows (text, word) meet the table of counts in a join, so that all are counted alike.  So it is with pairs of subwords inside
+words: those that make up SHARE of all tokens are broadcast (at most 1 / SHARE a subword of a word), others meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -156,12 +156,13 @@ class Inside:
     share: np.ndarray
 
     @staticmethod
-    def of(before: np.ndarray, ids: np.ndarray, counts: np.ndarray, own: np.ndarray, spaced: np.ndarray) -> Inside:
-        """own: how often each subword goes on a word; spaced: those that never do."""
+    def of(before: np.ndarray, ids: np.ndarray, counts: np.ndarray, own: np.ndarray, spaced: np.ndarray, after: np.ndarray | None = None) -> Inside:
+        """own: how often each subword goes on a word; spaced: those that never do; after: how often each is followed by any, if
+        the pairs are not all there are."""
         pairs = before.astype(np.int64) << 32 | ids
         order = np.argsort(pairs)
         share = np.where(spaced, 0.0, own + 0.5)
-        return Inside(pairs[order], counts[order], np.bincount(before, weights=counts, minlength=len(own)), share / max(share.sum(), 0.5))
+        return Inside(pairs[order], counts[order], np.bincount(before, weights=counts, minlength=len(own)) if after is None else after, share / max(share.sum(), 0.5))
 
     def log10(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         pairs = before.astype(np.int64) << 32 | ids
@@ -169,6 +170,13 @@ class Inside:
         known = np.where(self.pairs[at_] == pairs, self.counts[at_], 0) if len(self.pairs) else np.zeros(len(pairs))
         return np.log10((known + SMOOTH * self.share[ids]) / (self.after[before] + SMOOTH))
 
+    def lacks(self, pairs: np.ndarray) -> np.ndarray:
+        return pairs[~np.isin(pairs, self.pairs)] if len(self.pairs) else pairs
+
+    def gain(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What the count of a pair that is not among these adds to its log10 probability."""
+        return np.log10(1 + counts / (SMOOTH * self.share[ids]))
+
 
 class Spelled:
     """Of words by their hash: their ids, the log10 probability of all ids but the first, and log10 of the share of
@@ -181,6 +189,7 @@ class Spelled:
     def forget(self) -> None:
         self.slot: dict[int, int] = {}
         self.ids, self.bounds, self.logs, self.base = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
+        self.rare, self.rare_bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def __call__(self, w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words in a row; how many each word has, its log10 probability of going on so, and its share."""
@@ -196,17 +205,31 @@ class Spelled:
             owner = np.repeat(np.arange(len(new)), lengths)
             on = np.flatnonzero(owner[1:] == owner[:-1]) + 1
             self.logs = np.append(self.logs, np.bincount(owner[on], weights=self.inside.log10(flat[on - 1], flat[on]), minlength=len(new)))
+            pairs = flat[on - 1].astype(np.int64) << 32 | flat[on]
+            lacking = np.isin(pairs, self.inside.lacks(np.unique(pairs)))
+            self.rare = np.append(self.rare, pairs[lacking])
+            self.rare_bounds = np.append(self.rare_bounds, self.rare_bounds[-1] + np.cumsum(np.bincount(owner[on][lacking], minlength=len(new))))
             self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(lengths))
             self.ids = np.append(self.ids, flat)
             place = np.minimum(np.searchsorted(self.known, distinct[new]), max(len(self.known) - 1, 0))
             hit = self.known[place] == distinct[new] if len(self.known) else np.zeros(len(new), bool)
             self.base = np.append(self.base, np.where(hit, self.shares[place] if len(self.known) else 0.0, np.nan))
         slots = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))
-        begin = self.bounds[slots][inverse]
-        many = self.bounds[slots + 1][inverse] - begin
-        take = np.arange(int(many.sum())) + np.repeat(begin - (np.cumsum(many) - many), many)
+        take, many = self.spans(self.bounds, slots, inverse)
+        self.last = slots, inverse
         return self.ids[take], many, self.logs[slots][inverse], self.base[slots][inverse]
 
+    def unseen(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words of the last call: the pairs of subwords that were taken as unseen, and how many each word has."""
+        take, many = self.spans(self.rare_bounds, *self.last)
+        return self.rare[take], many
+
+    @staticmethod
+    def spans(bounds: np.ndarray, slots: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = bounds[slots][inverse]
+        many = bounds[slots + 1][inverse] - begin
+        return np.arange(int(many.sum())) + np.repeat(begin - (np.cumsum(many) - many), many), many
+
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the ids of their texts (the last column) and the offsets of these."""
@@ -326,8 +349,11 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
         total[got["id"].to_numpy()] += got["c"].to_numpy()
     ids, own = totals
     spaced = np.append(spaced_ids(enc), False)
-    pairs = pieces.filter((F.col("before") >= 0) & (F.col("c") >= max(2, int(n * SHARE) + 1))).toArrow()  # at most 1 / SHARE rows a subword of a word
-    inside = Inside.of(*(pairs[c].to_numpy() for c in ("before", "id", "c")), own, np.append(spaced[:-1], True))
+    often = F.col("c") >= max(2, int(n * SHARE) + 1)
+    pairs = pieces.filter((F.col("before") >= 0) & often).toArrow()  # at most 1 / SHARE rows a subword of a word
+    followed, got = np.zeros(size), pieces.filter("before >= 0").groupBy("before").agg(F.sum("c").alias("c")).toArrow()  # at most one row a subword
+    followed[got["before"].to_numpy()] = got["c"].to_numpy()
+    inside = Inside.of(*(pairs[c].to_numpy() for c in ("before", "id", "c")), own, np.append(spaced[:-1], True), followed)
     frequent = np.argsort(-ids[:-1], kind="stable")[: at.FREQUENT]
     frequent = frequent[ids[frequent] > 0]
     denominator = n + 0.5 * (v + 1)
@@ -336,27 +362,29 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, c = known_words.value
         spelled = Spelled(encoder(path, pattern), known_pairs.value, known, np.log10((c + 0.5) / denominator) if n else np.zeros(len(c)))
-        names = ["id", "key", "held_out", "n_tokens", "n_known", "part", "inside", "h", "ids"]
+        names = ["id", "key", "held_out", "n_tokens", "n_known", "part", "inside", "h", "pair", "ids"]
         for batch, raw, off in chunks(batches, "text"):
             w = Words(raw, off, lower=True)
             hashes, mine = w.hashes(), w.text_of_word()
             flat, many, going_on, base = spelled(w, hashes)
+            unseen, rares = spelled.unseen()
             bounds = np.concatenate([[0], np.cumsum(many)])[w.bounds].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
             hit = ~np.isnan(base)
             part = np.bincount(mine, weights=np.where(hit, base, 0.0), minlength=batch.num_rows)
             n_hit = np.bincount(mine[hit], minlength=batch.num_rows)
             nulls = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(w.counts + 1), pa.array(n_hit), pa.array(part), pa.array(np.bincount(mine, weights=going_on, minlength=batch.num_rows)), nulls(batch.num_rows, pa.int64()), lists], names)
-            rare = np.flatnonzero(~hit)
-            k = len(rare)
-            ids_ = batch.column(0).to_numpy()[mine[rare]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids_), nulls(k, batch.column(1).type), nulls(k, pa.bool_()), nulls(k, pa.int64()), nulls(k, pa.int64()), nulls(k, pa.float64()), nulls(k, pa.float64()), pa.array(i64(hashes[rare])), nulls(k, lists.type)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(w.counts + 1), pa.array(n_hit), pa.array(part), pa.array(np.bincount(mine, weights=going_on, minlength=batch.num_rows)), nulls(batch.num_rows, pa.int64()), nulls(batch.num_rows, pa.int64()), lists], names)
+            rare, texts_ = np.flatnonzero(~hit), batch.column(0).to_numpy()
+            for of, h, pair in ((mine[rare], i64(hashes[rare]), None), (np.repeat(mine, rares), None, unseen)):
+                k = len(of)
+                looked_up = [nulls(k, pa.int64()) if c is None else pa.array(c) for c in (h, pair)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts_[of]), nulls(k, batch.column(1).type), nulls(k, pa.bool_()), nulls(k, pa.int64()), nulls(k, pa.int64()), nulls(k, pa.float64()), nulls(k, pa.float64()), *looked_up, nulls(k, lists.type)], names)
 
     kind = rows.schema["key"].dataType.simpleString()
     whole = rows.select(F.monotonically_increasing_id().alias("id"), "key", "text", "held_out")
-    encoded = scratch.keep(whole.mapInArrow(encode, f"id long, key {kind}, held_out boolean, n_tokens long, n_known long, part double, inside double, h long, ids array<int>"), "encoded")
-    texts = encoded.filter("h is null")
+    encoded = scratch.keep(whole.mapInArrow(encode, f"id long, key {kind}, held_out boolean, n_tokens long, n_known long, part double, inside double, h long, pair long, ids array<int>"), "encoded")
+    texts = encoded.filter("h is null and pair is null")
     learnt = texts.filter("not held_out").select("ids")
     after = neighbours(learnt, frequent, size)
     vocab = at.vocabulary(ids.astype(np.float64), spaced, after, frequent)
@@ -378,9 +406,17 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
     value = lambda c: F.log10((c + 0.5) / F.lit(float(denominator)))
     sums = rare.groupBy("id").agg(F.sum(value(F.coalesce("c", F.lit(0)))).alias("more"), F.count("c").alias("known"))
     sums = scratch.keep(sums.withColumnRenamed("id", "i"), "sums")
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, ids, c = (x.to_numpy() for x in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(before.astype(np.int64) << 32 | ids), pa.array(known_pairs.value.gain(ids, c))], ["pair", "gain"])
+
+    seldom = pieces.filter((F.col("before") >= 0) & ~often).select("before", "id", "c").mapInArrow(gains, "pair long, gain double")
+    more = scratch.keep(encoded.filter("pair is not null").select(F.col("id").alias("j"), "pair").join(seldom, "pair").groupBy("j").agg(F.sum("gain").alias("gain")), "gains")
     scratch.drop("encoded")
     ends = counts.filter(F.length("word") == 0).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-    out = scored.join(sums, F.col("id") == F.col("i"), "left")
+    out = scored.join(sums, F.col("id") == F.col("i"), "left").join(more, F.col("id") == F.col("j"), "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0)))
     base = F.col("part") + F.coalesce("more", F.lit(0.0)) + F.lit(float(np.log10((ends + 0.5) / denominator)))
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (base if n else F.lit(None).cast("double")).alias("base_score"), "score")
 

@@ -300,3 +300,13 @@ def test_copies_are_dealt_one_by_one(spark):
         by.setdefault(tuple(r["ids"]), set()).add(r["bucket"])
     assert len(by[(7,) * 9]) > 50 and all(len(v) == 1 for k, v in by.items() if len(k) < 9)
     assert lm_score.dealt(spark.createDataFrame([], "ids array<int>"), Scratch(spark, "dealt")).collect() == []
+
+
+def test_rare_pairs_of_subwords_count_as_frequent_ones_do(spark, monkeypatch):
+    """With no pair frequent enough to be broadcast, each meets its count in a join, and scores are the same."""
+    docs = [(i, " ".join(f"wor{j}quax zyx{i % 4}vut{j}" for j in range(i % 9))) for i in range(60)]
+    df, scores = spark.createDataFrame(docs, "doc_id long, text string"), []
+    for share in (1e-9, 1.0):
+        monkeypatch.setattr(lm_score, "SHARE", share)
+        scores.append([r["score"] for r in lm_score.score(df).orderBy("doc_id").collect()])
+    assert np.allclose(*scores, rtol=1e-9, atol=1e-9)
