@@ -3,7 +3,8 @@
 Equal vectors are indexed once.  Each is normalised and goes to the list of its nearest centre, with a code of one byte a
 component and the length of what the code leaves out.  By that length a code bounds the cosine from both sides,
 so a search over codes drops only vectors that cannot be among the k nearest of the lists it probes; the rest are
-ranked by their full vectors.  With all lists probed the result is that of a full scan.
+ranked by their full vectors.  With all lists probed the result is that of a full scan.  Lists are packed into shards of a bounded number of
+rows: a query meets a shard in one row, whichever of its lists it probes, and takes from it what may be among the k nearest of the shard.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from sparkcorpus.store import Steps
 
 #: Vectors that the centres are fitted on at most, and vectors of a list on average; never more lists than LISTS.
 SAMPLE, PER_LIST, LISTS = 40_000, 256, 1024
-#: Rows of a list, or queries that probe it, that meet in one task.
+#: Rows of a shard of lists, or of a slice of a longer list, and queries that probe it, that meet in one task.
 SLICE = 8192
 #: More than single precision loses in a product of unit vectors.
 SLACK = 1e-5
@@ -31,7 +32,8 @@ SLACK = 1e-5
 
 @dataclass
 class VectorIndex:
-    """postings: (list, slice, vid, code, scale, left_out); vectors: (vid, v); members: (vid, unit); centres: a row a list."""
+    """postings: (list, slice, vid, code, scale, left_out); vectors: (vid, v); members: (vid, unit); centres: a row a list;
+    slices: (list, slices, shard) of each list that has rows; shards: the shard of each list, or -1."""
 
     steps: Steps
     postings: DataFrame
@@ -39,6 +41,7 @@ class VectorIndex:
     members: DataFrame
     centres: np.ndarray
     slices: DataFrame
+    shards: np.ndarray
 
 
 def units_of(column) -> np.ndarray:
@@ -71,7 +74,8 @@ def build(units: DataFrame, unit: str = "id", vector: str = "embedding", dim: in
     members = rows.select("vid", "unit")
     n = vectors.count()
     lists = lists or max(1, min(LISTS, -(-n // PER_LIST)))
-    centres = spherical_centres(vectors.withColumn("h", F.xxhash64("vid")).orderBy("h", "vid").limit(sample), lists, key="vid", vector="v") if n else np.zeros((1, dim))
+    first = vectors.withColumn("h", F.xxhash64("vid")).orderBy("h", "vid").limit(sample).select("vid", "v").repartition("vid")  # each round reads them again
+    centres = spherical_centres(steps.keep(first, "sample"), lists, key="vid", vector="v") if n else np.zeros((1, dim))
 
     def encode(batches):
         for batch in batches:
@@ -84,10 +88,25 @@ def build(units: DataFrame, unit: str = "id", vector: str = "embedding", dim: in
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale), pa.array(np.sqrt((gap * gap).sum(axis=1)))], ["list", "vid", "code", "scale", "left_out"])
 
     coded = steps.keep(vectors.select("vid", "v").mapInArrow(encode, "list int, vid string, code binary, scale double, left_out double"), "coded")
-    slices = steps.keep(coded.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")), "slices")
-    postings = coded.join(F.broadcast(slices), "list").withColumn("slice", F.pmod(F.xxhash64("vid"), F.col("slices")).cast("int")).drop("slices")  # a row a list
+    packed = sharded([tuple(r) for r in coded.groupBy("list").count().orderBy("list").collect()])  # a row a list
+    slices = steps.keep(units.sparkSession.createDataFrame(packed, "list int, slices int, shard int"), "slices")
+    shards = np.full(len(centres), -1, dtype=np.int32)
+    shards[[r[0] for r in packed]] = [r[2] for r in packed]
+    postings = coded.join(F.broadcast(slices), "list").withColumn("slice", F.pmod(F.xxhash64("vid"), F.col("slices")).cast("int")).drop("slices", "shard")
     postings = postings.repartition("list", "slice").select("vid", "slice", "code", "scale", "left_out", "list")
-    return VectorIndex(steps, steps.keep(postings, "postings", by=["list"]), vectors, members, centres, slices)
+    return VectorIndex(steps, steps.keep(postings, "postings", by=["list"]), vectors, members, centres, slices, shards)
+
+
+def sharded(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(list, slices, shard) of lists (list, rows) in order: a shard takes lists until it would have more than SLICE rows; a list with
+    more is a shard of its own, cut into slices."""
+    out, shard, held = [], -1, SLICE
+    for list_, n in sizes:
+        if held + n > SLICE:
+            shard, held = shard + 1, 0
+        held += n
+        out.append((list_, -(-n // SLICE), shard))
+    return out
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
@@ -101,37 +120,56 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     def route(batches):
         for batch in batches:
             x = units_of(batch.column(1))
-            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-            at = pa.array(np.repeat(np.arange(len(x)), probes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel(), pa.int32())], ["query", "q", "list"])
-
-    routed = index.steps.keep(asked.mapInArrow(route, f"query {kind}, q array<double>, list int"), f"routed-{run}")
-    # queries of a list are cut into blocks too; each block meets each slice of the list
-    blocks = routed.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("blocks"))
-    dealt = routed.join(F.broadcast(blocks), "list").join(F.broadcast(index.slices), "list")  # both have a row a list
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("list", "slice", "block", "query", "q")
-    probed = [r["list"] for r in blocks.select("list").collect()]  # at most LISTS numbers: the folders that are read
-    met = index.postings.filter(F.col("list").isin(probed)).join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "slice", "block", "vid", "code", "scale", "left_out")
+            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            shard, of = index_shards[near].ravel(), np.repeat(np.arange(len(x)), probes)
+            order = np.lexsort((shard, of))
+            order = order[shard[order] >= 0]
+            shard, of, near = shard[order], of[order], near.ravel()[order]
+            begin = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (shard[1:] != shard[:-1]))[: len(of)])
+            at, bounds = pa.array(of[begin]), pa.array(np.append(begin, len(of)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(shard[begin]), pa.ListArray.from_arrays(bounds, pa.array(near))], ["query", "q", "shard", "lists"])
+
+    index_shards = index.shards
+    routed = index.steps.keep(asked.mapInArrow(route, f"query {kind}, q array<double>, shard int, lists array<int>"), f"routed-{run}")
+    # queries of a shard are cut into blocks too; each block meets the shard, or each slice of its list
+    blocks = routed.groupBy("shard").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("blocks"))
+    cut = index.slices.groupBy("shard").agg(F.max("slices").alias("slices"))
+    dealt = routed.join(F.broadcast(blocks), "shard").join(F.broadcast(cut), "shard")  # both have at most a row a list
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("shard", "slice", "block", "query", "q", "lists")
+    probed = [r["list"] for r in routed.select(F.explode("lists").alias("list")).distinct().collect()]  # at most LISTS numbers: the folders that are read
+    met = index.postings.filter(F.col("list").isin(probed)).join(F.broadcast(index.slices.select("list", "shard")), "list").join(F.broadcast(blocks), "shard")
+    met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shard", "slice", "block", "list", "vid", "code", "scale", "left_out")
 
     def scan(key, rows, wanted):
         if not rows.num_rows or not wanted.num_rows:
             return pa.table({"query": wanted.column("query").slice(0, 0), "vid": pa.array([], pa.string()), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
+        rows = rows.sort_by("list")
         code = np.frombuffer(b"".join(rows.column("code").to_pylist()), dtype=np.int8).reshape(rows.num_rows, dim).astype(np.float32)
-        scale, lost = rows.column("scale").to_numpy(), rows.column("left_out").to_numpy()
-        q, of_query, of_row, low, high = units_of(wanted.column("q")), [], [], [], []
-        for begin in range(0, len(q), 256):
-            part = q[begin : begin + 256].astype(np.float32) @ code.T
-            distance = 1.0 - part.astype(np.float64) * scale[None, :]
-            near, far = distance - lost[None, :] - SLACK, distance + lost[None, :] + SLACK
-            bound = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
-            a, b = np.nonzero(near <= bound[:, None])
-            of_query.append(a + begin)
-            of_row.append(b)
-            low.append(near[a, b])
-            high.append(far[a, b])
-        return pa.table({"query": wanted.column("query").take(pa.array(np.concatenate(of_query))), "vid": rows.column("vid").take(pa.array(np.concatenate(of_row))), "low": np.concatenate(low), "high": np.concatenate(high)})
-
-    found = met.groupBy("list", "slice", "block").cogroup(dealt.groupBy("list", "slice", "block")).applyInArrow(scan, f"query {kind}, vid string, low double, high double")
+        scale, lost, q = rows.column("scale").to_numpy(), rows.column("left_out").to_numpy(), units_of(wanted.column("q")).astype(np.float32)
+        lists = wanted.column("lists").combine_chunks()
+        listed, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+        order = np.argsort(listed, kind="stable")
+        listed, of = listed[order], of[order]
+        best = np.full((len(q), k), np.inf)  # of each query, the k least upper bounds so far
+        of_query, of_row, low, high = [], [], [], []
+        names, first = np.unique(rows.column("list").to_numpy(), return_index=True)
+        for name, begin, end in zip(names, first, np.append(first[1:], rows.num_rows), strict=True):
+            mine = of[np.searchsorted(listed, name) : np.searchsorted(listed, name, side="right")]
+            for i in range(0, len(mine), 256):
+                some = mine[i : i + 256]
+                distance = 1.0 - (q[some] @ code[begin:end].T).astype(np.float64) * scale[None, begin:end]
+                near, far = distance - lost[None, begin:end] - SLACK, distance + lost[None, begin:end] + SLACK
+                best[some] = np.partition(np.concatenate([best[some], far], axis=1), k - 1, axis=1)[:, :k]
+                a, b = np.nonzero(near <= best[some].max(axis=1)[:, None])
+                of_query.append(some[a])
+                of_row.append(b + begin)
+                low.append(near[a, b])
+                high.append(far[a, b])
+        of_query, of_row, low, high = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((of_query, int), (of_row, int), (low, float), (high, float)))
+        left = low <= best.max(axis=1)[of_query]
+        return pa.table({"query": wanted.column("query").take(pa.array(of_query[left])), "vid": rows.column("vid").take(pa.array(of_row[left])), "low": low[left], "high": high[left]})
+
+    found = met.groupBy("shard", "slice", "block").cogroup(dealt.groupBy("shard", "slice", "block")).applyInArrow(scan, f"query {kind}, vid string, low double, high double")
     found = index.steps.keep(found, f"found-{run}")
     bound = top_per_group(found, ["query"], k, F.asc("high"), F.asc("vid")).groupBy("query").agg(F.max("high").alias("bound"))
     left = found.join(bound, "query").filter("low <= bound").select("query", "vid")

@@ -97,3 +97,18 @@ def test_random_searches(spark):
     index = VI.build(frame(spark, rows), lists=4)
     queries = asked(frame(spark, rows[:60]))
     assert listed(VI.search(index, queries, 7)) == listed(R.vector_channel(queries, frame(spark, rows), 7))
+
+
+def test_a_shard_gives_each_query_k_vectors_however_many_lists_it_has(spark):
+    rows = cloud(900)
+    index = VI.build(frame(spark, rows), lists=30)
+    assert len(set(index.shards.tolist())) == 1
+    queries = asked(frame(spark, rows[:20]))
+    assert listed(VI.search(index, queries, 10)) == listed(R.vector_channel(queries, frame(spark, rows), 10))
+    found, routed = (spark.read.parquet(f"{index.steps.base}/{name}-*") for name in ("found", "routed"))
+    assert found.count() < 20 * 10 * 5 and routed.count() == 20  # 20 * 30 rows, and 10 of each, if lists met queries one by one
+
+
+def test_lists_are_packed_into_shards(monkeypatch):
+    monkeypatch.setattr(VI, "SLICE", 10)
+    assert VI.sharded([(0, 4), (1, 6), (3, 1), (4, 25), (7, 2), (8, 9)]) == [(0, 1, 0), (1, 1, 0), (3, 1, 1), (4, 3, 2), (7, 1, 3), (8, 1, 4)]
