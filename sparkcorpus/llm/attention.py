@@ -158,7 +158,8 @@ def forward(p: dict, inputs: np.ndarray, first: np.ndarray, before: np.ndarray |
     scaled = p["query"] * p["query"].dtype.type(WIDTH**-0.5)
     made = (flat @ np.concatenate([p["key"], p["value"], scaled], 1)).reshape(*x.shape[:2], 3 * WIDTH)
     q = made[1:, :, 2 * WIDTH :]
-    both = np.concatenate([made[:-1, :, : 2 * WIDTH], made[1:, :, : 2 * WIDTH]], 1)
+    # each block and the one before, without a copy: their positions follow one another
+    both = np.lib.stride_tricks.as_strided(made, (len(own), 2 * BLOCK, 2 * WIDTH), made.strides, writeable=False)
     keys, values = both[:, :, :WIDTH], both[:, :, WIDTH:]
     a = q @ keys.transpose(0, 2, 1)
     a += p["back"][BACK] + HIDDEN
@@ -227,9 +228,11 @@ def gradients(p: dict, vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarra
     g["query"], g["key"], g["value"] = np.split(flat(x).T @ flat(back), 3, axis=1)
     dx = flat(back) @ np.concatenate([p["query"], p["key"], p["value"]], 1).T
     dx[BLOCK:] += flat(dh)
-    ids, place = np.unique(np.concatenate([np.zeros((1, BLOCK), np.int32), inputs]).ravel(), return_inverse=True)
-    cells = place[:, None] * WIDTH + np.arange(WIDTH)
-    g["embed"] = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=len(ids) * WIDTH).reshape(len(ids), WIDTH)
+    seen = np.concatenate([np.zeros((1, BLOCK), np.int32), inputs]).ravel()
+    order = np.argsort(seen, kind="stable")
+    seen = seen[order]
+    begin = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+    ids, g["embed"] = seen[begin], np.add.reduceat(dx[order], begin, axis=0)
     return {k: (v / n).astype(dx.dtype) for k, v in g.items()}, ids, loss
 
 

@@ -187,7 +187,7 @@ class Spelled:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and where each word is
         self.ids, self.bounds, self.logs, self.base = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
         self.rare, self.rare_bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
@@ -196,11 +196,12 @@ class Spelled:
         if len(self.slot) > REMEMBERED:
             self.forget()
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.slot]
-        if new:
-            size = len(self.slot)
-            self.slot.update((keys[i], size + k) for k, i in enumerate(new))
+        place = np.searchsorted(self.hashes, distinct)
+        there = np.append(self.hashes, np.uint64(0))[place] == distinct
+        new = np.flatnonzero(~(there & (place < len(self.hashes))))
+        if len(new):
+            self.slot = np.insert(self.slot, place[new], len(self.slot) + np.arange(len(new)))
+            self.hashes = np.insert(self.hashes, place[new], distinct[new])
             flat, lengths = spell(self.enc, w.raw, w.starts[first[new]], w.ends[first[new]])
             owner = np.repeat(np.arange(len(new)), lengths)
             on = np.flatnonzero(owner[1:] == owner[:-1]) + 1
@@ -214,7 +215,7 @@ class Spelled:
             place = np.minimum(np.searchsorted(self.known, distinct[new]), max(len(self.known) - 1, 0))
             hit = self.known[place] == distinct[new] if len(self.known) else np.zeros(len(new), bool)
             self.base = np.append(self.base, np.where(hit, self.shares[place] if len(self.known) else 0.0, np.nan))
-        slots = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))
+        slots = self.slot[np.searchsorted(self.hashes, distinct)]
         take, many = self.spans(self.bounds, slots, inverse)
         self.last = slots, inverse
         return self.ids[take], many, self.logs[slots][inverse], self.base[slots][inverse]

@@ -310,3 +310,17 @@ def test_rare_pairs_of_subwords_count_as_frequent_ones_do(spark, monkeypatch):
         monkeypatch.setattr(lm_score, "SHARE", share)
         scores.append([r["score"] for r in lm_score.score(df).orderBy("doc_id").collect()])
     assert np.allclose(*scores, rtol=1e-9, atol=1e-9)
+
+
+def test_words_are_remembered_by_sorted_hashes():
+    """A word keeps its place when words with smaller and larger hashes come after it, and no word is looked up one by one."""
+    enc = lm_score.encoder(lm_score.public_tokenizers.path(lm_score.VOCABULARY), lm_score.public_tokenizers.PATTERN)
+    size = enc.n_vocab + 1
+    inside = lm_score.Inside.of(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(size), np.append(lm_score.spaced_ids(enc), True))
+    spelled = lm_score.Spelled(enc, inside, np.zeros(0, np.uint64), np.zeros(0))
+    for texts in (["strawberry a", "zz"], ["b strawberry\nanthill", ""], ["zz anthill c strawberry unseen d a b"]):
+        w = lm_score.Words(*strings(pa.array(texts)), lower=True)
+        flat, many, _, _ = spelled(w, w.hashes())
+        words = " ".join(texts).split()
+        assert [x.tolist() for x in np.split(flat, np.cumsum(many)[:-1])] == [enc.encode_ordinary(" " + x) for x in words]
+    assert len(spelled.slot) == 8 and (np.diff(spelled.hashes.astype(object)) > 0).all()
