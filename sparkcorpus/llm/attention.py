@@ -133,44 +133,50 @@ def layout(vocab: Vocabulary, ids: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return inputs.reshape(-1, BLOCK), targets.reshape(-1, BLOCK), first, owner
 
 
-def exps(z: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def exps(z: np.ndarray, rows: int, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """exp(z - m) and its sums by row; m is the largest of a group of `rows` rows, or, where a row lies so far below
     it that little would be left, of the row.  z becomes z - m."""
     group = z.reshape(-1, rows * z.shape[-1])
     group -= group.max(1, keepdims=True)
-    e = np.exp(z)
+    e = np.exp(z, out=out)
     total = e @ np.ones((z.shape[-1], 1), dtype=z.dtype)
     low = np.flatnonzero(total.ravel() < 1e-30)
     if len(low):
-        z, flat = z.reshape(-1, z.shape[-1]), e.reshape(-1, z.shape[-1])
+        low = np.unravel_index(low, z.shape[:-1])
         z[low] -= z[low].max(1, keepdims=True)
-        flat[low] = np.exp(z[low])
-        total.reshape(-1)[low] = flat[low].sum(1)
+        e[low] = np.exp(z[low])
+        total[low] = e[low].sum(1, keepdims=True)
     return e, total
 
 
-def forward(p: dict, inputs: np.ndarray, first: np.ndarray, before: np.ndarray | None) -> dict:
-    """Activations of consecutive blocks; `before` has the ids of the block before the first."""
+def forward(p: dict, inputs: np.ndarray, first: np.ndarray, before: np.ndarray | None, back: bool = False) -> dict:
+    """Activations of consecutive blocks; `before` has the ids of the block before the first; `back`: what the way back needs.
+
+    A query meets a key only in their product, and a value is mixed at once, so each pair of matrices counts as one.
+    """
     lead = np.zeros((1, BLOCK), np.int32) if before is None else before[None]
     x = p["embed"][np.concatenate([lead, inputs])]
-    flat = x.reshape(-1, WIDTH)
     own = x[1:]
-    scaled = p["query"] * p["query"].dtype.type(WIDTH**-0.5)
-    made = (flat @ np.concatenate([p["key"], p["value"], scaled], 1)).reshape(*x.shape[:2], 3 * WIDTH)
-    q = made[1:, :, 2 * WIDTH :]
+    meet = p["query"] @ p["key"].T * p["query"].dtype.type(WIDTH**-0.5)
+    mix = p["value"] @ p["mixed"]
     # each block and the one before, without a copy: their positions follow one another
-    both = np.lib.stride_tricks.as_strided(made, (len(own), 2 * BLOCK, 2 * WIDTH), made.strides, writeable=False)
-    keys, values = both[:, :, :WIDTH], both[:, :, WIDTH:]
-    a = q @ keys.transpose(0, 2, 1)
+    both = np.lib.stride_tricks.as_strided(x, (len(own), 2 * BLOCK, WIDTH), x.strides, writeable=False)
+    left = right = None
+    q = (own.reshape(-1, WIDTH) @ meet).reshape(own.shape)
+    if back:  # what is multiplied on the way lies side by side: attention and its gradient, gradients of what it gathers and queries
+        left, right = np.empty((len(own), 2 * BLOCK, 2 * BLOCK), x.dtype), np.empty((len(own), 2 * BLOCK, WIDTH), x.dtype)
+        right[:, BLOCK:] = q
+    a = q @ both.transpose(0, 2, 1)
     a += p["back"][BACK] + HIDDEN
     a[first, :, :BLOCK] = -1e9
-    a, total = exps(a, BLOCK)
-    o = a @ values
+    a, total = exps(a, BLOCK, left[:, :BLOCK] if back else None)
+    o = a @ both
     o /= total
-    h = own + (o.reshape(-1, WIDTH) @ p["mixed"]).reshape(own.shape)
-    logits = h.reshape(-1, WIDTH) @ p["out"]
+    h = o.reshape(-1, WIDTH) @ mix
+    h += own.reshape(-1, WIDTH)
+    logits = h @ p["out"]
     logits += p["bias"]
-    return {"x": x, "q": q, "keys": keys, "values": values, "a": a, "total": total, "o": o, "h": h, "logits": logits}
+    return {"x": x, "both": both, "meet": meet, "mix": mix, "left": left, "right": right, "total": total, "o": o, "h": h, "logits": logits}
 
 
 def log10_probabilities(p: dict, vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, together: int = 256) -> np.ndarray:
@@ -193,56 +199,71 @@ def log10_probabilities(p: dict, vocab: Vocabulary, inputs: np.ndarray, targets:
 def gradients(p: dict, vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, with_loss: bool = False) -> tuple[dict, np.ndarray, float | None]:
     """Of the mean negative log-likelihood of the targets' classes.  That of `embed` has a row for each id in the
     second result."""
-    f = forward(p, inputs, first, None)
+    f = forward(p, inputs, first, None, back=True)
     t = targets.ravel()
     real = t >= 0
     n = max(1, int(real.sum()))
-    prob, total = exps(f["logits"], BLOCK)
-    prob /= total
-    rows = np.arange(len(t))
-    groups = vocab.group[t]
-    loss = -np.log(np.maximum(prob[rows, groups][real], 1e-30)).sum() / n if with_loss else None
-    d = prob
-    d[rows, groups] -= 1
+    d, total = exps(f["logits"], BLOCK)
+    cell = np.arange(len(t)) * CLASSES + vocab.group[t]
+    loss = -np.log(np.maximum(d.ravel()[cell] / total[:, 0], 1e-30)[real]).sum() / n if with_loss else None
+    d.ravel()[cell] -= total[:, 0]  # the gradient of the logits, times the sum of the row; what it is multiplied by is narrower
     d[~real] = 0
     flat = lambda z: z.reshape(-1, z.shape[-1])
-    g = {"out": flat(f["h"]).T @ d, "bias": d.sum(0)}
-    dh = (d @ p["out"].T).reshape(-1, BLOCK, WIDTH)
-    g["mixed"] = flat(f["o"]).T @ flat(dh)
-    do = (flat(dh) @ p["mixed"].T).reshape(dh.shape)
-    da = do @ f["values"].transpose(0, 2, 1)
-    a = f["a"]
-    a /= f["total"]
-    da -= (f["o"] * do) @ np.ones((WIDTH, 1), do.dtype)  # the mean of da under a
-    ds = np.multiply(da, a, out=da)
+    g = {"out": (f["h"] / total).T @ d, "bias": ((1 / total).T @ d)[0]}
+    dh = d @ p["out"].T
+    dh /= total
+    x, both, left, right, o = f["x"], f["both"], f["left"], f["right"], f["o"]
+    a, ds, do = left[:, :BLOCK], left[:, BLOCK:], right[:, :BLOCK]
+    dmix = flat(o).T @ dh
+    np.divide((dh @ f["mix"].T).reshape(do.shape), f["total"], out=do)  # so a need not be divided
+    np.matmul(do, both.transpose(0, 2, 1), out=ds)
+    ds -= np.einsum("ijk,ijk->ij", o, do)[:, :, None]  # the mean of the gradient under a
+    ds *= a
     g["back"] = np.bincount(BACK.ravel(), weights=ds.sum(0).ravel(), minlength=2 * BLOCK)
-    dq, dkeys, dvalues = ds @ f["keys"], ds.transpose(0, 2, 1) @ f["q"], a.transpose(0, 2, 1) @ do
-    dq *= p["query"].dtype.type(WIDTH**-0.5)
-    x = f["x"]
-    # by position: what flows back to its query, key and value, side by side
-    back = np.zeros((*x.shape[:2], 3 * WIDTH), dtype=x.dtype)
-    back[1:, :, :WIDTH] = dq
-    for at, both in ((WIDTH, dkeys), (2 * WIDTH, dvalues)):
-        back[1:, :, at : at + WIDTH] = both[:, BLOCK:]
-        back[:-1, :, at : at + WIDTH] += both[:, :BLOCK]
-    g["query"], g["key"], g["value"] = np.split(flat(x).T @ flat(back), 3, axis=1)
-    dx = flat(back) @ np.concatenate([p["query"], p["key"], p["value"]], 1).T
-    dx[BLOCK:] += flat(dh)
+    dq = flat(ds @ both)
+    dboth = left.transpose(0, 2, 1) @ right
+    dmeet = flat(x[1:]).T @ dq * p["query"].dtype.type(WIDTH**-0.5)
+    g["query"], g["key"] = dmeet @ p["key"], dmeet.T @ p["query"]
+    g["value"], g["mixed"] = dmix @ p["mixed"].T, p["value"].T @ dmix
+    dh += dq @ f["meet"].T
+    dx = np.zeros_like(x)
+    np.add(dboth[:, BLOCK:], dh.reshape(-1, BLOCK, WIDTH), out=dx[1:])
+    dx[:-1] += dboth[:, :BLOCK]
     seen = np.concatenate([np.zeros((1, BLOCK), np.int32), inputs]).ravel()
-    order = np.argsort(seen, kind="stable")
+    order = np.argsort(seen.astype(np.uint16) if len(p["embed"]) <= 1 << 16 else seen, kind="stable")  # short keys are sorted by digits
     seen = seen[order]
     begin = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
-    ids, g["embed"] = seen[begin], np.add.reduceat(dx[order], begin, axis=0)
+    ids, g["embed"] = seen[begin], np.add.reduceat(flat(dx)[order], begin, axis=0)
     return {k: (v / n).astype(dx.dtype) for k, v in g.items()}, ids, loss
 
 
 def train(p: dict, vocab: Vocabulary, groups: Iterable[list[np.ndarray]], rate: float = 0.01, together: int = 256) -> tuple[dict, np.ndarray, int]:
     """One pass of Adam over groups of texts, some blocks at a time; how often each input vector was seen, and
     how many targets there were.  Of the input vectors, those of a step's ids are moved."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    used = np.zeros(len(p["embed"]), dtype=np.int64)
+    embed, rest = p["embed"].copy(), pack(p)
+    p = unpack(rest, p) | {"embed": embed}
+    moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in (("embed", embed), ("rest", rest))}
+    used = np.zeros(len(embed), dtype=np.int64)
     step = n = 0
+
+    def moved(k: str, at: np.ndarray | slice, g: np.ndarray) -> np.ndarray:
+        m, v = moments[k]
+        mk, vk = m[at], v[at]  # copies, if these are rows
+        mk *= 0.9
+        mk += g * np.float32(0.1)
+        vk *= 0.98
+        g *= g
+        g *= np.float32(0.02)
+        vk += g
+        if k == "embed":
+            m[at], v[at] = mk, vk
+        by = vk * np.float32(1 / (1 - 0.98**step))
+        np.sqrt(by, out=by)
+        by += np.float32(1e-8)
+        np.divide(mk, by, out=by)
+        by *= np.float32(rate / (1 - 0.9**step))
+        return by
+
     for texts in groups:
         inputs, targets, first, _ = layout(vocab, texts)
         n += int((targets >= 0).sum())
@@ -253,11 +274,8 @@ def train(p: dict, vocab: Vocabulary, groups: Iterable[list[np.ndarray]], rate:
             head = first[part].copy()
             head[:1] = True
             g, ids, _ = gradients(p, vocab, inputs[part], targets[part], head)
-            for k in p:
-                at = ids if k == "embed" else slice(None)
-                mk = m[k][at] = 0.9 * m[k][at] + 0.1 * g[k]
-                vk = v[k][at] = 0.98 * v[k][at] + 0.02 * g[k] ** 2
-                p[k][at] -= np.float32(rate / (1 - 0.9**step)) * mk / (np.sqrt(vk * np.float32(1 / (1 - 0.98**step))) + np.float32(1e-8))
+            embed[ids] -= moved("embed", ids, g["embed"])
+            rest -= moved("rest", slice(None), pack(g))
     return p, used, n
 
 
@@ -267,8 +285,9 @@ def pack(p: dict) -> np.ndarray:
 
 
 def unpack(flat: np.ndarray, like: dict) -> dict:
+    """Parts of `flat`, which they share if it holds what `like` does."""
     out, at = {}, 0
     for k in sorted(k for k in like if k != "embed"):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32, copy=False)
         at += like[k].size
     return out

@@ -33,6 +33,9 @@ SHARE = 1e-6
 KNOWN = 1_000_000
 #: Weight of a subword's own share beside what follows the one before; words whose ids a task remembers.
 SMOOTH, REMEMBERED = 2.0, 400_000
+#: Bits of a hash that say its cell.
+CELLS = 20
+SHIFT = np.uint64(64 - CELLS)
 #: Texts are laid out together up to so many subwords; a longer text makes a group of its own.
 GROUP_IDS = 1 << 18
 #: Subwords and ends of a bucket of texts from which one local pass learns.
@@ -44,19 +47,66 @@ def fold(key) -> F.Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % FOLDS
 
 
+class Places:
+    """A number for each different hash, in the order in which they came first.
+
+    A hash is looked for in the cell of its first bits, which holds the last one that was missed there, and only if it is
+    not there among all, which ascend.
+    """
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and the number of each
+        self.cell = ~(np.arange(1 << CELLS, dtype=np.uint64) << SHIFT)  # none that belongs there
+        self.cell_slot = np.zeros(1 << CELLS, np.int32)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each hash; and where those stand, by number, that came first now."""
+        cell = (hashes >> SHIFT).view(np.int64)
+        slots, missed = self.cell_slot[cell], np.flatnonzero(self.cell[cell] != hashes)
+        distinct, first, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, distinct)
+        there = np.append(self.hashes, np.uint64(0))[place] == distinct
+        new = np.flatnonzero(~(there & (place < len(self.hashes))))
+        if len(new):
+            self.slot = np.insert(self.slot, place[new], len(self.slot) + np.arange(len(new)))
+            self.hashes = np.insert(self.hashes, place[new], distinct[new])
+        slots[missed] = self.slot[np.searchsorted(self.hashes, distinct)][inverse]
+        self.cell[cell[missed]], self.cell_slot[cell[missed]] = hashes[missed], slots[missed]
+        return slots, missed[first[new]]
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, word, c) over all words of the texts; the end of a text is the empty word."""
+    """(h, word, c) over all words of the texts; the end of a text is the empty word.  A task counts its words until there are too many
+    different ones to remember."""
+    names = ["h", "word", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, counts, hashes, words = Places(), np.zeros(0, np.int64), [], []
         for batch, raw, off in chunks(batches, "text"):
             w = Words(raw, off, lower=True)
-            hashes, first, counts = np.unique(w.hashes(), return_index=True, return_counts=True)
-            starts, ends = w.starts[first], w.ends[first]
+            all_ = w.hashes()
+            slots, new = seen.places(all_)
+            counts = np.bincount(slots, minlength=len(seen.slot)) + np.append(counts, np.zeros(len(new), np.int64))
+            starts, ends = w.starts[new], w.ends[new]
             bounds = np.concatenate([[0], np.cumsum(ends - starts)])
             take = np.arange(int(bounds[-1])) + np.repeat(starts - bounds[:-1], ends - starts)
-            words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(w.raw[take])])
-            yield pa.RecordBatch.from_arrays([pa.array(i64(hashes)), words, pa.array(counts.astype(np.int64))], ["h", "word", "c"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([b""], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["h", "word", "c"])
+            words.append(pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(w.raw[take])]))
+            hashes.append(all_[new])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([b""], pa.binary()), pa.array([batch.num_rows], pa.int64())], names)
+            if len(seen.slot) > REMEMBERED:
+                yield from counted(hashes, words, counts)
+                seen.forget()
+                counts, hashes, words = counts[:0], [], []
+        yield from counted(hashes, words, counts)
+
+    def counted(hashes: list[np.ndarray], words: list[pa.Array], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin = 0
+        for h, word in zip(hashes, words, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(i64(h)), word, pa.array(counts[begin : begin + len(h)])], names)
+            begin += len(h)
 
     return texts.mapInArrow(run, "h long, word binary, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
 
@@ -178,16 +228,16 @@ class Inside:
         return np.log10(1 + counts / (SMOOTH * self.share[ids]))
 
 
-class Spelled:
+class Spelled(Places):
     """Of words by their hash: their ids, the log10 probability of all ids but the first, and log10 of the share of
     the word (NaN if it is not among the known ones); kept between batches."""
 
     def __init__(self, enc, inside: Inside, known: np.ndarray, shares: np.ndarray):
         self.enc, self.inside, self.known, self.shares = enc, inside, known, shares
-        self.forget()
+        super().__init__()
 
     def forget(self) -> None:
-        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and where each word is
+        super().forget()
         self.ids, self.bounds, self.logs, self.base = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
         self.rare, self.rare_bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
@@ -195,14 +245,9 @@ class Spelled:
         """Ids of all words in a row; how many each word has, its log10 probability of going on so, and its share."""
         if len(self.slot) > REMEMBERED:
             self.forget()
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, distinct)
-        there = np.append(self.hashes, np.uint64(0))[place] == distinct
-        new = np.flatnonzero(~(there & (place < len(self.hashes))))
+        slots, new = self.places(hashes)
         if len(new):
-            self.slot = np.insert(self.slot, place[new], len(self.slot) + np.arange(len(new)))
-            self.hashes = np.insert(self.hashes, place[new], distinct[new])
-            flat, lengths = spell(self.enc, w.raw, w.starts[first[new]], w.ends[first[new]])
+            flat, lengths = spell(self.enc, w.raw, w.starts[new], w.ends[new])
             owner = np.repeat(np.arange(len(new)), lengths)
             on = np.flatnonzero(owner[1:] == owner[:-1]) + 1
             self.logs = np.append(self.logs, np.bincount(owner[on], weights=self.inside.log10(flat[on - 1], flat[on]), minlength=len(new)))
@@ -212,23 +257,23 @@ class Spelled:
             self.rare_bounds = np.append(self.rare_bounds, self.rare_bounds[-1] + np.cumsum(np.bincount(owner[on][lacking], minlength=len(new))))
             self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(lengths))
             self.ids = np.append(self.ids, flat)
-            place = np.minimum(np.searchsorted(self.known, distinct[new]), max(len(self.known) - 1, 0))
-            hit = self.known[place] == distinct[new] if len(self.known) else np.zeros(len(new), bool)
+            place = np.minimum(np.searchsorted(self.known, hashes[new]), max(len(self.known) - 1, 0))
+            hit = self.known[place] == hashes[new] if len(self.known) else np.zeros(len(new), bool)
             self.base = np.append(self.base, np.where(hit, self.shares[place] if len(self.known) else 0.0, np.nan))
-        slots = self.slot[np.searchsorted(self.hashes, distinct)]
-        take, many = self.spans(self.bounds, slots, inverse)
-        self.last = slots, inverse
-        return self.ids[take], many, self.logs[slots][inverse], self.base[slots][inverse]
+        take, many = self.spans(self.bounds, slots)
+        self.last = slots
+        return self.ids[take], many, self.logs[slots], self.base[slots]
 
     def unseen(self) -> tuple[np.ndarray, np.ndarray]:
         """Of the words of the last call: the pairs of subwords that were taken as unseen, and how many each word has."""
-        take, many = self.spans(self.rare_bounds, *self.last)
+        many = np.diff(self.rare_bounds)[self.last]
+        take, _ = self.spans(self.rare_bounds, self.last[many > 0])
         return self.rare[take], many
 
     @staticmethod
-    def spans(bounds: np.ndarray, slots: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = bounds[slots][inverse]
-        many = bounds[slots + 1][inverse] - begin
+    def spans(bounds: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = bounds[slots]
+        many = bounds[slots + 1] - begin
         return np.arange(int(many.sum())) + np.repeat(begin - (np.cumsum(many) - many), many), many
 
 

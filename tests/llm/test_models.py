@@ -324,3 +324,26 @@ def test_words_are_remembered_by_sorted_hashes():
         words = " ".join(texts).split()
         assert [x.tolist() for x in np.split(flat, np.cumsum(many)[:-1])] == [enc.encode_ordinary(" " + x) for x in words]
     assert len(spelled.slot) == 8 and (np.diff(spelled.hashes.astype(object)) > 0).all()
+
+
+def test_places_of_hashes_that_share_a_cell():
+    """Hashes that take one cell from one another keep their numbers, and one that is as an empty cell begins is not taken as known."""
+    places, rng = lm_score.Places(), np.random.default_rng(5)
+    near = np.arange(40, dtype=np.uint64) + (np.uint64(7) << lm_score.SHIFT)
+    want = {}
+    for n in (1, 30, 200, 0, 200):
+        hashes = rng.choice(np.concatenate([near, np.zeros(1, np.uint64), places.cell[:3], rng.integers(0, 1 << 63, 20).astype(np.uint64)]), n)
+        slots, new = places.places(hashes)
+        assert sorted(slots[new].tolist()) == list(range(len(want), len(want) + len(new))) and len(set(hashes[new].tolist())) == len(new)
+        want |= dict(zip(hashes[new].tolist(), slots[new].tolist(), strict=True))
+        assert [want[h] for h in hashes.tolist()] == slots.tolist() and len(places.slot) == len(want)
+
+
+def test_words_are_counted_alike_however_few_are_remembered(spark, monkeypatch):
+    texts = [" ".join(f"W{(i * j) % 23}" for j in range(i % 11)) for i in range(90)] + ["", " ", "once"]
+    want = Counter(w.lower().encode() for t in texts for w in t.split()) + Counter({b"": len(texts)})
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    for most in (0, 5, 400_000):
+        monkeypatch.setattr(lm_score, "REMEMBERED", most)
+        rows = lm_score.word_counts(df).collect()
+        assert {bytes(r["word"]): r["c"] for r in rows} == dict(want) and len(rows) == len(want)
