@@ -17,6 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 
 BLOCK, WIDTH = 16, 16
+#: Rows of a piece of a product; bits of a nat.
+ROWS, BITS = 256, np.log2(np.e)
 #: Frequent subwords whose neighbours are counted; clusters; the classes of other beginnings of words, of
 #: continuations, and of the end.
 FREQUENT, CLUSTERS = 1024, 61
@@ -133,108 +135,140 @@ def layout(vocab: Vocabulary, ids: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return inputs.reshape(-1, BLOCK), targets.reshape(-1, BLOCK), first, owner
 
 
-def exps(z: np.ndarray, rows: int, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z - m) and its sums by row; m is the largest of a group of `rows` rows, or, where a row lies so far below
-    it that little would be left, of the row.  z becomes z - m."""
-    group = z.reshape(-1, rows * z.shape[-1])
-    group -= group.max(1, keepdims=True)
-    e = np.exp(z, out=out)
-    total = e @ np.ones((z.shape[-1], 1), dtype=z.dtype)
-    low = np.flatnonzero(total.ravel() < 1e-30)
-    if len(low):
-        low = np.unravel_index(low, z.shape[:-1])
-        z[low] -= z[low].max(1, keepdims=True)
-        e[low] = np.exp(z[low])
-        total[low] = e[low].sum(1, keepdims=True)
+class Space:
+    """Arrays by name that are written anew by each step, so that no step waits for fresh memory."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype, self.kept = dtype, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        if name not in self.kept or len(self.kept[name]) < shape[0]:
+            self.kept[name] = np.empty(shape, self.dtype)
+        return self.kept[name][: shape[0]]
+
+
+def rows(z: np.ndarray) -> np.ndarray:
+    """Rows in pieces of so many that the product of a piece needs no packing; one piece, if they do not come out even."""
+    return z.reshape(-1, len(z) if len(z) % ROWS else ROWS, z.shape[-1])
+
+
+def times(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """a @ b of many rows."""
+    np.matmul(rows(a), b, out=rows(out))
+    return out
+
+
+def gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b of many rows."""
+    return np.matmul(rows(a).transpose(0, 2, 1), rows(b)).sum(0)
+
+
+def exps(z: np.ndarray, together: int, out: np.ndarray | None = None, exp: np.ufunc = np.exp) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z - m) and its sums by row; m is 0, or, in a group of `together` rows with a sum that is very large or small, the largest of
+    each row.  z becomes z - m."""
+    with np.errstate(over="ignore"):
+        e = exp(z, out=out)
+        total = (e.reshape(-1, z.shape[-1]) @ np.ones((z.shape[-1], 1), dtype=z.dtype)).reshape(*z.shape[:-1], 1)
+    near = (total > 1e-15) & (total < 1e15)
+    if not near.all():
+        far = np.flatnonzero(~near.reshape(-1, together).all(1))
+        groups, sums, e_groups = (x.reshape(-1, together, x.shape[-1]) for x in (z, total, e))
+        part = groups[far] - groups[far].max(2, keepdims=True)
+        groups[far], e_groups[far] = part, exp(part)
+        sums[far] = e_groups[far].sum(2, keepdims=True)
     return e, total
 
 
-def forward(p: dict, inputs: np.ndarray, first: np.ndarray, before: np.ndarray | None, back: bool = False) -> dict:
-    """Activations of consecutive blocks; `before` has the ids of the block before the first; `back`: what the way back needs.
+def forward(p: dict, inputs: np.ndarray, first: np.ndarray, before: np.ndarray | None, space: Space) -> dict:
+    """Activations of consecutive blocks; `before` has the ids of the block before the first.
 
     A query meets a key only in their product, and a value is mixed at once, so each pair of matrices counts as one.
+    Queries, scores and logits are to base 2, whose powers take half the time.
     """
+    n, bits = len(inputs), p["embed"].dtype.type(BITS)
     lead = np.zeros((1, BLOCK), np.int32) if before is None else before[None]
-    x = p["embed"][np.concatenate([lead, inputs])]
-    own = x[1:]
+    x = np.take(p["embed"], np.concatenate([lead, inputs]), axis=0, out=space("x", n + 1, BLOCK, WIDTH), mode="clip")
+    own = x[1:].reshape(-1, WIDTH)
     meet = p["query"] @ p["key"].T * p["query"].dtype.type(WIDTH**-0.5)
     mix = p["value"] @ p["mixed"]
-    # each block and the one before, without a copy: their positions follow one another
-    both = np.lib.stride_tricks.as_strided(x, (len(own), 2 * BLOCK, WIDTH), x.strides, writeable=False)
-    left = right = None
-    q = (own.reshape(-1, WIDTH) @ meet).reshape(own.shape)
-    if back:  # what is multiplied on the way lies side by side: attention and its gradient, gradients of what it gathers and queries
-        left, right = np.empty((len(own), 2 * BLOCK, 2 * BLOCK), x.dtype), np.empty((len(own), 2 * BLOCK, WIDTH), x.dtype)
-        right[:, BLOCK:] = q
-    a = q @ both.transpose(0, 2, 1)
-    a += p["back"][BACK] + HIDDEN
+    # each block and the one before, without a copy: their positions follow one another; products with it turned round are faster of a copy
+    both = np.lib.stride_tricks.as_strided(x, (n, 2 * BLOCK, WIDTH), x.strides, writeable=False)
+    turned = space("turned", n, WIDTH, 2 * BLOCK)
+    turned[:, :, :BLOCK], turned[:, :, BLOCK:] = x[:-1].transpose(0, 2, 1), x[1:].transpose(0, 2, 1)
+    q = times(own, meet * bits, space("q", len(own), WIDTH)).reshape(n, BLOCK, WIDTH)
+    a = np.matmul(q, turned, out=space("scores", n, BLOCK, 2 * BLOCK))
+    a += bits * p["back"][BACK] + HIDDEN
     a[first, :, :BLOCK] = -1e9
-    a, total = exps(a, BLOCK, left[:, :BLOCK] if back else None)
-    o = a @ both
+    a, total = exps(a, BLOCK, space("a", *a.shape), np.exp2)
+    o = np.matmul(a, both, out=space("o", n, BLOCK, WIDTH))
     o /= total
-    h = o.reshape(-1, WIDTH) @ mix
-    h += own.reshape(-1, WIDTH)
-    logits = h @ p["out"]
-    logits += p["bias"]
-    return {"x": x, "both": both, "meet": meet, "mix": mix, "left": left, "right": right, "total": total, "o": o, "h": h, "logits": logits}
+    h = times(o.reshape(-1, WIDTH), mix, space("h", len(own), WIDTH))
+    h += own
+    logits = times(h, bits * p["out"], space("logits", len(own), CLASSES))
+    logits += bits * p["bias"]
+    return {"x": x, "both": both, "turned": turned, "meet": meet, "mix": mix, "q": q, "a": a, "total": total, "o": o, "h": h, "logits": logits}
 
 
 def log10_probabilities(p: dict, vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, together: int = 256) -> np.ndarray:
     """Of each block, the sum over its targets."""
-    out = np.zeros(len(inputs))
+    out, space = np.zeros(len(inputs)), Space(p["embed"].dtype)
     for i in range(0, len(inputs), together):
         part = slice(i, i + together)
-        logits = forward(p, inputs[part], first[part], inputs[i - 1] if i else None)["logits"]
+        logits = forward(p, inputs[part], first[part], inputs[i - 1] if i else None, space)["logits"]
         t = targets[part].ravel()
-        _, total = exps(logits, BLOCK)
-        picked = logits[np.arange(len(t)), vocab.group[t]].astype(np.float64)
-        picked -= np.log(total[:, 0])
-        picked *= 1 / np.log(10)
+        _, total = exps(logits, BLOCK, space("e", *logits.shape), np.exp2)
+        picked = logits.ravel()[np.arange(0, logits.size, CLASSES) + vocab.group[t]].astype(np.float64)
+        picked -= np.log2(total[:, 0])
+        picked *= np.log10(2)
         picked += vocab.share[t]
         picked[t < 0] = 0
         out[part] = picked.reshape(-1, BLOCK).sum(1)
     return out
 
 
-def gradients(p: dict, vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, with_loss: bool = False) -> tuple[dict, np.ndarray, float | None]:
+def gradients(p: dict, vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, with_loss: bool = False, space: Space | None = None) -> tuple[dict, np.ndarray, float | None]:
     """Of the mean negative log-likelihood of the targets' classes.  That of `embed` has a row for each id in the
     second result."""
-    f = forward(p, inputs, first, None, back=True)
+    space = space or Space(p["embed"].dtype)
+    f = forward(p, inputs, first, None, space)
     t = targets.ravel()
     real = t >= 0
     n = max(1, int(real.sum()))
-    d, total = exps(f["logits"], BLOCK)
-    cell = np.arange(len(t)) * CLASSES + vocab.group[t]
+    d, total = exps(f["logits"], BLOCK, space("d", *f["logits"].shape), np.exp2)
+    cell = np.arange(0, d.size, CLASSES) + vocab.group[t]
     loss = -np.log(np.maximum(d.ravel()[cell] / total[:, 0], 1e-30)[real]).sum() / n if with_loss else None
     d.ravel()[cell] -= total[:, 0]  # the gradient of the logits, times the sum of the row; what it is multiplied by is narrower
     d[~real] = 0
     flat = lambda z: z.reshape(-1, z.shape[-1])
-    g = {"out": (f["h"] / total).T @ d, "bias": ((1 / total).T @ d)[0]}
-    dh = d @ p["out"].T
+    x, both, a, o, q = f["x"], f["both"], f["a"], f["o"], f["q"]
+    g = {"out": gram(np.divide(f["h"], total, out=space("narrow", *f["h"].shape)), d), "bias": ((1 / total).T @ d)[0]}
+    dh = times(d, np.ascontiguousarray(p["out"].T), space("dh", *f["h"].shape))
     dh /= total
-    x, both, left, right, o = f["x"], f["both"], f["left"], f["right"], f["o"]
-    a, ds, do = left[:, :BLOCK], left[:, BLOCK:], right[:, :BLOCK]
-    dmix = flat(o).T @ dh
-    np.divide((dh @ f["mix"].T).reshape(do.shape), f["total"], out=do)  # so a need not be divided
-    np.matmul(do, both.transpose(0, 2, 1), out=ds)
+    dmix = gram(flat(o), dh)
+    do = times(dh, np.ascontiguousarray(f["mix"].T), space("do", *dh.shape)).reshape(o.shape)
+    do /= f["total"]  # so a need not be divided
+    ds = np.matmul(do, f["turned"], out=space("ds", *a.shape))
     ds -= np.einsum("ijk,ijk->ij", o, do)[:, :, None]  # the mean of the gradient under a
     ds *= a
     g["back"] = np.bincount(BACK.ravel(), weights=ds.sum(0).ravel(), minlength=2 * BLOCK)
-    dq = flat(ds @ both)
-    dboth = left.transpose(0, 2, 1) @ right
-    dmeet = flat(x[1:]).T @ dq * p["query"].dtype.type(WIDTH**-0.5)
+    dq = flat(np.matmul(ds, both, out=space("dq", *o.shape)))
+    q *= q.dtype.type(1 / BITS)
+    dboth = np.matmul(a.transpose(0, 2, 1), do, out=space("dboth", *both.shape))
+    dboth += np.matmul(ds.transpose(0, 2, 1), q, out=space("dkeys", *both.shape))
+    dmeet = gram(flat(x[1:]), dq) * p["query"].dtype.type(WIDTH**-0.5)
     g["query"], g["key"] = dmeet @ p["key"], dmeet.T @ p["query"]
     g["value"], g["mixed"] = dmix @ p["mixed"].T, p["value"].T @ dmix
-    dh += dq @ f["meet"].T
-    dx = np.zeros_like(x)
+    dh += times(dq, np.ascontiguousarray(f["meet"].T), space("narrow", *dq.shape))
+    dx = space("dx", *x.shape)
+    dx[:1] = 0
     np.add(dboth[:, BLOCK:], dh.reshape(-1, BLOCK, WIDTH), out=dx[1:])
     dx[:-1] += dboth[:, :BLOCK]
     seen = np.concatenate([np.zeros((1, BLOCK), np.int32), inputs]).ravel()
     order = np.argsort(seen.astype(np.uint16) if len(p["embed"]) <= 1 << 16 else seen, kind="stable")  # short keys are sorted by digits
     seen = seen[order]
     begin = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
-    ids, g["embed"] = seen[begin], np.add.reduceat(flat(dx)[order], begin, axis=0)
-    return {k: (v / n).astype(dx.dtype) for k, v in g.items()}, ids, loss
+    ids, g["embed"] = seen[begin], np.add.reduceat(np.take(flat(dx), order, axis=0, out=space("sorted", len(order), WIDTH), mode="clip"), begin, axis=0)
+    return {k: (v / n).astype(dx.dtype, copy=False) for k, v in g.items()}, ids, loss
 
 
 def train(p: dict, vocab: Vocabulary, groups: Iterable[list[np.ndarray]], rate: float = 0.01, together: int = 256) -> tuple[dict, np.ndarray, int]:
@@ -244,6 +278,7 @@ def train(p: dict, vocab: Vocabulary, groups: Iterable[list[np.ndarray]], rate:
     p = unpack(rest, p) | {"embed": embed}
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in (("embed", embed), ("rest", rest))}
     used = np.zeros(len(embed), dtype=np.int64)
+    space = Space(embed.dtype)
     step = n = 0
 
     def moved(k: str, at: np.ndarray | slice, g: np.ndarray) -> np.ndarray:
@@ -273,7 +308,7 @@ def train(p: dict, vocab: Vocabulary, groups: Iterable[list[np.ndarray]], rate:
             part = slice(i, i + together)
             head = first[part].copy()
             head[:1] = True
-            g, ids, _ = gradients(p, vocab, inputs[part], targets[part], head)
+            g, ids, _ = gradients(p, vocab, inputs[part], targets[part], head, space=space)
             embed[ids] -= moved("embed", ids, g["embed"])
             rest -= moved("rest", slice(None), pack(g))
     return p, used, n

@@ -214,14 +214,14 @@ class Inside:
         share = np.where(spaced, 0.0, own + 0.5)
         return Inside(pairs[order], counts[order], np.bincount(before, weights=counts, minlength=len(own)) if after is None else after, share / max(share.sum(), 0.5))
 
-    def log10(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        pairs = before.astype(np.int64) << 32 | ids
+    def seen(self, pairs: np.ndarray) -> np.ndarray:
+        """The count of each pair, 0 if it is not among these."""
         at_ = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
-        known = np.where(self.pairs[at_] == pairs, self.counts[at_], 0) if len(self.pairs) else np.zeros(len(pairs))
-        return np.log10((known + SMOOTH * self.share[ids]) / (self.after[before] + SMOOTH))
+        return np.where(self.pairs[at_] == pairs, self.counts[at_], 0) if len(self.pairs) else np.zeros(len(pairs), np.int64)
 
-    def lacks(self, pairs: np.ndarray) -> np.ndarray:
-        return pairs[~np.isin(pairs, self.pairs)] if len(self.pairs) else pairs
+    def log10(self, before: np.ndarray, ids: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+        seen = self.seen(before.astype(np.int64) << 32 | ids) if seen is None else seen
+        return np.log10((seen + SMOOTH * self.share[ids]) / (self.after[before] + SMOOTH))
 
     def gain(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """What the count of a pair that is not among these adds to its log10 probability."""
@@ -250,9 +250,10 @@ class Spelled(Places):
             flat, lengths = spell(self.enc, w.raw, w.starts[new], w.ends[new])
             owner = np.repeat(np.arange(len(new)), lengths)
             on = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-            self.logs = np.append(self.logs, np.bincount(owner[on], weights=self.inside.log10(flat[on - 1], flat[on]), minlength=len(new)))
             pairs = flat[on - 1].astype(np.int64) << 32 | flat[on]
-            lacking = np.isin(pairs, self.inside.lacks(np.unique(pairs)))
+            seen = self.inside.seen(pairs)
+            lacking = seen == 0
+            self.logs = np.append(self.logs, np.bincount(owner[on], weights=self.inside.log10(flat[on - 1], flat[on], seen), minlength=len(new)))
             self.rare = np.append(self.rare, pairs[lacking])
             self.rare_bounds = np.append(self.rare_bounds, self.rare_bounds[-1] + np.cumsum(np.bincount(owner[on][lacking], minlength=len(new))))
             self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(lengths))
@@ -408,30 +409,23 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, c = known_words.value
         spelled = Spelled(encoder(path, pattern), known_pairs.value, known, np.log10((c + 0.5) / denominator) if n else np.zeros(len(c)))
-        names = ["id", "key", "held_out", "n_tokens", "n_known", "part", "inside", "h", "pair", "ids"]
+        names = ["id", "key", "held_out", "n_tokens", "n_known", "part", "inside", "rare", "pairs", "ids"]
         for batch, raw, off in chunks(batches, "text"):
             w = Words(raw, off, lower=True)
             hashes, mine = w.hashes(), w.text_of_word()
             flat, many, going_on, base = spelled(w, hashes)
             unseen, rares = spelled.unseen()
-            bounds = np.concatenate([[0], np.cumsum(many)])[w.bounds].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
             hit = ~np.isnan(base)
             part = np.bincount(mine, weights=np.where(hit, base, 0.0), minlength=batch.num_rows)
             n_hit = np.bincount(mine[hit], minlength=batch.num_rows)
-            nulls = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(w.counts + 1), pa.array(n_hit), pa.array(part), pa.array(np.bincount(mine, weights=going_on, minlength=batch.num_rows)), nulls(batch.num_rows, pa.int64()), nulls(batch.num_rows, pa.int64()), lists], names)
-            rare, texts_ = np.flatnonzero(~hit), batch.column(0).to_numpy()
-            for of, h, pair in ((mine[rare], i64(hashes[rare]), None), (np.repeat(mine, rares), None, unseen)):
-                k = len(of)
-                looked_up = [nulls(k, pa.int64()) if c is None else pa.array(c) for c in (h, pair)]
-                yield pa.RecordBatch.from_arrays([pa.array(texts_[of]), nulls(k, batch.column(1).type), nulls(k, pa.bool_()), nulls(k, pa.int64()), nulls(k, pa.int64()), nulls(k, pa.float64()), nulls(k, pa.float64()), *looked_up, nulls(k, lists.type)], names)
+            # lists of a text: hashes of the words and pairs that meet their counts in a join, and all its subwords
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])[w.bounds].astype(np.int32)), pa.array(x)) for n, x in ((~hit, i64(hashes[~hit])), (rares, unseen), (many, flat))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(w.counts + 1), pa.array(n_hit), pa.array(part), pa.array(np.bincount(mine, weights=going_on, minlength=batch.num_rows)), *lists], names)
 
     kind = rows.schema["key"].dataType.simpleString()
     whole = rows.select(F.monotonically_increasing_id().alias("id"), "key", "text", "held_out")
-    encoded = scratch.keep(whole.mapInArrow(encode, f"id long, key {kind}, held_out boolean, n_tokens long, n_known long, part double, inside double, h long, pair long, ids array<int>"), "encoded")
-    texts = encoded.filter("h is null and pair is null")
-    learnt = texts.filter("not held_out").select("ids")
+    encoded = scratch.keep(whole.mapInArrow(encode, f"id long, key {kind}, held_out boolean, n_tokens long, n_known long, part double, inside double, rare array<long>, pairs array<long>, ids array<int>"), "encoded")
+    learnt = encoded.filter("not held_out").select("ids")
     after = neighbours(learnt, frequent, size)
     vocab = at.vocabulary(ids.astype(np.float64), spaced, after, frequent)
     params = at.start(vocab, after, np.bincount(vocab.group, weights=ids, minlength=at.CLASSES), frequent)
@@ -447,8 +441,8 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lm)], [*batch.schema.names[:-2], "score"])
 
     columns = ["id", "key", "held_out", "n_tokens", "n_known", "part", "inside"]
-    scored = scratch.keep(texts.select(*columns, "ids").mapInArrow(judge, f"id long, key {kind}, held_out boolean, n_tokens long, n_known long, part double, score double"), "scored")
-    rare = encoded.filter("h is not null").select("id", "h").join(counts.select("h", "c"), "h", "left")
+    scored = scratch.keep(encoded.select(*columns, "ids").mapInArrow(judge, f"id long, key {kind}, held_out boolean, n_tokens long, n_known long, part double, score double"), "scored")
+    rare = encoded.select("id", F.explode("rare").alias("h")).join(counts.select("h", "c"), "h", "left")
     value = lambda c: F.log10((c + 0.5) / F.lit(float(denominator)))
     sums = rare.groupBy("id").agg(F.sum(value(F.coalesce("c", F.lit(0)))).alias("more"), F.count("c").alias("known"))
     sums = scratch.keep(sums.withColumnRenamed("id", "i"), "sums")
@@ -459,7 +453,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
             yield pa.RecordBatch.from_arrays([pa.array(before.astype(np.int64) << 32 | ids), pa.array(known_pairs.value.gain(ids, c))], ["pair", "gain"])
 
     seldom = pieces.filter((F.col("before") >= 0) & ~often).select("before", "id", "c").mapInArrow(gains, "pair long, gain double")
-    more = scratch.keep(encoded.filter("pair is not null").select(F.col("id").alias("j"), "pair").join(seldom, "pair").groupBy("j").agg(F.sum("gain").alias("gain")), "gains")
+    more = scratch.keep(encoded.select(F.col("id").alias("j"), F.explode("pairs").alias("pair")).join(seldom, "pair").groupBy("j").agg(F.sum("gain").alias("gain")), "gains")
     scratch.drop("encoded")
     ends = counts.filter(F.length("word") == 0).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
     out = scored.join(sums, F.col("id") == F.col("i"), "left").join(more, F.col("id") == F.col("j"), "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0)))
