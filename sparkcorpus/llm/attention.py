@@ -119,19 +119,23 @@ def blocks(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def layout(vocab: Vocabulary, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Input and target ids by block (-1: none), first blocks, and owners."""
-    lengths = np.array([len(x) + 1 for x in ids], dtype=np.int64)
+    return laid_out(vocab, np.concatenate([np.zeros(0, np.int64), *ids]), np.cumsum([0, *map(len, ids)]))
+
+
+def laid_out(vocab: Vocabulary, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of texts that lie one after the other, by their offsets."""
+    lengths = np.diff(off) + 1
     place, first, owner = blocks(lengths)
     inputs = np.zeros(len(first) * BLOCK, dtype=np.int32)
     targets = np.full(len(first) * BLOCK, -1, dtype=np.int64)
-    ends = np.cumsum(lengths) - 1
-    flat = np.full(int(lengths.sum()), vocab.end, dtype=np.int64)
-    body = np.ones(len(flat), dtype=bool)
-    body[ends] = False
-    flat[body] = np.concatenate([np.zeros(0, np.int64), *ids]) if ids else []
-    seen = np.empty(len(flat), dtype=np.int32)
-    seen[1:] = flat[:-1]
-    seen[(ends + 1 - lengths)] = vocab.end + 1
-    inputs[place], targets[place] = seen, flat
+    begins = off[:-1] + np.arange(len(lengths))  # of each text with its end
+    body = np.ones(len(place), dtype=bool)
+    body[begins + lengths - 1] = False
+    targets[place[body]], targets[place[~body]] = ids, vocab.end
+    # an input is the target before it; blocks of a text follow one another
+    inputs[1:] = targets[:-1]
+    inputs[place[begins]] = vocab.end + 1
+    inputs[targets < 0] = 0
     return inputs.reshape(-1, BLOCK), targets.reshape(-1, BLOCK), first, owner
 
 
@@ -163,24 +167,43 @@ def gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.matmul(rows(a).transpose(0, 2, 1), rows(b)).sum(0)
 
 
-def exps(z: np.ndarray, together: int, out: np.ndarray | None = None, exp: np.ufunc = np.exp) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z - m) and its sums by row; m is 0, or, in a group of `together` rows with a sum that is very large or small, the largest of
-    each row.  z becomes z - m."""
-    with np.errstate(over="ignore"):
+def exps(z: np.ndarray, together: int, out: np.ndarray | None = None, exp: np.ufunc = np.exp, bias: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z - m), and the sums of exp(z + bias - m) by row; m is 0, or, in a group of `together` rows with a sum that is very large or
+    small, the largest of each row.  z becomes z - m, or, where the bias leaves nothing of it, less."""
+    weight = exp(np.zeros(z.shape[-1], z.dtype) + bias)[:, None]
+    with np.errstate(over="ignore", invalid="ignore"):
         e = exp(z, out=out)
-        total = (e.reshape(-1, z.shape[-1]) @ np.ones((z.shape[-1], 1), dtype=z.dtype)).reshape(*z.shape[:-1], 1)
+        total = (e.reshape(-1, z.shape[-1]) @ weight).reshape(*z.shape[:-1], 1)
     near = (total > 1e-15) & (total < 1e15)
     if not near.all():
         far = np.flatnonzero(~near.reshape(-1, together).all(1))
         groups, sums, e_groups = (x.reshape(-1, together, x.shape[-1]) for x in (z, total, e))
-        part = groups[far] - groups[far].max(2, keepdims=True)
+        part = groups[far]
+        part = np.minimum(part - (part + bias).max(2, keepdims=True), 60)
         groups[far], e_groups[far] = part, exp(part)
-        sums[far] = e_groups[far].sum(2, keepdims=True)
+        sums[far] = e_groups[far] @ weight
     return e, total
 
 
+def attend(scores: np.ndarray, back: np.ndarray, first: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """2 ** (scores + back) of blocks, and its sums by row, or of what `exps` makes of it.  back: by query and key, -1e9 for hidden ones.
+
+    Powers of such numbers take far longer than others, so hidden keys are cleared after it.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        a = np.exp2(scores, out=space("a", *scores.shape))
+        a *= np.exp2(back)
+        a[first, :, :BLOCK] = 0
+        total = (a.reshape(-1, 2 * BLOCK) @ np.ones((2 * BLOCK, 1), a.dtype)).reshape(*a.shape[:2], 1)
+    if ((total > 1e-15) & (total < 1e15)).all():
+        return a, total
+    scores += back
+    scores[first, :, :BLOCK] = -1e9
+    return exps(scores, BLOCK, a, np.exp2)
+
+
 def forward(p: dict, inputs: np.ndarray, first: np.ndarray, before: np.ndarray | None, space: Space) -> dict:
-    """Activations of consecutive blocks; `before` has the ids of the block before the first.
+    """Activations of consecutive blocks, logits without their bias; `before` has the ids of the block before the first.
 
     A query meets a key only in their product, and a value is mixed at once, so each pair of matrices counts as one.
     Queries, scores and logits are to base 2, whose powers take half the time.
@@ -197,30 +220,28 @@ def forward(p: dict, inputs: np.ndarray, first: np.ndarray, before: np.ndarray |
     turned[:, :, :BLOCK], turned[:, :, BLOCK:] = x[:-1].transpose(0, 2, 1), x[1:].transpose(0, 2, 1)
     q = times(own, meet * bits, space("q", len(own), WIDTH)).reshape(n, BLOCK, WIDTH)
     a = np.matmul(q, turned, out=space("scores", n, BLOCK, 2 * BLOCK))
-    a += bits * p["back"][BACK] + HIDDEN
-    a[first, :, :BLOCK] = -1e9
-    a, total = exps(a, BLOCK, space("a", *a.shape), np.exp2)
+    a, total = attend(a, bits * p["back"][BACK] + HIDDEN, first, space)
     o = np.matmul(a, both, out=space("o", n, BLOCK, WIDTH))
     o /= total
     h = times(o.reshape(-1, WIDTH), mix, space("h", len(own), WIDTH))
     h += own
     logits = times(h, bits * p["out"], space("logits", len(own), CLASSES))
-    logits += bits * p["bias"]
     return {"x": x, "both": both, "turned": turned, "meet": meet, "mix": mix, "q": q, "a": a, "total": total, "o": o, "h": h, "logits": logits}
 
 
 def log10_probabilities(p: dict, vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, together: int = 256) -> np.ndarray:
     """Of each block, the sum over its targets."""
-    out, space = np.zeros(len(inputs)), Space(p["embed"].dtype)
+    out, space, bias = np.zeros(len(inputs)), Space(p["embed"].dtype), p["bias"] * p["bias"].dtype.type(BITS)
+    share = vocab.share + bias[vocab.group] * np.log10(2)  # of each id: what does not depend on its place
     for i in range(0, len(inputs), together):
         part = slice(i, i + together)
         logits = forward(p, inputs[part], first[part], inputs[i - 1] if i else None, space)["logits"]
         t = targets[part].ravel()
-        _, total = exps(logits, BLOCK, space("e", *logits.shape), np.exp2)
+        _, total = exps(logits, BLOCK, space("e", *logits.shape), np.exp2, bias)
         picked = logits.ravel()[np.arange(0, logits.size, CLASSES) + vocab.group[t]].astype(np.float64)
         picked -= np.log2(total[:, 0])
         picked *= np.log10(2)
-        picked += vocab.share[t]
+        picked += share[t]
         picked[t < 0] = 0
         out[part] = picked.reshape(-1, BLOCK).sum(1)
     return out
@@ -234,15 +255,17 @@ def gradients(p: dict, vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarra
     t = targets.ravel()
     real = t >= 0
     n = max(1, int(real.sum()))
-    d, total = exps(f["logits"], BLOCK, space("d", *f["logits"].shape), np.exp2)
+    # what d is multiplied by has the weights that biases make, so d itself need not
+    d, total = exps(f["logits"], BLOCK, space("d", *f["logits"].shape), np.exp2, p["bias"] * p["bias"].dtype.type(BITS))
+    weight = np.exp(p["bias"])
     cell = np.arange(0, d.size, CLASSES) + vocab.group[t]
-    loss = -np.log(np.maximum(d.ravel()[cell] / total[:, 0], 1e-30)[real]).sum() / n if with_loss else None
-    d.ravel()[cell] -= total[:, 0]  # the gradient of the logits, times the sum of the row; what it is multiplied by is narrower
+    loss = -np.log(np.maximum(d.ravel()[cell] * weight[vocab.group[t]] / total[:, 0], 1e-30)[real]).sum() / n if with_loss else None
+    d.ravel()[cell] -= total[:, 0] / weight[vocab.group[t]]  # the gradient of the logits, times the sum of the row; what it is multiplied by is narrower
     d[~real] = 0
     flat = lambda z: z.reshape(-1, z.shape[-1])
     x, both, a, o, q = f["x"], f["both"], f["a"], f["o"], f["q"]
-    g = {"out": gram(np.divide(f["h"], total, out=space("narrow", *f["h"].shape)), d), "bias": ((1 / total).T @ d)[0]}
-    dh = times(d, np.ascontiguousarray(p["out"].T), space("dh", *f["h"].shape))
+    g = {"out": gram(np.divide(f["h"], total, out=space("narrow", *f["h"].shape)), d) * weight, "bias": ((1 / total).T @ d)[0] * weight}
+    dh = times(d, np.ascontiguousarray((p["out"] * weight).T), space("dh", *f["h"].shape))
     dh /= total
     dmix = gram(flat(o), dh)
     do = times(dh, np.ascontiguousarray(f["mix"].T), space("do", *dh.shape)).reshape(o.shape)
@@ -271,8 +294,8 @@ def gradients(p: dict, vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarra
     return {k: (v / n).astype(dx.dtype, copy=False) for k, v in g.items()}, ids, loss
 
 
-def train(p: dict, vocab: Vocabulary, groups: Iterable[list[np.ndarray]], rate: float = 0.01, together: int = 256) -> tuple[dict, np.ndarray, int]:
-    """One pass of Adam over groups of texts, some blocks at a time; how often each input vector was seen, and
+def train(p: dict, vocab: Vocabulary, groups: Iterable[tuple[np.ndarray, np.ndarray]], rate: float = 0.01, together: int = 256) -> tuple[dict, np.ndarray, int]:
+    """One pass of Adam over groups of texts (their ids and offsets), some blocks at a time; how often each input vector was seen, and
     how many targets there were.  Of the input vectors, those of a step's ids are moved."""
     embed, rest = p["embed"].copy(), pack(p)
     p = unpack(rest, p) | {"embed": embed}
@@ -299,8 +322,8 @@ def train(p: dict, vocab: Vocabulary, groups: Iterable[list[np.ndarray]], rate:
         by *= np.float32(rate / (1 - 0.9**step))
         return by
 
-    for texts in groups:
-        inputs, targets, first, _ = layout(vocab, texts)
+    for flat, off in groups:
+        inputs, targets, first, _ = laid_out(vocab, flat, off)
         n += int((targets >= 0).sum())
         used += np.bincount(inputs[targets >= 0], minlength=len(used))
         for i in range(0, len(inputs), together):

@@ -278,16 +278,21 @@ class Spelled(Places):
         return np.arange(int(many.sum())) + np.repeat(begin - (np.cumsum(many) - many), many), many
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with the ids of their texts (the last column) and the offsets of these."""
+def packing(size: int) -> np.dtype:
+    """How subwords lie in the bytes of a text's row, which Spark copies as a whole."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with the ids of their texts (packed in the last column) and the offsets of these."""
     for batch in batches:
-        lists = batch.column(batch.num_columns - 1)
-        flat, off = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        raw, off = strings_of(batch.column(batch.num_columns - 1))
+        flat, off = raw.view(packing(size)), off // packing(size).itemsize
         begin = 0
         while begin < batch.num_rows:
             end = max(begin + 1, int(np.searchsorted(off, off[begin] + GROUP_IDS, side="right")) - 1)
             end = min(end, batch.num_rows)
-            yield batch.slice(begin, end - begin), flat[off[begin] : off[end]].astype(np.int64), off[begin : end + 1] - off[begin]
+            yield batch.slice(begin, end - begin), flat[off[begin] : off[end]], off[begin : end + 1] - off[begin]
             begin = end
 
 
@@ -298,7 +303,7 @@ def neighbours(learnt: DataFrame, frequent: np.ndarray, size: int) -> np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(frequent) ** 2, dtype=np.int64)
-        for _, ids, off in groups(batches):
+        for _, ids, off in groups(batches, size):
             flat = place[ids]
             pair = np.ones(max(len(flat) - 1, 0), dtype=bool)
             inner = off[1:-1]
@@ -314,15 +319,16 @@ def neighbours(learnt: DataFrame, frequent: np.ndarray, size: int) -> np.ndarray
     return out.reshape(len(frequent), len(frequent))
 
 
-def dealt(learnt: DataFrame, scratch: Scratch, most: int | None = None) -> DataFrame:
-    """(bucket, fp, ids): texts in buckets of about `most` subwords and ends, which depend on the texts alone.
+def dealt(learnt: DataFrame, scratch: Scratch, most: int | None = None, width: int | None = None) -> DataFrame:
+    """(bucket, fp, ids): texts in buckets of about `most` subwords and ends, which depend on the texts alone.  width: bytes of a
+    subword, if ids are packed.
 
     Equal texts have one fingerprint and go to one bucket, unless together they have more than `most`: of these, at most as many as
     buckets, one is kept with the number of its copies, and the copies are dealt one by one.
     """
     most = most or LEARNT_IDS
     texts = learnt.select(F.xxhash64("ids").alias("fp"), "ids")
-    tokens = F.size("ids").cast("long") + 1
+    tokens = (F.size("ids") if width is None else F.octet_length("ids") / width).cast("long") + 1
     same = scratch.keep(texts.groupBy("fp").agg(F.count("*").alias("copies"), F.sum(tokens).alias("n")), "same")
     buckets = -(-(same.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // most) or 1
     many = F.broadcast(same.filter(F.col("n") > most).select(F.col("fp").alias("f"), "copies", "n"))  # at most a row a bucket
@@ -341,12 +347,12 @@ def averaged(learnt: DataFrame, p: dict, vocab: at.Vocabulary, scratch: Scratch)
     """The mean of what each bucket makes of the weights in a pass over its own, in the order of fingerprints: by subwords and
     ends, or, of an input vector, by how often the bucket had it; and how many subwords and ends these were."""
     shared = learnt.sparkSession.sparkContext.broadcast((p, vocab))
-    names = [f"x{i}" for i in range(at.WIDTH)]
+    names, size = [f"x{i}" for i in range(at.WIDTH)], len(vocab.group)
 
     def learn(bucket: pa.Table) -> pa.Table:
         order = np.argsort(bucket.column("fp").to_numpy(), kind="stable")  # those with one fingerprint are equal
         texts = bucket.select(["ids"]).take(pa.array(order)).combine_chunks().to_batches()
-        params, used, n = at.train(*shared.value, (np.split(ids, off[1:-1]) for _, ids, off in groups(texts)))
+        params, used, n = at.train(*shared.value, ((ids, off) for _, ids, off in groups(texts, size)))
         rest = at.pack(params)
         rest = np.append(rest, np.zeros(-len(rest) % at.WIDTH, rest.dtype)).reshape(-1, at.WIDTH)
         some = np.flatnonzero(used)
@@ -355,7 +361,7 @@ def averaged(learnt: DataFrame, p: dict, vocab: at.Vocabulary, scratch: Scratch)
         where = np.concatenate([-1 - np.arange(len(rest)), some])
         return pa.Table.from_arrays([pa.array(where.astype(np.int32)), pa.array(weights), *[pa.array(x) for x in np.ascontiguousarray(rows.T)]], ["at", "n", *names])
 
-    made = dealt(learnt, scratch).groupBy("bucket").applyInArrow(learn, f"at int, n long, {', '.join(f'{x} double' for x in names)}")
+    made = dealt(learnt, scratch, width=packing(size).itemsize).groupBy("bucket").applyInArrow(learn, f"at int, n long, {', '.join(f'{x} double' for x in names)}")
     sums = made.groupBy("at").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
     got = sums.toArrow().sort_by("at")  # at most a row for each subword, and those of the other weights
     scratch.drop("same")
@@ -419,12 +425,14 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
             part = np.bincount(mine, weights=np.where(hit, base, 0.0), minlength=batch.num_rows)
             n_hit = np.bincount(mine[hit], minlength=batch.num_rows)
             # lists of a text: hashes of the words and pairs that meet their counts in a join, and all its subwords
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])[w.bounds].astype(np.int32)), pa.array(x)) for n, x in ((~hit, i64(hashes[~hit])), (rares, unseen), (many, flat))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(w.counts + 1), pa.array(n_hit), pa.array(part), pa.array(np.bincount(mine, weights=going_on, minlength=batch.num_rows)), *lists], names)
+            bounds = lambda n, k=1: (k * np.concatenate([[0], np.cumsum(n)])[w.bounds]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(bounds(n)), pa.array(x)) for n, x in ((~hit, i64(hashes[~hit])), (rares, unseen))]
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(bounds(many, packing(size).itemsize)), pa.py_buffer(flat.astype(packing(size)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(w.counts + 1), pa.array(n_hit), pa.array(part), pa.array(np.bincount(mine, weights=going_on, minlength=batch.num_rows)), *lists, packed], names)
 
     kind = rows.schema["key"].dataType.simpleString()
     whole = rows.select(F.monotonically_increasing_id().alias("id"), "key", "text", "held_out")
-    encoded = scratch.keep(whole.mapInArrow(encode, f"id long, key {kind}, held_out boolean, n_tokens long, n_known long, part double, inside double, rare array<long>, pairs array<long>, ids array<int>"), "encoded")
+    encoded = scratch.keep(whole.mapInArrow(encode, f"id long, key {kind}, held_out boolean, n_tokens long, n_known long, part double, inside double, rare array<long>, pairs array<long>, ids binary"), "encoded")
     learnt = encoded.filter("not held_out").select("ids")
     after = neighbours(learnt, frequent, size)
     vocab = at.vocabulary(ids.astype(np.float64), spaced, after, frequent)
@@ -434,8 +442,8 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, voc = shared.value
-        for batch, flat, off in groups(batches):
-            inputs, targets, first, owner = at.layout(voc, np.split(flat, off[1:-1]))
+        for batch, flat, off in groups(batches, size):
+            inputs, targets, first, owner = at.laid_out(voc, flat, off)
             lm = np.bincount(owner, weights=at.log10_probabilities(p, voc, inputs, targets, first), minlength=batch.num_rows)
             lm += batch.column("inside").to_numpy()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lm)], [*batch.schema.names[:-2], "score"])

@@ -347,3 +347,60 @@ def test_words_are_counted_alike_however_few_are_remembered(spark, monkeypatch):
         monkeypatch.setattr(lm_score, "REMEMBERED", most)
         rows = lm_score.word_counts(df).collect()
         assert {bytes(r["word"]): r["c"] for r in rows} == dict(want) and len(rows) == len(want)
+
+
+def test_steps_that_share_memory_score_and_learn_as_alone():
+    """A step's arrays are written again by a smaller and a larger one; pieces of products that come out even and those that do not agree."""
+    vocab, p, rng = small(6)
+    space = at.Space(p["embed"].dtype)
+    for n in (700, 30, 256 * 3 - 1, 900):
+        inputs, targets, first, _ = at.layout(vocab, [rng.integers(0, 40, n)])
+        alone, shared = (at.gradients(p, vocab, inputs, targets, first, with_loss=True, space=s) for s in (None, space))
+        assert (alone[1] == shared[1]).all() and alone[2] == shared[2]
+        assert all(np.array_equal(alone[0][k], shared[0][k]) for k in alone[0])
+        whole, parts = (at.log10_probabilities(p, vocab, inputs, targets, first, together=k).sum() for k in (256, 3))
+        assert abs(whole - parts) < 1e-3 and abs(whole + alone[2] * (n + 1) / np.log(10) - vocab.share[targets[targets >= 0]].sum()) < 1e-2
+
+
+def test_weights_of_keys_whatever_the_scores():
+    """Hidden keys have none, also where scores leave what 32 bits hold and where a hidden key has the largest."""
+    rng, first = np.random.default_rng(7), np.array([True, False, False, True])
+    for scale in (1, 30, 1e4):
+        scores = (rng.normal(0, scale, (4, at.BLOCK, 2 * at.BLOCK))).astype(np.float32)
+        scores[1, :, -1] += 50 * scale
+        back = np.where(at.mask(), -1e9, -0.1 * at.BACK).astype(np.float32)
+        want = scores.astype(float) + back
+        want[first, :, : at.BLOCK] = -1e9
+        want = np.exp2(want - want.max(2, keepdims=True))
+        a, total = at.attend(scores, back, first, at.Space(scores.dtype))
+        assert np.allclose(a / total, want / want.sum(2, keepdims=True), atol=1e-3 if scale > 1e3 else 1e-5)
+
+
+def test_sums_of_exponentials_with_a_bias():
+    z = np.array([[0, 1, -3, 0], [400, 380, 390, 0], [-500, -520, -490, 0], [-1e4, -2e4, -3e4, 0]], dtype=np.float32)
+    bias = np.array([-1, -2, 0.5, -1e9], dtype=np.float32)  # nothing is in the last class
+    want = z + bias.astype(float)
+    want = np.exp(want - want.max(1, keepdims=True))
+    for rows in (1, 2, 4):
+        e, total = at.exps(z.copy(), rows, bias=bias)
+        assert np.allclose(e * np.exp(bias) / total, want / want.sum(1, keepdims=True), atol=1e-6)
+
+
+def test_a_text_is_one_row_whatever_words_it_has(spark, monkeypatch):
+    """Words and pairs of subwords that meet their counts in a join are lists of their text's row, not rows with a null in all other columns."""
+    kept, real = {}, lm_score.Scratch.keep
+
+    def keep(self, df, name):
+        kept[name] = real(self, df, name)
+        if name == "encoded":
+            kept["rows"] = [(r["n_tokens"], len(r["rare"]), len(r["ids"])) for r in kept[name].collect()]
+        return kept[name]
+
+    monkeypatch.setattr(lm_score.Scratch, "keep", keep)
+    monkeypatch.setattr(lm_score, "KNOWN", 3)
+    monkeypatch.setattr(lm_score.frequent_words, "__defaults__", (3,))
+    docs = [(i, " ".join(f"word{j}x{i}" for j in range(i % 5))) for i in range(40)] + [(40, None)]
+    lm_score.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(kept["rows"]) == 41 and all(rare == n - 1 for n, rare, _ in kept["rows"])
+    enc = lm_score.encoder(lm_score.public_tokenizers.path(lm_score.VOCABULARY), lm_score.public_tokenizers.PATTERN)
+    assert sorted(b for *_, b in kept["rows"]) == sorted(2 * len(enc.encode_ordinary(" " + t)) if t else 0 for _, t in docs)
