@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkcorpus.functions import vector as V
 from sparkcorpus.functions.text import ngrams, normal_tail, squash
+from sparkcorpus.operators import vector_scan
 from sparkcorpus.operators.intervals import containing, overlapping
+from sparkcorpus.store import Steps
 
 
 def target_hits(targets: DataFrame, picked: DataFrame, case: str = "case") -> DataFrame:
@@ -26,17 +29,47 @@ def self_hits(ranked: DataFrame, targets: DataFrame, k: int, case: str = "case")
     return targets.select(case).distinct().join(best, case, "left").select(case, "best", F.coalesce(F.col("best") == 1, F.lit(False)).alias("first"), F.coalesce(F.col("best") <= k, F.lit(False)).alias("in_k"))
 
 
-def target_rank(distances: DataFrame, targets: DataFrame, case: str = "case") -> DataFrame:
-    """Rank of the best target: how many units come before it by (distance, unit), and one.  Units are counted, not
-    sorted."""
-    near = distances.join(targets.select(case, "unit").distinct(), [case, "unit"]).groupBy(case).agg(F.min(F.struct("distance", "unit")).alias("__best"))
-    return distances.join(near, case).groupBy(case).agg((F.count_if(F.struct("distance", "unit") < F.col("__best")) + 1).alias("rank"))
+def by_distance(distance: str = "distance", unit: str = "unit") -> Column:
+    """The order of units: by distance, those without one last, then by id."""
+    return F.struct(F.isnull(distance).alias("none"), F.col(distance).alias("distance"), F.col(unit).alias("unit"))
 
 
-def self_ranks(distances: DataFrame, targets: DataFrame, k: int, case: str = "case") -> DataFrame:
-    """`self_hits` from distances of all units, without ranking them."""
-    best = target_rank(distances, targets, case).withColumnRenamed("rank", "best")
-    out = targets.select(case).distinct().join(best, case, "left")
+def best_target(distances: DataFrame, case: str = "case") -> DataFrame:
+    """(case, best, best_unit): of rows (case, unit, distance) the first of each case."""
+    first = distances.groupBy(case).agg(F.min(by_distance()).alias("b"))
+    return first.select(case, F.col("b.distance").alias("best"), F.col("b.unit").alias("best_unit"))
+
+
+def ranks(best: DataFrame, queries: DataFrame, units: DataFrame, others: bool = False, case: str = "case") -> DataFrame:
+    """(case, rank) of the best targets (case, best, best_unit) of queries (query, vector) among all units (id, embedding): how many units come before
+    them by (distance, unit), and one; with `others`, a query itself does not count.  There is no row for each pair, but for queries whose best has no distance."""
+    best = Steps(units.sparkSession, "ranks").keep(queries.join(best.withColumnRenamed(case, "query"), "query"), "best")
+    known = best.filter("best is not null")
+    out = known.select("query").join(vector_scan.before(known, units, others=others), "query", "left").select(F.col("query").alias(case), (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
+    lost = best.filter("best is null")
+    if lost.isEmpty():
+        return out
+    rows = units.select(F.col("id").alias("unit"), F.col("embedding").alias("__v")).join(lost).withColumn("distance", V.cosine_distance(F.col("__v"), F.col("vector")))
+    ahead = (by_distance() < by_distance("best", "best_unit")) & (F.col("query") != F.col("unit") if others else F.lit(True))
+    return out.unionByName(rows.groupBy(F.col("query").alias(case)).agg((F.count_if(ahead) + 1).alias("rank")))
+
+
+def target_rank(queries: DataFrame, units: DataFrame, targets: DataFrame, case: str = "case") -> DataFrame:
+    """(case, rank): rank of the best target (case, unit) of each query (query, vector) among all units (id, embedding)."""
+    own = targets.select(F.col(case).alias("query"), "unit").distinct().join(queries, "query").join(units.select(F.col("id").alias("unit"), F.col("embedding").alias("__v")), "unit")
+    best = best_target(own.select(F.col("query").alias(case), "unit", V.cosine_distance(F.col("__v"), F.col("vector")).alias("distance")), case)
+    return ranks(best, queries, units, case=case)
+
+
+def self_ranks(queries: DataFrame, units: DataFrame, like: str, k: int, case: str = "case") -> DataFrame:
+    """`self_hits` of queries (query, vector, like) whose targets are the other units (id, embedding, like) with the query's own value of `like`, without ranking all units.
+    A query without any target has no best."""
+    found = Steps(units.sparkSession, "alike").keep(best_target(vector_scan.nearest_alike(queries, units, like).filter("distance is not null").withColumnRenamed("query", case), case), "best")
+    lacking = queries.select(F.col("query").alias(case), like).join(found, case, "left_anti")  # all their targets are without a distance
+    rest = lacking.join(units.select(F.col("id").alias("unit"), like), like).filter(F.col(case) != F.col("unit"))
+    best = found.unionByName(best_target(rest.select(case, "unit", F.lit(None).cast("double").alias("distance")), case))
+    ranked = ranks(best, queries.select("query", "vector"), units, others=True, case=case).withColumnRenamed("rank", "best")
+    out = queries.select(F.col("query").alias(case)).join(ranked, case, "left")
     return out.select(case, "best", F.coalesce(F.col("best") == 1, F.lit(False)).alias("first"), F.coalesce(F.col("best") <= k, F.lit(False)).alias("in_k"))
 
 
@@ -154,7 +187,6 @@ def judge_rates(judged: DataFrame, group: list[str] = ("arm",)) -> DataFrame:
 
 def similar_pairs(units: DataFrame, gap: int = 8, near: float = 0.55, most_overlap: float = 0.35) -> DataFrame:
     """Pairs of units of one document, at least `gap` apart, close in meaning and not in wording."""
-    from sparkcorpus.functions import vector as V
     from sparkcorpus.functions.text import overlap
 
     a = units.select("doc_id", F.col("seq").alias("i"), F.col("embedding").alias("va"), ngrams(squash(F.col("content")), 2).alias("ga"))

@@ -43,8 +43,8 @@ class Sides:
     odd: DataFrame | None
 
 
-def sides(queries: DataFrame, units: DataFrame, unit: str, vector: str, *others: str, slice_: int | None = None, block: int | None = None) -> Sides:
-    q = queries.filter(F.col("vector").isNotNull()).select("query", V.doubles(F.col("vector")).alias("q"))
+def sides(queries: DataFrame, units: DataFrame, unit: str, vector: str, *others: str, carried: tuple = (), slice_: int | None = None, block: int | None = None) -> Sides:
+    q = queries.filter(F.col("vector").isNotNull()).select("query", *carried, V.doubles(F.col("vector")).alias("q"))
     u = units.filter(F.col(vector).isNotNull()).select(F.col(unit).alias("unit"), *[F.col(c) for c in others], V.doubles(F.col(vector)).alias("v"))
     shape = lambda df, c, side: df.select(F.lit(side).alias("side"), plain(F.col(c)).alias("ok"), F.size(c).alias("n"))
     both = shape(u, "v", 0).unionByName(shape(q, "q", 1)).groupBy("ok", "n").agg(F.count_if(F.col("side") == 0).alias("units"), F.count_if(F.col("side") == 1).alias("queries"))
@@ -107,6 +107,20 @@ class Distinct:
         self.vectors = rows.take(at[first])
         self.at = at[np.argsort(self.of_row, kind="stable")]
         self.begin = np.cumsum(self.copies) - self.copies
+        self.rows = at
+
+    def alone(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these rows are here without copies, and as which vectors."""
+        place = np.minimum(np.searchsorted(self.rows, rows), len(self.rows) - 1)
+        i = np.flatnonzero(self.rows[place] == rows)
+        j = self.of_row[place[i]]
+        return i[self.copies[j] == 1], j[self.copies[j] == 1]
+
+    def upto(self, j: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Where in `at` the copies of vectors j end that are before these rows."""
+        most = int(self.at.max()) + 2
+        keys = np.repeat(np.arange(len(self.copies)), self.copies) * most + self.at
+        return np.searchsorted(keys, j * most + np.minimum(row, most - 1))
 
 
 def nearest(queries: DataFrame, units: DataFrame, k: int, unit: str = "id", vector: str = "embedding", group: str | None = None, **sizes) -> DataFrame:
@@ -202,3 +216,96 @@ def within(queries: DataFrame, units: DataFrame, thresholds: tuple, unit: str =
         odd = s.odd.filter(F.col("query") != F.col("unit"))
         found = found.unionByName(odd.groupBy("query").agg(F.min("distance").alias("nearest"), *[F.count_if(F.col("distance") <= t).alias(c) for t, c in zip(thresholds, counts, strict=True)]))
     return found.groupBy("query").agg(F.min("nearest").alias("nearest"), *[F.sum(c).alias(c) for c in counts])
+
+
+def nearest_alike(queries: DataFrame, units: DataFrame, like: str, unit: str = "id", vector: str = "embedding", **sizes) -> DataFrame:
+    """(query, unit, distance): of each slice of units, the one nearest each query (query, vector, like) of those with the query's own value of
+    `like`, but for the query itself; ties by unit.  Null is like nothing."""
+    own_value = queries.filter(F.col(like).isNotNull()).select("query", "vector", F.col(like).alias("__like"))
+    s = sides(own_value, units.filter(F.col(like).isNotNull()), unit, vector, like, carried=("__like",), **sizes)
+    kinds = {f.name: f.dataType.simpleString() for f in [*s.units.schema, *s.queries.schema]}
+
+    def scan(key, rows, wanted):
+        out = []
+        if rows.num_rows and wanted.num_rows:
+            rows = rows.sort_by("unit")
+            x, q, mine = Vectors(rows.column("v")), Vectors(wanted.column("q")), row_of(wanted.column("query"), rows.column("unit"))
+            values = pc.unique(rows.column(like))
+            label, asked = (pc.fill_null(pc.index_in(c, value_set=values), -1).to_numpy() for c in (rows.column(like), wanted.column("__like").cast(values.type)))
+            for g in np.unique(asked[asked >= 0]):
+                at, of = np.flatnonzero(label == g), np.flatnonzero(asked == g)
+                own = Distinct(x, at)
+                for begin in range(0, len(of), HELD):
+                    some = of[begin : begin + HELD]
+                    i, row, distance = of_block(own, q.take(some), mine[some])
+                    out.append((some[i], row, distance))
+        i, row, distance = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query": wanted.column("query").take(pa.array(i)), "unit": rows.column("unit").take(pa.array(row)), "distance": pa.array(distance)})
+
+    def of_block(own: Distinct, q: Vectors, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        d = 1.0 - q.unit @ own.vectors.unit.T
+        i, j = own.alone(mine)
+        d[i, j] = np.inf
+        i, j = np.nonzero((d <= d.min(axis=1)[:, None] + SLACK) & (d < np.inf))
+        distance, row = exact(own.vectors, j, q, i), own.at[own.begin[j]]
+        self_ = np.flatnonzero(row == mine[i])
+        row[self_] = own.at[own.begin[j[self_]] + 1]  # a copy of the query itself
+        order = np.lexsort((row, distance, i))
+        i, row, distance = i[order], row[order], distance[order]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        return i[first], row[first], distance[first]
+
+    found = s.units.groupBy("slice", "block").cogroup(s.queries.groupBy("slice", "block")).applyInArrow(scan, f"query {kinds['query']}, unit {kinds['unit']}, distance double")
+    if s.odd is not None:
+        odd = s.odd.filter((F.col(like) == F.col("__like")) & (F.col("query") != F.col("unit")))
+        found = found.unionByName(odd.select("query", "unit", "distance"))
+    return found
+
+
+def row_of(keys, units) -> np.ndarray:
+    """Places of keys among units, -1 where they are not."""
+    return pc.fill_null(pc.index_in(keys.cast(units.type), value_set=units), -1).to_numpy().astype(np.int64)
+
+
+def before(queries: DataFrame, units: DataFrame, unit: str = "id", vector: str = "embedding", others: bool = False, **sizes) -> DataFrame:
+    """(query, n): how many units come before (best, best_unit) of each query (query, vector, best, best_unit) by (distance, unit), those without
+    a distance last; with `others` the query itself does not count.  No best is null.  Counts of 0 may be missing."""
+    s = sides(queries, units, unit, vector, carried=("best", "best_unit"), **sizes)
+
+    def scan(key, rows, wanted):
+        n = np.zeros(wanted.num_rows, np.int64)
+        if rows.num_rows and wanted.num_rows:
+            rows = rows.sort_by("unit")
+            ids, q = rows.column("unit"), Vectors(wanted.column("q"))
+            own = Distinct(Vectors(rows.column("v")), np.arange(rows.num_rows))
+            best = wanted.column("best").to_numpy()
+            best = np.where(np.isnan(best), np.inf, best)  # after all numbers
+            place = np.searchsorted(ids.to_numpy(zero_copy_only=False), wanted.column("best_unit").cast(ids.type).to_numpy(zero_copy_only=False))
+            mine = row_of(wanted.column("query"), ids) if others else np.full(len(n), -1)
+            for begin in range(0, len(n), HELD):
+                some = np.arange(begin, min(begin + HELD, len(n)))
+                n[some] = of_block(own, q.take(some), best[some], place[some], mine[some])
+        return pa.table({"query": wanted.column("query"), "n": n})
+
+    def of_block(own: Distinct, q: Vectors, best: np.ndarray, place: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        d = 1.0 - q.unit @ own.vectors.unit.T
+        i, j = np.nonzero(np.abs(d - best[:, None]) <= SLACK)
+        sure = d < best[:, None] - SLACK
+        n = np.count_nonzero(sure, axis=1) if len(own.at) == len(own.copies) else (sure @ own.copies.astype(np.float64)).astype(np.int64)
+        distance = exact(own.vectors, j, q, i)
+        equal = own.begin[j] + own.copies[j]
+        at = np.flatnonzero(distance == best[i])
+        equal[at] = own.upto(j[at], place[i[at]])
+        np.add.at(n, i, np.where(distance <= best[i], equal - own.begin[j], 0))
+        has = np.flatnonzero(mine >= 0)
+        self_ = exact(own.vectors, own.of_row[mine[has]], q, has)
+        n[has] -= (self_ < best[has]) | ((self_ == best[has]) & (mine[has] < place[has]))
+        return n
+
+    kind = s.queries.schema["query"].dataType.simpleString()
+    found = s.units.groupBy("slice", "block").cogroup(s.queries.groupBy("slice", "block")).applyInArrow(scan, f"query {kind}, n long")
+    if s.odd is not None:
+        odd = s.odd.filter(F.col("query") != F.col("unit")) if others else s.odd
+        ahead = F.struct(F.isnull("distance"), "distance", "unit") < F.struct(F.lit(False), "best", "best_unit")
+        found = found.unionByName(odd.filter(ahead).groupBy("query").agg(F.count("*").alias("n")))
+    return found.groupBy("query").agg(F.sum("n").alias("n"))

@@ -126,9 +126,8 @@ SELECT near.query AS "case", count(*) FILTER ((distance, unit) < d) + 1 AS rank
 def target_rank(spark, t):
     """How many units are nearer than the nearest target."""
     q, units = vectors(t)
-    d = units.join(q).select(F.col("query").alias("case"), F.col("id").alias("unit"), V.cosine_distance(F.col("embedding"), F.col("vector")).alias("distance"))
     targets = q.select(F.col("query").alias("case"), F.explode(F.array(F.col("query") + 1, F.col("query") + 7)).alias("unit"))
-    return E.target_rank(d, targets)
+    return E.target_rank(q, units, targets)
 
 
 SQL_SPANS = """b AS (SELECT item_id, length(text) AS n FROM benchmark), tg AS (SELECT item_id AS "case", k AS target, item_id AS chunk_id, (k * n // 4)::INTEGER AS tl, (k * n // 4 + n // 8)::INTEGER AS th FROM b, (VALUES (0), (2)) x(k)),
