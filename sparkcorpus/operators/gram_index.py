@@ -29,8 +29,8 @@ RUN = r"[a-z0-9_]+|[一-鿿]+"
 LONGEST, BUCKETS = 3, 16
 #: Share of the vocabulary beyond which an n-gram's words are not listed.
 DENSE = 0.005
-#: Texts of a slice and queries of a block whose terms are counted in one task.
-SLICE, BLOCK = 16_384, 16_384
+#: Texts of a slice and queries of a block whose terms are counted in one task, texts of the smallest slices, and bytes of a slice's matrix.
+SLICE, BLOCK, LEAST_SLICE, MATRIX = 32_768, 65_536, 4_096, 1 << 27
 #: Numbers of the tables that searches write.
 COUNT = count()
 
@@ -147,55 +147,73 @@ def count_hits(index: GramIndex, asked: DataFrame, k: int) -> DataFrame:
     return top_per_group(simple.unionByName(enough), ["query"], k, F.desc("hits"), F.asc("unit"), name="rank")
 
 
-def counted(has: DataFrame, wanted: DataFrame, k: int, slice_: int = SLICE, block: int = BLOCK) -> DataFrame:
+def counted(has: DataFrame, wanted: DataFrame, k: int, slice_: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query, unit, hits): of each slice of units (unit, has), the k that have most of a query's parts (query, least, ids), if they have
     enough; ties by unit.  A superset of the k best of all; slices of units meet blocks of queries, each in one task."""
-    slices, blocks = (-(-df.count() // n) or 1 for df, n in ((has, slice_), (wanted, block)))
+    units, blocks = has.count(), -(-wanted.count() // block) or 1
+    slices = -(-units // (slice_ or SLICE)) or 1
+    if slice_ is None:  # few texts are still work for all cores
+        slices = max(slices, min(2 * has.sparkSession.sparkContext.defaultParallelism, units // LEAST_SLICE))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     u = has.withColumn("slice", F.pmod(F.xxhash64("unit"), F.lit(slices)).cast("int")).withColumn("block", each(blocks))
     q = wanted.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("slice", each(slices))
     kinds = {f.name: f.dataType.simpleString() for f in [*has.schema, *wanted.schema]}
 
-    def lists_of(column) -> tuple[np.ndarray, np.ndarray]:
-        column = column.combine_chunks()
-        return column.flatten().to_numpy(), pc.list_value_length(column).to_numpy()
-
     def count_block(key, rows, asked):
-        of_query, of_unit, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        found = [np.zeros(0, np.int64)] * 3
         if rows.num_rows and asked.num_rows:
             rows = rows.sort_by("unit")
-            ids, many = lists_of(asked.column("ids"))
+            (sizes, flat), (many, ids) = lists_of(rows.column("has")), lists_of(asked.column("ids"))
             parts, ids = np.unique(ids, return_inverse=True)
-            ends, least = np.cumsum(many), np.maximum(asked.column("least").to_numpy(), 1)
-            flat, sizes = lists_of(rows.column("has"))
             at = np.minimum(np.searchsorted(parts, flat), max(len(parts) - 1, 0))
             known = parts[at] == flat if len(parts) else np.zeros(len(flat), bool)
-            at, owner = at[known].astype(np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[known]
-            order = np.argsort(at, kind="stable")
-            owner, bounds = owner[order], np.searchsorted(at[order], np.arange(len(parts) + 1))
-            # parts of many texts are rows of a matrix, which has at most 16 times as many bytes as the texts have parts
-            df = np.diff(bounds)
-            often = np.flatnonzero(df * 16 > rows.num_rows)
-            row, total = np.full(len(parts), -1), np.uint8 if many.max() < 256 else np.uint32
-            row[often] = np.arange(len(often))
-            matrix = np.zeros((len(often), rows.num_rows), dtype=np.uint8)
-            for r, p in enumerate(often):
-                matrix[r, owner[bounds[p] : bounds[p + 1]]] = 1
-            for i, (begin, end) in enumerate(zip(ends - many, ends, strict=True)):
-                mine = ids[begin:end]
-                dense = row[mine]
-                hits = matrix[dense[dense >= 0]].sum(axis=0, dtype=total)
-                for p in mine[dense < 0]:
-                    hits[owner[bounds[p] : bounds[p + 1]]] += 1
-                enough = np.flatnonzero(hits >= least[i])
-                if len(enough) > k:
-                    h = hits[enough]
-                    last = np.sort(h)[-k]
-                    more = int((h > last).sum())
-                    enough = np.sort(np.concatenate([enough[h > last], enough[h == last][: k - more]]))
-                of_query.append(np.full(len(enough), i))
-                of_unit.append(enough)
-                n.append(hits[enough].astype(np.int32))
-        return pa.table({"query": asked.column("query").take(pa.array(np.concatenate(of_query))), "unit": rows.column("unit").take(pa.array(np.concatenate(of_unit))), "hits": np.concatenate(n)})
+            found = best_of_slice(rows.num_rows, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[known], at[known], len(parts), many, ids, asked.column("least").to_numpy(), k)
+        return pa.table({"query": asked.column("query").take(pa.array(found[0])), "unit": rows.column("unit").take(pa.array(found[1])), "hits": found[2].astype(np.int32)})
 
     return u.groupBy("slice", "block").cogroup(q.groupBy("slice", "block")).applyInArrow(count_block, f"query {kinds['query']}, unit {kinds['unit']}, hits int")
+
+
+def lists_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and elements of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def best_of_slice(texts: int, owner: np.ndarray, part: np.ndarray, parts: int, many: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, text, hits): the k texts with most parts of each query, if they have enough; ties to the first.
+
+    Texts are numbers below `texts`, parts below `parts`; texts have the parts of the pairs (owner, part), each once; a query asks for `many` of the ids, and `least` of them."""
+    of_query, of_text, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ends, least = np.cumsum(many), np.maximum(least, 1)
+    pairs = part.astype(np.int64) << 32
+    pairs |= owner
+    pairs.sort()
+    bounds = np.searchsorted(pairs, np.arange(parts + 1, dtype=np.int64) << 32)
+    owner = (pairs & 0xFFFFFFFF).astype(np.int32)
+    del pairs
+    # parts of many texts are rows of a matrix, which has at most 16 times as many bytes as the texts have parts, and at most MATRIX
+    df = np.diff(bounds)
+    often = np.flatnonzero(df * 16 > texts)
+    often = often[np.argsort(-df[often], kind="stable")][: max(MATRIX // texts, 1)]
+    row, total = np.full(parts, -1), np.uint8 if many.max() < 256 else np.uint32
+    row[often] = np.arange(len(often))
+    matrix = np.zeros((len(often), texts), dtype=np.uint8)
+    for r, p in enumerate(often):
+        matrix[r, owner[bounds[p] : bounds[p + 1]]] = 1
+    for i, (begin, end) in enumerate(zip(ends - many, ends, strict=True)):
+        mine = ids[begin:end]
+        dense = row[mine]
+        hits = matrix[dense[dense >= 0]].sum(axis=0, dtype=total)
+        for p in mine[dense < 0]:
+            hits[owner[bounds[p] : bounds[p + 1]]] += 1
+        above = np.cumsum(np.bincount(hits, minlength=least[i] + 1)[: least[i] - 1 : -1])  # texts with the most hits, with one less, ...
+        if above[-1] > k:
+            place = int(np.searchsorted(above, k))
+            last = len(above) - 1 - place + least[i]
+            enough = np.sort(np.concatenate([np.flatnonzero(hits > last), np.flatnonzero(hits == last)[: k - (above[place - 1] if place else 0)]]))
+        else:
+            enough = np.flatnonzero(hits >= least[i])
+        of_query.append(np.full(len(enough), i))
+        of_text.append(enough)
+        n.append(hits[enough].astype(np.int64))
+    return np.concatenate(of_query), np.concatenate(of_text), np.concatenate(n)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from sparkcorpus.config import Retrieval
 from sparkcorpus.functions import vector as V
 from sparkcorpus.functions.text import extract_terms
-from sparkcorpus.operators import gram_index, vector_scan
+from sparkcorpus.operators import gram_index, term_scan, vector_scan
 from sparkcorpus.operators.gram_index import GramIndex
 from sparkcorpus.operators.relational import first_wins, top_per_group
 from sparkcorpus.store import Steps
@@ -46,16 +46,24 @@ def keyword_channel(queries: DataFrame, units: DataFrame | GramIndex, k: int, un
     """(query, unit, hits, rank): the k units with most terms of each query, of which those with enough stay.
 
     A term is a run of word characters (or a pair of CJK ones), so a text has it only within one of its own such
-    runs; see `gram_index` for how they are found and counted.  A term with a wildcard is looked for by its longest part without
-    one, and candidates' texts are then matched.  Ids of units are unique.  An index that was written before may stand for the units.
+    runs.  Texts of a single search are read once, see `term_scan`; hits are counted in blocks, without a row for each candidate.  Ids of units are unique.
+    An index that was written before may stand for the units, see `gram_index`: there, a term with a wildcard is looked for by its longest part
+    without one, and candidates' texts are then matched.
     """
-    index = units if isinstance(units, GramIndex) else gram_index.build(units, unit, content, write_grams=False)
-    asked = queries.select("query", extract_terms(F.col("text"), conf.max_terms).alias("__t")).filter(F.size("__t") > 0)
+    index = isinstance(units, GramIndex)
+    asked = queries.select("query", extract_terms(F.col("text"), conf.max_terms).alias("__t"))  # written, or each column would extract them again
+    asked = (units.steps if index else Steps(units.sparkSession, "term-scan")).keep(asked, f"terms-{next(gram_index.COUNT)}").filter(F.size("__t") > 0)
+    if not index:
+        wild = lambda t: F.lit(False) if conf.escape_wildcards else F.contains(t, F.lit("_"))
+        keys = F.transform("__t", lambda t: F.concat(F.when(wild(t), "w").otherwise("p"), F.lower(t)))
+        asked = asked.select("query", min_hits(F.col("__t"), conf).alias("least"), keys.alias("keys"))
+        best = term_scan.best_texts(units.select(F.col(unit).alias("unit"), F.col(content).alias("content")), asked, k)
+        return top_per_group(best, ["query"], k, F.desc("hits"), F.asc("unit"), name="rank")
     asked = asked.select("query", min_hits(F.col("__t"), conf).alias("least"), F.explode("__t").alias("term"))
     wild = F.lit(False) if conf.escape_wildcards else F.contains("term", F.lit("_"))
     longest = F.array_max(F.transform(F.split(F.lower("term"), "_"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     asked = asked.withColumn("wild", wild).withColumn("part", F.when(F.col("wild"), longest).otherwise(F.lower("term")))
-    return gram_index.count_hits(index, asked, k)
+    return gram_index.count_hits(units, asked, k)
 
 
 def rrf(channels: list[DataFrame], k: int, conf: Retrieval = Retrieval()) -> DataFrame:
@@ -78,22 +86,24 @@ def within_distance(hits: DataFrame, k: int, conf: Retrieval = Retrieval()) -> D
     return top_per_group(hits.drop("rank").filter(F.col("distance") <= conf.max_distance), ["query"], k, F.asc("distance"), F.asc("unit"), name="rank")
 
 
-def search(queries: DataFrame, units: DataFrame, conf: Retrieval = Retrieval(), mode: str | None = None, k: int | None = None, unit: str = "id", content: str = "content", vector: str = "embedding", model: str | None = None, doc: str | None = None) -> DataFrame:
-    """The k best units of each query by vector, by keywords, or by both; of one model and document, if named."""
+def search(queries: DataFrame, units: DataFrame, conf: Retrieval = Retrieval(), mode: str | None = None, k: int | None = None, unit: str = "id", content: str = "content", vector: str = "embedding", model: str | None = None, doc: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """The k best units of each query by vector, by keywords, or by both; of one model and document, if named.  Vectors of units may be in a table of
+    their own (with the same names of columns), so that texts need not be joined to them."""
     mode, k = mode or conf.mode, k or conf.top_k
     pool = max(conf.pool, k)
     if model is not None:
         units = units.filter(F.col("embed_model") == model)
     if doc is not None:
         units = units.filter(F.col("doc_id") == doc)
+    vectors = units if vectors is None else vectors.join(units.select(unit), unit, "left_semi")
     if mode == "vector":
-        return within_distance(vector_channel(queries, units, pool, unit, vector), k, conf)
+        return within_distance(vector_channel(queries, vectors, pool, unit, vector), k, conf)
     keyword = keyword_channel(queries, units, pool, unit, content, conf)
     if mode == "keyword":
         return keyword.filter(F.col("rank") <= k)
     if mode != "hybrid":
         raise ValueError(f"no such mode: {mode}")
-    return rrf([vector_channel(queries, units, pool, unit, vector), keyword], k, conf)
+    return rrf([vector_channel(queries, vectors, pool, unit, vector), keyword], k, conf)
 
 
 def rank_contexts(hits: DataFrame, case: str = "case", most: int = Retrieval().max_contexts) -> DataFrame:
