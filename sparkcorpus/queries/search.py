@@ -18,9 +18,11 @@ def vectors(t):
 
 
 def texts(t):
-    """Documents as units, with the embedding of the same id, if there is one; and the queries among them."""
-    units = t("documents").join(t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "embedding")
-    return units.filter("id % 100 = 0").select(F.col("id").alias("query"), F.col("content").alias("text"), F.col("embedding").alias("vector")), units
+    """Documents as units, the vectors of those that have one (the embedding of the same id), and the queries among them."""
+    units = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    e = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = units.filter("id % 100 = 0").join(e.filter("id % 100 = 0"), "id", "left")
+    return q.select(F.col("id").alias("query"), F.col("content").alias("text"), F.col("embedding").alias("vector")), units, e
 
 
 #: DuckDB: distinct ASCII terms of a text in order, 24 at most.
@@ -48,8 +50,8 @@ SELECT query, unit, round(rrf, 9) AS rrf, round(distance, 6) AS distance, hits,
 )
 def hybrid_search(spark, t):
     """Vector and keyword channels fused by rank."""
-    q, units = texts(t)
-    return R.search(q, units).select("query", "unit", F.round("rrf", 9).alias("rrf"), F.round("distance", 6).alias("distance"), "hits", "rank")
+    q, units, e = texts(t)
+    return R.search(q, units, vectors=e).select("query", "unit", F.round("rrf", 9).alias("rrf"), F.round("distance", 6).alias("distance"), "hits", "rank")
 
 
 @query(f"WITH {SQL_TERMS}, {SQL_KEYWORD} SELECT query, unit, hits, rank FROM keyword WHERE rank <= 8")

@@ -25,7 +25,7 @@ def test_slices_passes_and_long_terms_equal_a_plain_scan(spark, monkeypatch, esc
         assert sorted((r["query"], r["unit"], r["hits"], r["rank"]) for r in got) == brute(queries, units, 6, escape)
 
 
-@pytest.mark.parametrize("name", ["keyword_search"])
+@pytest.mark.parametrize("name", ["keyword_search", "hybrid_search"])
 def test_texts_are_neither_written_nor_shuffled(spark, sf, monkeypatch, name):
     """A search writes its queries' terms and its vectors' hits, and what is shuffled for it has no texts."""
     written, keep = [], store.Steps.keep
