@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from sparkcorpus.functions import vector as V
 from sparkcorpus.functions.text import ngrams, normal_tail, squash
-from sparkcorpus.operators import vector_scan
+from sparkcorpus.operators import term_scan, vector_scan
 from sparkcorpus.operators.intervals import containing, overlapping
 from sparkcorpus.store import Steps
 
@@ -100,15 +100,23 @@ def holding(inner: DataFrame, outer: DataFrame) -> DataFrame:
 def find_excerpts(targets: DataFrame, units: DataFrame, unit: str = "id", content: str = "content", scope: str | None = None) -> DataFrame:
     """(case, target, unit): units that contain an excerpt, or lie within it, white space aside.
 
+    Excerpts go to all tasks, which look through the units by windows; units that are short enough to lie within an excerpt meet
+    the excerpts' n-grams.
     With `scope`, a target's own document, else its case's, limits the search.  Ids of units are unique.
     """
+    steps = Steps(units.sparkSession, "excerpts")
     t = targets.withColumn("text", squash(F.col("excerpt"))).filter("text <> ''")
     doc = F.coalesce("target_doc", "case_doc") if scope else F.lit(None).cast("string")
-    t = t.select("case", "target", doc.alias("doc"), "text")
+    t = steps.keep(t.select("case", "target", doc.alias("doc"), "text"), "targets")
     excerpts = t.select("text").distinct().withColumn("i", F.sha2("text", 256))
-    bodies = units.select(F.col(unit).alias("o"), squash(F.col(content)).alias("text")).filter("text <> ''")
-    within = holding(bodies.select(F.col("o").alias("i"), "text"), excerpts.select(F.col("i").alias("o"), "text")).select(F.col("o").alias("i"), F.col("i").alias("o"))
-    found = holding(excerpts, bodies).unionByName(within).distinct()
+    size = excerpts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max(F.length("text")).alias("longest")).first()
+    bodies = units.select(F.col(unit).alias("o"), F.coalesce(squash(F.col(content)), F.lit("")).alias("text"))
+    # only texts that are no longer than the longest excerpt can lie within one; most are longer by their beginning
+    longest = size["longest"] or 0
+    begins = units.filter(F.length(squash(F.substring(F.col(content), 1, 2 * longest))) <= longest)
+    short = steps.keep(begins.select(F.col(unit).alias("o"), squash(F.col(content)).alias("text")).filter(F.length("text").between(1, longest)), "short")
+    within = holding(short.select(F.col("o").alias("i"), "text"), excerpts.select(F.col("i").alias("o"), "text")).select(F.col("o").alias("i"), F.col("i").alias("o"))
+    found = steps.keep(term_scan.holders(excerpts, bodies, size["bytes"] or 0).unionByName(within).distinct(), "found")
     out = t.withColumn("i", F.sha2("text", 256)).join(found, "i").select("case", "target", "doc", F.col("o").alias("unit"))
     if scope:
         own = units.select(F.col(unit).alias("unit"), F.col(scope).alias("__own"))
